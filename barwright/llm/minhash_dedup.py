@@ -12,9 +12,14 @@
    each other. What already hangs together needs no more candidates, so a group
    of thousands of copies costs as many candidates as it has members; pairs that
    could still join two components are all tested.
-Candidates pass the sketch test (SIGMAS standard deviations below the threshold)
-and are confirmed on the full sets. Bands are chosen so that a pair at the
-threshold misses all of them with a probability below MISS.
+Two rounds of leaders run, the second with members drawn by hash. Candidates pass
+two sketch tests: the odd sketch of the samples (SIGMAS standard deviations below
+the threshold), and one of the whole set, whose differing bits can never be more
+than the sets' differing shingles, so that it rejects nothing wrongly. What is
+left is confirmed on the full sets. Sets are computed again from the texts that
+candidates name; a bitmap of those ids, of bounded size, keeps the other texts out
+of the shuffle. Bands are chosen so that a pair at the threshold misses all of
+them with a probability below MISS.
 
 Words are the ASCII-whitespace separated parts of the text with A-Z lowered.
 Defined cases: null, empty or blank texts have no shingles and no links; fewer
@@ -41,6 +46,7 @@ MISS = 1e-6
 SIGMAS = 5.0
 SKETCH_WORDS = 4
 SEED = 20240607
+FILTER_BITS = 1 << 26  # the most bits of the bitmap of wanted ids: 8 MB
 
 
 def band_plan(threshold: float, rows: int = 5) -> tuple[int, int]:
@@ -90,7 +96,12 @@ class Sketcher:
         return key.view(np.int64)
 
     def odd_sketch(self, low: np.ndarray) -> np.ndarray:
-        mixed = (low ^ self.salt) * np.uint64(0xFF51AFD7ED558CCD)
+        return self.parity(low ^ self.salt)
+
+    @staticmethod
+    def parity(values: np.ndarray) -> np.ndarray:
+        """A bitmap in which each value flips one bit."""
+        mixed = values * np.uint64(0xFF51AFD7ED558CCD)
         mixed ^= mixed >> np.uint64(33)
         bit = (mixed % np.uint64(64 * SKETCH_WORDS)).astype(np.int64)
         parity = np.bincount(bit, minlength=64 * SKETCH_WORDS) & 1
@@ -115,25 +126,41 @@ def _sketches(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                 if len(h):
                     d = xxhash.xxh3_128_intdigest(h.tobytes())
                     low = sk.samples(h)
-                    out.append((i, len(h), (d >> 64) - 2**63, (d & (2**64 - 1)) - 2**63, sk.band_keys(low), sk.odd_sketch(low)))
+                    out.append((i, len(h), (d >> 64) - 2**63, (d & (2**64 - 1)) - 2**63, sk.band_keys(low), np.concatenate([sk.odd_sketch(low), sk.parity(h)])))
                 else:
-                    out.append((i, 0, 0, 0, np.empty(0, np.int64), np.zeros(SKETCH_WORDS, np.int64)))
+                    out.append((i, 0, 0, 0, np.empty(0, np.int64), np.zeros(2 * SKETCH_WORDS, np.int64)))
             yield pd.DataFrame(out, columns=["id", "n", "d1", "d2", "bands", "odd"])
 
     return docs.mapInPandas(run, "id long, n long, d1 long, d2 long, bands array<long>, odd array<long>")
 
 
-def _sets(docs: DataFrame) -> DataFrame:
+def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, h) of the ids in ``wanted``: the others' texts are not shuffled, but for the bitmap's false hits."""
+    bits = min(FILTER_BITS, 1 << max(16, (64 * wanted.count()).bit_length()))
+    place = F.pmod(F.xxhash64("id"), F.lit(bits))
+    words = wanted.select(place.alias("at")).selectExpr("int(at div 64) AS w", "shiftleft(1L, int(at % 64)) AS b")
+    rows = words.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()  # at most FILTER_BITS / 64 rows
+    bitmap = np.zeros(bits // 64, np.int64)
+    bitmap[rows["w"].to_numpy("int64")] = rows["b"].to_numpy("int64")
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = shared.value
         for pdf in batches:
-            yield pd.DataFrame({"id": pdf["id"], "h": [shingle_hashes(t).view(np.int64) for t in pdf["text"]]})
+            at = pdf["at"].to_numpy("int64")
+            pdf = pdf[(own[at // 64] >> (at % 64)) & 1 == 1]
+            yield pd.DataFrame([(i, shingle_hashes(t).view(np.int64)) for i, t in zip(pdf["id"], pdf["text"])], columns=["id", "h"])
 
-    return docs.mapInPandas(run, "id long, h array<long>")
+    found = docs.where("id IS NOT NULL").withColumn("at", place).mapInPandas(run, "id long, h array<long>")
+    return materialize(found.join(wanted, "id", "left_semi").dropDuplicates(["id"]), "sets")
 
 
-def _near(limit: int) -> F.Column:
-    """Whether the sketches ao and bo differ in at most ``limit`` bits."""
-    return sum((F.bit_count(F.col("ao")[i].bitwiseXOR(F.col("bo")[i])) for i in range(SKETCH_WORDS)), F.lit(0)) <= limit
+def _near(limit: int, percent: int) -> F.Column:
+    """Whether the sketches ao and bo of sets of an and bn shingles may belong to a pair at the threshold."""
+    differ = lambda i: F.bit_count(F.col("ao")[i].bitwiseXOR(F.col("bo")[i]))
+    part = lambda lo: sum((differ(i) for i in range(lo, lo + SKETCH_WORDS)), F.lit(0))
+    # intersection >= percent/100 * union means difference <= (100-percent)/(100+percent) * (an + bn)
+    return (part(0) <= limit) & (part(SKETCH_WORDS) * (100 + percent) <= (100 - percent) * (F.col("an") + F.col("bn")))
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -159,35 +186,54 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     member = full.select("id", "d1", "d2").join(classes, ["d1", "d2"]).select("id", "rep").distinct()
     member = materialize(member, "classes")
     reps = full.join(member.where("id = rep").select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
+    reps = materialize(reps.select("id", "n", "odd", "bands"), "reps")
+    sketch = reps.select("id", "n", "odd")
 
-    # buckets of at least two classes, each member with its sketch
-    held = reps.select("id", "odd", F.explode("bands").alias("key"))
+    # buckets of at least two classes
+    held = reps.select("id", F.explode("bands").alias("key"))
     sizes = held.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     buckets = materialize(held.join(sizes, "key"), "buckets")
-    mates = buckets.groupBy("id").agg(F.sum("c").alias("mates"))
-    ranked = buckets.join(mates, "id")
-    leaders = ranked.groupBy("key").agg(F.max(F.struct(F.col("mates"), (-F.col("id")).alias("neg"), "odd")).alias("l"))
-    leaders = leaders.select("key", (-F.col("l.neg")).alias("lead"), F.col("l.odd").alias("bo"))
-    pair = [F.least("id", "lead").alias("u"), F.greatest("id", "lead").alias("v")]
-    star = buckets.withColumnRenamed("odd", "ao").join(leaders, "key").where((F.col("id") != F.col("lead")) & _near(limit)).select(*pair).distinct()
-    star = materialize(star, "star")
-
-    wanted = star.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-    texts = plain.join(wanted, "id", "left_semi").dropDuplicates(["id"])
-    links = materialize(_confirm(star, _sets(texts), percent), "links")
-    comp = materialize(connected_components(links), "components")
-
-    # what is left: members of one bucket in different components
-    placed = buckets.join(comp, buckets["id"] == comp["node"], "left").select("key", "id", "odd", F.coalesce("component", "id").alias("comp"))
-    open_keys = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    placed = materialize(placed.join(open_keys, "key", "left_semi"), "open")
-    a = placed.select("key", F.col("id").alias("u"), F.col("odd").alias("ao"), F.col("comp").alias("uc"))
-    b = placed.select("key", F.col("id").alias("v"), F.col("odd").alias("bo"), F.col("comp").alias("vc"))
-    cross = a.join(b, (a["key"] == b["key"]) & (F.col("u") < F.col("v")) & (F.col("uc") != F.col("vc")) & _near(limit))
-    cross = materialize(cross.select("u", "v").distinct().join(star, ["u", "v"], "left_anti"), "cross")
-    wanted = cross.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-    texts = plain.join(wanted, "id", "left_semi").dropDuplicates(["id"])
-    more = materialize(_confirm(cross, _sets(texts), percent), "links")
+
+    def sketched(pairs: DataFrame) -> DataFrame:
+        """The pairs (u, v) that pass the sketch tests."""
+        one = sketch.select(F.col("id").alias("u"), F.col("n").alias("an"), F.col("odd").alias("ao"))
+        two = sketch.select(F.col("id").alias("v"), F.col("n").alias("bn"), F.col("odd").alias("bo"))
+        return pairs.join(one, "u").join(two, "v").where(_near(limit, percent)).select("u", "v")
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        wanted = materialize(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "wanted")
+        return _confirm(pairs, _sets(plain, wanted), percent)
+
+    links = comp = tried = None
+    live = buckets
+    for turn in range(2):
+        if turn:
+            score = F.xxhash64("id", F.lit(turn))
+            ranked = live.withColumn("score", score)
+        else:
+            mates = live.groupBy("id").agg(F.sum("c").alias("score"))
+            ranked = live.join(mates, "id")
+        leaders = ranked.groupBy("key").agg(F.max(F.struct(F.col("score"), (-F.col("id")).alias("neg"))).alias("l"))
+        leaders = leaders.select("key", (-F.col("l.neg")).alias("lead"))
+        star = live.join(leaders, "key").where("id <> lead").select(F.least("id", "lead").alias("u"), F.greatest("id", "lead").alias("v")).distinct()
+        if tried is not None:
+            star = star.join(tried, ["u", "v"], "left_anti")
+        star = materialize(sketched(star), "star")
+        tried = star if tried is None else tried.union(star)
+        found = confirmed(star)
+        links = materialize(found if links is None else links.union(found), "links")
+        comp = materialize(connected_components(links), "components")
+        # members of one bucket in different components remain
+        placed = buckets.join(comp, buckets["id"] == comp["node"], "left").select("key", "id", "c", F.coalesce("component", "id").alias("comp"))
+        apart = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+        live = materialize(placed.join(apart, "key", "left_semi"), "open")
+
+    full_rows = live.join(sketch, "id")
+    a = full_rows.select("key", F.col("id").alias("u"), F.col("n").alias("an"), F.col("odd").alias("ao"), F.col("comp").alias("uc"))
+    b = full_rows.select("key", F.col("id").alias("v"), F.col("n").alias("bn"), F.col("odd").alias("bo"), F.col("comp").alias("vc"))
+    cross = a.join(b, (a["key"] == b["key"]) & (F.col("u") < F.col("v")) & (F.col("uc") != F.col("vc")) & _near(limit, percent))
+    cross = materialize(cross.select("u", "v").distinct().join(tried, ["u", "v"], "left_anti"), "cross")
+    more = materialize(confirmed(cross), "links")
     if more.limit(1).count():
         comp = materialize(connected_components(links.union(more)), "components")
 
