@@ -17,12 +17,14 @@ as documents of their own; other columns are ignored.
 
 from __future__ import annotations
 
+import os
 import re
 import unicodedata
 import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import batched
 
 import numpy as np
 import pandas as pd
@@ -35,6 +37,7 @@ CAPACITY = 4096
 END_ID = 1
 BINS = 64
 WORD_CACHE = 400_000
+GROUP_CHARS = 1 << 20
 
 #: Characters for which Python's and the tokenizer's normalisation agree without looking: ASCII and Latin-1 letters and signs.
 PLAIN = "".join(map(chr, [*range(9, 14), *range(32, 127), *range(0xA1, 0x100)]))
@@ -44,34 +47,59 @@ class PieceEncoder:
     """Token ids as little-endian bytes; remembers the ids of words, as long as only plain characters occur."""
 
     def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.memo: dict[str, bytes] = {}
+        names = self.tok.get_vocab()
+        self.ends = np.zeros(max(names.values()) + 1, bool)
+        self.ends[[i for t, i in names.items() if t.endswith("</w>")]] = True
         letters = "".join(c for c in PLAIN.lower() if unicodedata.category(c)[0] == "L")
         digits = "".join(c for c in PLAIN if unicodedata.category(c)[0] == "N")
         self.find = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{digits}]|[^\\x09-\\x0d {letters}{digits}]+").findall
         self.odd = re.compile(f"[^{re.escape(PLAIN)}]|<\\|").search
 
-    def _learn(self, words: list[str]) -> None:
-        if len(self.memo) + len(words) > WORD_CACHE:
-            self.memo.clear()
-        for w, e in zip(words, self.tok.encode_batch(words, add_special_tokens=False)):
-            self.memo[w] = np.asarray(e.ids, "<u4").tobytes()
-
-    def encode(self, text: str) -> bytes:
-        if self.odd(text):
-            return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        words = self.find(text.lower())
+    def _learn(self, words: set[str]) -> None:
+        """Encodes the words as one text; the tokens that end words part it again."""
+        for part in batched(words, 20_000):
+            ids = np.asarray(self.tok.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(cuts) == len(part):
+                data = ids.tobytes()
+                self.memo.update((w, data[lo:hi]) for w, lo, hi in zip(part, [0, *cuts], cuts))
+            else:
+                self.memo.update((w, np.asarray(self.tok.encode(w, add_special_tokens=False).ids, "<u4").tobytes()) for w in part)
+
+    def encode_all(self, texts: list[str]) -> Iterator[bytes]:
+        """Each text's ids. Texts go in groups of about GROUP_CHARS, whose new words are learnt in one call."""
+        group: list[str] = []
+        size = 0
+        for t in texts:
+            group.append(t)
+            size += len(t)
+            if size >= GROUP_CHARS:
+                yield from self._encode_group(group)
+                group, size = [], 0
+        yield from self._encode_group(group)
+
+    def _encode_group(self, texts: list[str]) -> Iterator[bytes]:
+        words = [None if self.odd(t) else self.find(t.lower()) for t in texts]
+        new = set().union(*(w for w in words if w)) - self.memo.keys()
+        if new:
+            if len(self.memo) + len(new) > WORD_CACHE:
+                self.memo.clear()
+                new = set().union(*(w for w in words if w))
+            self._learn(new)
         memo = self.memo
-        try:
-            return b"".join([memo[w] for w in words])
-        except KeyError:
-            self._learn(list(set(words) - memo.keys()))
-            return b"".join([memo[w] if w in memo else self._one(w) for w in words])
+        for t, w in zip(texts, words):
+            if w is None:
+                yield np.asarray(self.tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+            else:
+                yield b"".join(map(memo.__getitem__, w))
 
-    def _one(self, word: str) -> bytes:
-        return np.asarray(self.tok.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+    def encode(self, text: str) -> bytes:
+        return next(self.encode_all([text]))
 
 
 def nnls(a: np.ndarray, b: np.ndarray, steps: int = 400) -> np.ndarray:
@@ -186,8 +214,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, keep_
         names = ["id", "piece", "start", "length", "ids_crc32", "ids"]
         for pdf in batches:
             rows = []
-            for i, t in zip(pdf["id"], pdf["text"]):
-                ids = enc.encode(t or "") + end
+            for i, body in zip(pdf["id"], enc.encode_all([t or "" for t in pdf["text"]])):
+                ids = body + end
                 for p, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     rows.append((i, p, at // 4, len(part) // 4, zlib.crc32(part), part if keep_ids else None))
