@@ -187,7 +187,7 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col:
     base = base.withColumn("h", F.when(F.col("x").isNotNull(), F.md5(F.concat_ws(",", F.col("label"), F.size("x").cast("string"), F.transform("x", lambda c: c.cast("string"))))))
     base = materialize(base, "vectors")
     full = base.where("x IS NOT NULL")
-    classes = full.groupBy("h").agg(F.min("id").cast("long").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    classes = materialize(full.groupBy("h").agg(F.min("id").cast("long").alias("rep"), F.count(F.lit(1)).alias("copies")), "groups")
     without = base.where("x IS NULL").select("id", F.lit(None).cast("long").alias("rep"), F.lit(1).cast("long").alias("copies"))
     member = materialize(full.select("id", "h").join(classes, "h").select("id", "rep", "copies").union(without), "members")
     reps = full.join(classes.where("rep IS NOT NULL"), "h").where("id = rep").dropDuplicates(["h"])

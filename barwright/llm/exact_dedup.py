@@ -74,7 +74,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     winners = materialize(winners.coalesce(1), "winners")
     hot = base.join(F.broadcast(winners), "h")
     rest = base.join(F.broadcast(winners.select("h")), "h", "left_anti")
-    cold = rest.join(rest.groupBy("h").agg(*stats), "h")
+    cold = rest.join(materialize(rest.groupBy("h").agg(*stats), "groups"), "h")
     return hot.unionByName(cold).select(
         F.col("id").alias(id_col),
         "keep_id",

@@ -182,7 +182,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # documents with equal sets are one class
     full = base.where("n > 0")
-    classes = full.groupBy("d1", "d2").agg(F.min("id").alias("rep"))
+    classes = materialize(full.groupBy("d1", "d2").agg(F.min("id").alias("rep")), "groups")
     member = full.select("id", "d1", "d2").join(classes, ["d1", "d2"]).select("id", "rep").distinct()
     member = materialize(member, "classes")
     reps = full.join(member.where("id = rep").select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])

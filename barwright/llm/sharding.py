@@ -84,6 +84,7 @@ def balanced_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     quotas = _quotas(rows, shards)
     part = max(1, (rows // shards) // 2)
     groups = base.where("h IS NOT NULL").groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    groups = materialize(groups, "groups")
     parts = F.ceil(F.col("c") / F.lit(part)).cast("int")
     linked = base.join(groups, "h").withColumn("hub", F.xxhash64("h", F.pmod(F.xxhash64("key", F.lit(7)), parts)))
     linked = materialize(linked.select("id", "size", "crc", "key", "hub"), "linked")

@@ -74,6 +74,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     placed = materialize(placed, "runs")
     first = placed.groupBy("h").agg(F.min(F.struct("id", "a")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     first = first.select("h", F.col("first.id").alias("fid"), F.col("first.a").alias("fa"))
+    first = materialize(first, "repeats")  # so that the join can split a hot run
     later = placed.join(first, "h").where("id <> fid OR a <> fa")
     return later.groupBy("id").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("spans"))
 

@@ -224,7 +224,7 @@ def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     base = pages.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     payload = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
     marked = base.withColumn("h", F.when(F.length(payload) >= least, F.sha1(payload)).otherwise(F.concat(F.lit("small"), F.col("id").cast("string"))))
-    last = marked.groupBy("h").agg(F.max("id").alias("last"))
+    last = materialize(marked.groupBy("h").agg(F.max("id").alias("last")), "payloads")
     full = marked.join(last, "h").withColumn("refers_to", F.when(F.col("id") != F.col("last"), F.col("last")))
     files = materialize(write_archives(full, uri or scratch_path(spark, "warc")), "archives")
     found = materialize(read_archives(files), "records")
