@@ -19,6 +19,8 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+import types
 import unicodedata
 import zlib
 from bisect import bisect_left, insort
@@ -62,7 +64,7 @@ class PieceEncoder:
 
     def _learn(self, words: set[str]) -> None:
         """Encodes the words as one text; the tokens that end words part it again."""
-        for part in batched(words, 20_000):
+        for part in batched(words, 5_000):
             ids = np.asarray(self.tok.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
             cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
             if len(cuts) == len(part):
@@ -102,6 +104,15 @@ class PieceEncoder:
         return next(self.encode_all([text]))
 
 
+def worker_encoder(path: str) -> PieceEncoder:
+    """The encoder of this Python worker: later tasks go on with what it has loaded and learnt."""
+    state = sys.modules.setdefault("barwright_worker_state", types.ModuleType("barwright_worker_state"))
+    known = state.__dict__.setdefault("encoders", {})
+    if path not in known:
+        known[path] = PieceEncoder(path)
+    return known[path]
+
+
 def nnls(a: np.ndarray, b: np.ndarray, steps: int = 400) -> np.ndarray:
     """Non-negative least squares by accelerated projected gradient."""
     if not a.size:
@@ -209,7 +220,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, keep_
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = PieceEncoder(tokenizer_path)
+        enc = worker_encoder(tokenizer_path)
         end = np.asarray([END_ID], "<u4").tobytes()
         names = ["id", "piece", "start", "length", "ids_crc32", "ids"]
         for pdf in batches:

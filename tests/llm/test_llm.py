@@ -1,5 +1,6 @@
 """Each operator against brute force, an exact round trip or held-out accuracy, and its defined edge cases."""
 
+import functools
 import hashlib
 import io
 import math
@@ -146,8 +147,8 @@ def test_near_chain_and_group(spark):
     base = [f"w{rng.randrange(10**6)}" for _ in range(400)]
     rows = []
     for k in range(12):
-        words = base[: 400 - 30 * k] if False else [*base]
-        words[: 6 * k] = [f"c{k}x{j}" if False else f"c{j}" for j in range(6 * k)]
+        words = [*base]
+        words[: 6 * k] = [f"c{j}" for j in range(6 * k)]
         rows.append((k, " ".join(words)))
     for k in range(60):
         words = [*base[::-1]]
@@ -307,11 +308,15 @@ def test_kneser_ney_probabilities_sum_to_one():
 # 4 packing
 
 
-def brute_ids(text):
+@functools.cache
+def tokenizer():
     from tokenizers import Tokenizer
 
-    tok = Tokenizer.from_file(packing.tokenizer_file())
-    return [*tok.encode(text or "", add_special_tokens=False).ids, 1]
+    return Tokenizer.from_file(packing.tokenizer_file())
+
+
+def brute_ids(text):
+    return [*tokenizer().encode(text or "", add_special_tokens=False).ids, 1]
 
 
 def check_packing(got, rows):
@@ -347,7 +352,8 @@ def test_packing_edges(spark, edge, empty):
 
 
 def test_encoder_equals_tokenizer():
-    enc = packing.PieceEncoder(packing.tokenizer_file())
+    enc = packing.worker_encoder(packing.tokenizer_file())
+    assert enc is packing.worker_encoder(packing.tokenizer_file())
     rng = random.Random(4)
     pool = ["don't", "I'll", "''s", "re'rely", "a1b22", "½²", "ÀÉß", "µm", "ªº", "<|endoftext|>", "%%'s", " ", "\x85", "漢字", "İI", "é", "ﬁ", " ", "x\t\x0by", "__init__", "ÿ×÷", "'S 'T"]
     for _ in range(400):
