@@ -116,10 +116,17 @@ def sketch_limit(threshold: float, k: int) -> int:
     return min(n, math.ceil(expected + SIGMAS * math.sqrt(n) / 4))
 
 
+def sliced(batches: Iterator[pd.DataFrame], rows: int = 500) -> Iterator[pd.DataFrame]:
+    """The batches in parts, so that what is made of one part is gone before the next."""
+    for pdf in batches:
+        for lo in range(0, len(pdf), rows):
+            yield pdf.iloc[lo : lo + rows]
+
+
 def _sketches(docs: DataFrame, bands: int, rows: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sk = Sketcher(bands, rows)
-        for pdf in batches:
+        for pdf in sliced(batches):
             out = []
             for i, t in zip(pdf["id"], pdf["text"]):
                 h = shingle_hashes(t)
@@ -146,7 +153,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = shared.value
-        for pdf in batches:
+        for pdf in sliced(batches):
             at = pdf["at"].to_numpy("int64")
             pdf = pdf[(own[at // 64] >> (at % 64)) & 1 == 1]
             yield pd.DataFrame([(i, shingle_hashes(t).view(np.int64)) for i, t in zip(pdf["id"], pdf["text"])], columns=["id", "h"])

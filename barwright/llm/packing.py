@@ -38,7 +38,7 @@ from barwright.llm.common import dense_rank, materialize, table
 CAPACITY = 4096
 END_ID = 1
 BINS = 64
-WORD_CACHE = 400_000
+WORD_CACHE = 600_000
 GROUP_CHARS = 1 << 20
 
 #: Characters for which Python's and the tokenizer's normalisation agree without looking: ASCII and Latin-1 letters and signs.
@@ -59,7 +59,7 @@ class PieceEncoder:
         self.ends[[i for t, i in names.items() if t.endswith("</w>")]] = True
         letters = "".join(c for c in PLAIN.lower() if unicodedata.category(c)[0] == "L")
         digits = "".join(c for c in PLAIN if unicodedata.category(c)[0] == "N")
-        self.find = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{digits}]|[^\\x09-\\x0d {letters}{digits}]+").findall
+        self.find = re.compile(f"[{letters}]+|'(?:s|t|re|ve|m|ll|d)|[{digits}]|[^\\x09-\\x0d {letters}{digits}]+").findall
         self.odd = re.compile(f"[^{re.escape(PLAIN)}]|<\\|").search
 
     def _learn(self, words: set[str]) -> None:
