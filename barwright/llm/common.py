@@ -6,6 +6,8 @@ executors see, so a lost executor costs a re-read and not a recomputation.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -35,6 +37,18 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Returns a Python worker's free memory to the system, where the C library can: workers outlive their tasks."""
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def dense_rank(df: DataFrame, keys: list[str], order: list[str], out: str, salts: int = 256) -> DataFrame:
     """Numbers the rows of every key from 0 without gaps.
 

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barwright.llm.common import connected_components, materialize, table
+from barwright.llm.common import connected_components, give_back, materialize, table
 
 WORDS = 5
 MISS = 1e-6
@@ -137,6 +137,7 @@ def _sketches(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                 else:
                     out.append((i, 0, 0, 0, np.empty(0, np.int64), np.zeros(2 * SKETCH_WORDS, np.int64)))
             yield pd.DataFrame(out, columns=["id", "n", "d1", "d2", "bands", "odd"])
+        give_back()
 
     return docs.mapInPandas(run, "id long, n long, d1 long, d2 long, bands array<long>, odd array<long>")
 
@@ -157,6 +158,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             at = pdf["at"].to_numpy("int64")
             pdf = pdf[(own[at // 64] >> (at % 64)) & 1 == 1]
             yield pd.DataFrame([(i, shingle_hashes(t).view(np.int64)) for i, t in zip(pdf["id"], pdf["text"])], columns=["id", "h"])
+        give_back()
 
     found = docs.where("id IS NOT NULL").withColumn("at", place).mapInPandas(run, "id long, h array<long>")
     return materialize(found.join(wanted, "id", "left_semi").dropDuplicates(["id"]), "sets")
