@@ -57,7 +57,7 @@ def flag(cond: str) -> str:
 
 
 TRUE_RANGE = f"greatest(high - low, abs(high - {lag('close')}), abs(low - {lag('close')}))"
-LOG_RETURN = f"ln(close / {lag('close')})"
+LOG_RETURN = f"ln(NULLIF(close, 0) / NULLIF({lag('close')}, 0))"
 HOUR = "(hour(ts) + minute(ts) / 60.0)"
 RTH = f"({HOUR} >= 13.5 AND {HOUR} < 20.0)"
 

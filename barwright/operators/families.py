@@ -186,9 +186,9 @@ PRIMITIVES: dict[str, Plan] = {
     ),
     "bars_since_event": Plan([{"rn": "row_number() OVER (PARTITION BY symbol ORDER BY ts)"}, {"hit": "CASE WHEN volume >= 2 THEN rn END"}, {"last_at": ffill("hit")}], {"bars_since": "least(coalesce(rn - last_at, 100), 100)"}),
     "price_block_tf15": Plan(
-        [HAS_PREV, RET, *atr(), *rsi(14), *rsi(5), {"rng": "high - low"}, {"rp": "rng / close"}],
+        [HAS_PREV, RET, *atr(), *rsi(14), *rsi(5), {"rng": "high - low"}, {"rp": "rng / NULLIF(close, 0)"}],
         {
-            "logret": "lr", "vnret": "lr / NULLIF(atr14 / close, 0)", "body": "(close - open) / (rng + 1e-9)", "uwick": "(high - greatest(open, close)) / (rng + 1e-9)", "lwick": "(least(open, close) - low) / (rng + 1e-9)", "rangepct": "rp",
+            "logret": "lr", "vnret": "lr / NULLIF(atr14 / NULLIF(close, 0), 0)", "body": "(close - open) / (rng + 1e-9)", "uwick": "(high - greatest(open, close)) / (rng + 1e-9)", "lwick": "(least(open, close) - low) / (rng + 1e-9)", "rangepct": "rp",
             "rangez": f"(rp - ({roll('avg', 'rp', 16, 4)})) / (({roll('stddev_samp', 'rp', 16, 4)}) + 1e-9)", "rsi14": "(rsi14 - 50.0) / 50.0", "rsi5": "(rsi5 - 50.0) / 50.0", "volz": f"(volume - ({roll('avg', 'volume', 16, 4)})) / (({roll('stddev_samp', 'volume', 16, 4)}) + 1e-9)",
         },
     ),
@@ -201,7 +201,7 @@ for _n in (1, 5, 60):
     PRIMITIVES[f"ohlcv_{_n}m"] = Plan([], {c: c for c in ("open", "high", "low", "close", "volume")}, minutes=_n)
 
 
-_ret = lambda x, k: f"ln({x} / {lag(x, k)})"
+_ret = lambda x, k: f"ln(NULLIF({x}, 0) / NULLIF({lag(x, k)}, 0))"
 _cross = {n: (f"{n}5", f"{n}30") for n in ("nq", "es", "zb")}
 
 
