@@ -10,7 +10,9 @@ import ctypes
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -37,10 +39,15 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[dict[str, list]]:
+    """Arrow batches in parts, as lists by column: only one part's texts are Python strings at a time."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows).to_pydict()
+
+
 def give_back() -> None:
     """Returns a Python worker's free memory to the system, where the C library can: workers outlive their tasks."""
-    import pyarrow as pa
-
     gc.collect()
     pa.default_memory_pool().release_unused()
     try:

@@ -34,12 +34,12 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barwright.llm.common import connected_components, give_back, materialize, table
+from barwright.llm.common import connected_components, give_back, materialize, slices, table
 
 WORDS = 5
 MISS = 1e-6
@@ -116,19 +116,14 @@ def sketch_limit(threshold: float, k: int) -> int:
     return min(n, math.ceil(expected + SIGMAS * math.sqrt(n) / 4))
 
 
-def sliced(batches: Iterator[pd.DataFrame], rows: int = 500) -> Iterator[pd.DataFrame]:
-    """The batches in parts, so that what is made of one part is gone before the next."""
-    for pdf in batches:
-        for lo in range(0, len(pdf), rows):
-            yield pdf.iloc[lo : lo + rows]
-
-
 def _sketches(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kinds = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("bands", pa.list_(pa.int64())), ("odd", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sk = Sketcher(bands, rows)
-        for pdf in sliced(batches):
+        for part in slices(batches):
             out = []
-            for i, t in zip(pdf["id"], pdf["text"]):
+            for i, t in zip(part["id"], part["text"]):
                 h = shingle_hashes(t)
                 if len(h):
                     d = xxhash.xxh3_128_intdigest(h.tobytes())
@@ -136,10 +131,10 @@ def _sketches(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                     out.append((i, len(h), (d >> 64) - 2**63, (d & (2**64 - 1)) - 2**63, sk.band_keys(low), np.concatenate([sk.odd_sketch(low), sk.parity(h)])))
                 else:
                     out.append((i, 0, 0, 0, np.empty(0, np.int64), np.zeros(2 * SKETCH_WORDS, np.int64)))
-            yield pd.DataFrame(out, columns=["id", "n", "d1", "d2", "bands", "odd"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds.types)], schema=kinds)
         give_back()
 
-    return docs.mapInPandas(run, "id long, n long, d1 long, d2 long, bands array<long>, odd array<long>")
+    return docs.mapInArrow(run, "id long, n long, d1 long, d2 long, bands array<long>, odd array<long>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -152,15 +147,18 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     bitmap[rows["w"].to_numpy("int64")] = rows["b"].to_numpy("int64")
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kinds = pa.schema([("id", pa.int64()), ("h", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for pdf in sliced(batches):
-            at = pdf["at"].to_numpy("int64")
-            pdf = pdf[(own[at // 64] >> (at % 64)) & 1 == 1]
-            yield pd.DataFrame([(i, shingle_hashes(t).view(np.int64)) for i, t in zip(pdf["id"], pdf["text"])], columns=["id", "h"])
+        for part in slices(batches):
+            at = np.array(part["at"], np.int64)
+            hits = np.flatnonzero((own[at // 64] >> (at % 64)) & 1 == 1)
+            ids, sets = [part["id"][j] for j in hits], [shingle_hashes(part["text"][j]).view(np.int64) for j in hits]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], schema=kinds)
         give_back()
 
-    found = docs.where("id IS NOT NULL").withColumn("at", place).mapInPandas(run, "id long, h array<long>")
+    found = docs.where("id IS NOT NULL").withColumn("at", place).mapInArrow(run, "id long, h array<long>")
     return materialize(found.join(wanted, "id", "left_semi").dropDuplicates(["id"]), "sets")
 
 
