@@ -1,10 +1,10 @@
 """All queries over bars and their SQL."""
 
-from barwright.operators import evaluation, families, kernels, labels
+from barwright.operators import evaluation, families, kernels, labels, setups
 from barwright.plans import Plan
 from barwright.sources import bars_sql
 
-PLANS: dict[str, Plan] = families.PRIMITIVES | {f"fam_{k}": p for k, p in families.FAMILIES.items()} | evaluation.PLANS
+PLANS: dict[str, Plan] = families.PRIMITIVES | {f"fam_{k}": p for k, p in (families.FAMILIES | setups.SETUPS).items()} | evaluation.PLANS
 QUERIES = {k: p.run for k, p in PLANS.items()} | labels.QUERIES | kernels.QUERIES
 ORACLES = {k: p.sql() for k, p in PLANS.items()} | labels.ORACLES
 ORACLES["ema_trend"] = f"""
