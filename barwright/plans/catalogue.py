@@ -1,11 +1,11 @@
 """All queries over bars and their SQL."""
 
-from barwright.operators import evaluation, families, kernels, labels, setups, structure
+from barwright.operators import evaluation, execution, families, kernels, labels, setups, structure
 from barwright.plans import Plan
 from barwright.sources import bars_sql
 
-PLANS: dict[str, Plan] = families.PRIMITIVES | {f"fam_{k}": p for k, p in (families.FAMILIES | setups.SETUPS).items()} | evaluation.PLANS
-QUERIES = {k: p.run for k, p in PLANS.items()} | labels.QUERIES | kernels.QUERIES | structure.QUERIES
+PLANS: dict[str, Plan] = families.PRIMITIVES | {f"fam_{k}": p for k, p in (families.FAMILIES | setups.SETUPS).items()} | evaluation.PLANS | {"sim_candidates": execution.CANDIDATES}
+QUERIES = {k: p.run for k, p in PLANS.items()} | labels.QUERIES | kernels.QUERIES | structure.QUERIES | execution.QUERIES
 ORACLES = {k: p.sql() for k, p in PLANS.items()} | labels.ORACLES
 ORACLES["ema_trend"] = f"""
 WITH RECURSIVE b AS (SELECT symbol, ts, close, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS rn FROM ({bars_sql(15)}) x),
