@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barwright.llm.common import connected_components, give_back, materialize, slices, table
+from barwright.llm.common import TEXT_ROWS, connected_components, give_back, materialize, slices, table
 
 WORDS = 5
 MISS = 1e-6
@@ -159,7 +159,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         give_back()
 
     found = docs.where("id IS NOT NULL").withColumn("at", place).mapInArrow(run, "id long, h array<long>")
-    return materialize(found.join(wanted, "id", "left_semi").dropDuplicates(["id"]), "sets")
+    return materialize(found.join(wanted, "id", "left_semi").dropDuplicates(["id"]), "sets", TEXT_ROWS)
 
 
 def _near(limit: int, percent: int) -> F.Column:
@@ -185,7 +185,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bands, rows = band_plan(percent / 100)
     limit = sketch_limit(percent / 100, bands * rows)
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    base = materialize(_sketches(plain.where("id IS NOT NULL"), bands, rows), "sketches")
+    base = materialize(_sketches(plain.where("id IS NOT NULL"), bands, rows), "sketches", TEXT_ROWS)
 
     # documents with equal sets are one class
     full = base.where("n > 0")
