@@ -50,6 +50,26 @@ PERCENTILE = [
 ]
 PLANS["sim_absolute"] = Plan(ABSOLUTE, TOTALS, keys=SYM, group=True)
 PLANS["sim_percentile"] = Plan(PERCENTILE, TOTALS, keys=SYM, group=True)
+# Thresholds of the sweep, from and step; targets and stops of the reward sweep, in points, and its shares of best bars.
+ENTER, AVOID = (0.50, 0.02, 11), (0.30, 0.05, 5)
+RR = [(30.0, 30.0), (25.0, 30.0), (20.0, 30.0), (40.0, 20.0), (40.0, 30.0), (50.0, 30.0), (60.0, 20.0), (60.0, 30.0)]
+SHARES = [0.01, 0.05, 0.1, 0.2]
+_pick = lambda i, xs: f"(CASE {i} " + " ".join(f"WHEN {k} THEN {x}" for k, x in enumerate(xs)) + " END)"
+_level = lambda i, grid: f"round({grid[0]} + {grid[1]} * {i}, 2)"
+PLANS["sim_threshold_sweep"] = Plan(
+    [*PREDS, PNL, {"i": f"@each({ENTER[2]})@"}, {"j": f"@each({AVOID[2]})@"}, {"enter": _level("i", ENTER), "avoid": _level("j", AVOID)},
+     {"l0": "pl > enter AND ps < avoid", "s0": "ps > enter AND pl < avoid"}, {"tl": "l0 AND (NOT s0 OR pl >= ps)", "tsh": "s0 AND (NOT l0 OR ps > pl)"}, TAKEN],
+    TOTALS, keys=("symbol", "enter", "avoid"), group=True,
+)
+#: The best bars of either side; a bar that reaches both barriers counts as a loss, one that reaches none as nothing but its cost.
+PLANS["rr_sweep"] = Plan(
+    [*PREDS, {"kl": "row_number() OVER (PARTITION BY symbol ORDER BY pl DESC, ts)", "ks": "row_number() OVER (PARTITION BY symbol ORDER BY ps DESC, ts)", "n": f"count(*) OVER {ALL}"},
+     {"i": f"@each({len(RR)})@"}, {"j": f"@each({len(SHARES)})@"}, {"target": _pick("i", [t for t, _ in RR]), "stop": _pick("i", [s for _, s in RR]), "share": _pick("j", SHARES)},
+     {"take": "ceil(n * share - 1e-9)"}, {"tl": flag("kl <= take"), "tsh": flag("ks <= take")},
+     {"won": f"tl * {flag('mfe_l >= target AND mae_l < stop')} + tsh * {flag('mfe_s >= target AND mae_s < stop')}", "lost": f"tl * {flag('mae_l >= stop')} + tsh * {flag('mae_s >= stop')}"}],
+    {"n_trades": "sum(tl + tsh)", "wins": "sum(won)", "losses": "sum(lost)", "win_rate": "sum(won) * 1.0 / sum(tl + tsh)", "total_usd": f"(sum(won * target) - sum(lost * stop) - sum(tl + tsh) * {COST}) * {POINT}"},
+    keys=("symbol", "target", "stop", "share"), group=True, where="take >= 10",
+)
 DAILY = Plan([*ABSOLUTE, {"day": "CAST(ts AS DATE)"}], {"usd": "coalesce(sum(usd), 0.0)"}, keys=("symbol", "day"), group=True)
 _day = lambda f, x: f"{f}({x}) OVER (PARTITION BY symbol ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
 PLANS["daily_equity_drawdown"] = Plan([{"equity": _day("sum", "usd")}, {"peak": _day("max", "equity")}], {"usd": "usd", "equity": "equity", "drawdown": "peak - equity"}, keys=("symbol", "day"), source=DAILY)

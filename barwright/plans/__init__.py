@@ -17,6 +17,7 @@ def spark_text(expr: str) -> str:
     expr = re.sub(r"@last\((.*?)\)(\(PARTITION.*?\))@", r"last_value(\1) IGNORE NULLS OVER \2", expr)
     expr = re.sub(r"@rint\((.*?)\)@", r"rint(\1)", expr).replace("@dow@", "weekday(ts)")
     expr = re.sub(r"@median\((.*?)\)(\(PARTITION.*?\))@", r"percentile(\1, 0.5) OVER \2", expr)
+    expr = re.sub(r"@each\((\d+)\)@", r"explode(sequence(0, \1 - 1))", expr)
     return NUMBER.sub(r"\1e0", expr)
 
 
@@ -24,6 +25,7 @@ def duck_text(expr: str) -> str:
     expr = re.sub(r"@last\((.*?)\)(\(PARTITION.*?\))@", r"last_value(\1 IGNORE NULLS) OVER \2", expr)
     expr = re.sub(r"@rint\((.*?)\)@", r"round_even(\1, 0)", expr).replace("@dow@", "(isodow(ts) - 1)")
     expr = re.sub(r"@median\((.*?)\)(\(PARTITION.*?\))@", r"quantile_cont(\1, 0.5) OVER \2", expr)
+    expr = re.sub(r"@each\((\d+)\)@", r"unnest(range(0, \1))", expr)
     return NUMBER.sub(r"\1e0", expr)
 
 
