@@ -450,6 +450,34 @@ def test_sharding_hot_group_and_edges(spark, edge, empty):
     assert sharding.balanced_shards(empty).count() == 0
 
 
+def test_groups_that_fit_a_shard_stay_whole(spark):
+    rows, sizes = [], {}
+    for g, n in enumerate([60, 55, 70, 83] + [3] * 100):
+        sizes[f"group {g}"] = n
+        rows += [(len(rows) + k, f"group {g}") for k in range(n)]
+    rows += [(k, f"own {k}") for k in range(len(rows), 2000)]
+    got = sharding.balanced_shards(spark.createDataFrame(rows, "doc_id long, text string")).toPandas().set_index("doc_id")
+    n = got.groupby("shard").size()
+    assert len(n) == 24 and n.max() - n.min() <= 1
+    at = defaultdict(set)
+    for k, t in rows:
+        at[t].add(got.loc[k, "shard"])
+    assert all(len(at[t]) == 1 for t in sizes)
+
+
+def test_propagation_moves_documents_under_quotas(spark):
+    hubs = spark.createDataFrame([(bytes([k // 256, k % 256]), 0, 4 + k % 3) for k in range(400)], "h binary, p int, n long")
+    total = sum(4 + k % 3 for k in range(400))
+    quotas = [total // 8 + (s < total % 8) for s in range(8)]
+    begun = common.materialize(sharding.start_apart(hubs, total, quotas), "test")
+    spread = lambda df: (df.toPandas().groupby("h")["shard"].nunique() == 1).mean()
+    count = lambda df: df.toPandas().groupby("shard")["n"].sum().reindex(range(8), fill_value=0).tolist()
+    assert count(begun) == quotas and spread(begun) < 0.05
+    done = sharding.propagate(begun, quotas)
+    assert count(done) == quotas and spread(done) > 0.85
+    assert sharding.flows([[0, 5], [2, 0]], [10, 10], [10, 11]) == [[0, 3], [2, 0]]
+
+
 # 10 mixing
 
 
