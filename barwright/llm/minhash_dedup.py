@@ -257,7 +257,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
     """``docs`` with one document of each component, the one with the smallest id; columns unchanged."""
     gone = near_duplicates(docs, id_col, text_col, percent).where(F.col(id_col).isNotNull() & ~F.col("kept"))
     return docs.join(gone.select(F.col(id_col).alias("__gone")).distinct(), F.col(id_col) == F.col("__gone"), "left_anti")

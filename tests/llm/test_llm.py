@@ -600,6 +600,17 @@ def test_pipeline_against_its_stages_brute_force(spark, sf_dir):
         docs = out
 
 
+def test_pipeline_drops_near_copies_from_80_percent(spark, sf_dir):
+    import corpus_pipeline as cp
+
+    words = [f"w{k}" for k in range(100)]
+    changed = lambda at: " ".join("x" if k in at else w for k, w in enumerate(words))
+    # each word changed costs 5 of 96 shingles: Jaccard 86/106 = 0.81 and 81/111 = 0.73
+    df = spark.createDataFrame([(1, changed([])), (2, changed([30, 60])), (3, changed([20, 40, 80]))], "doc_id long, text string")
+    for out in (cp.near(spark, df, sf_dir), minhash_dedup.drop_near_copies(df)):
+        assert sorted(r["doc_id"] for r in out.collect()) == [1, 3]
+
+
 @pytest.mark.parametrize("name", ["op2_license_scan", "op6_warc"])
 def test_queries_return_whole_tables(spark, sf_dir, name, documents):
     got = QUERIES[name](spark, sf_dir).toPandas()
