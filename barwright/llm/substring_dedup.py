@@ -1,11 +1,12 @@
 """Substring dedup by sliding sentence spans.
 
 A text is cut into sentences (after . ! ? before white space, and at line
-breaks). At every sentence starts one run: the shortest sequence of consecutive
-sentences whose weights reach SPAN, a sentence weighing 1 and 1 more for each
-LONG words, and that has MIN_WORDS words. So a run is three common sentences, or
-fewer where they are long, and never a handful of words. Runs are hashed and
-joined globally; sentences that lie in a run of which an earlier copy exists
+breaks). At every sentence one run starts and one ends: the shortest sequences of
+consecutive sentences whose weights reach SPAN, a sentence weighing 1 and 1 more for
+each LONG words, and that have MIN_WORDS words. So a run is three common sentences,
+or fewer where they are long, and never a handful of words. These runs cover every
+longer one: a sentence of it has enough from there to its end, or from its start to
+there, or else lies in the run that starts with it. Runs are hashed and joined globally; sentences that lie in a run of which an earlier copy exists
 (smaller id, then earlier place) are removed. The first copy stays.
 
 A sentence's identity is its words, A-Z lowered, so white space does not matter.
@@ -48,18 +49,24 @@ def runs(parts: list[str], span: int = SPAN, long: int = LONG, min_words: int =
     words = [(i, w) for i, p in enumerate(parts) if (w := p.encode("utf-8", "surrogatepass").lower().split())]
     weight = [1 + len(w) // long for _, w in words]
     each = [xxhash.xxh3_64_intdigest(b" ".join(w)).to_bytes(8, "little") for _, w in words]
-    out, end, total, count = [], 0, 0, 0
-    for k in range(len(words)):
-        while end < len(words) and (total < span or count < min_words):
-            total += weight[end]
-            count += len(words[end][1])
-            end += 1
-        if total < span or count < min_words:
-            break
-        out.append((words[k][0], words[end - 1][0], xxhash.xxh3_64_intdigest(b"".join(each[k:end])) - 2**63))
-        total -= weight[k]
-        count -= len(words[k][1])
-    return out
+    found, total, count, first = set(), 0, 0, 0
+    enough = lambda t, c: t >= span and c >= min_words
+    for last in range(len(words)):
+        total += weight[last]
+        count += len(words[last][1])
+        while enough(total, count):  # the shortest runs of the starts whose first end this is
+            found.add((first, last))
+            total -= weight[first]
+            count -= len(words[first][1])
+            first += 1
+        if first:  # the run that ends here may start before the next start
+            k, t, c = first, total, count
+            while not enough(t, c):
+                k -= 1
+                t += weight[k]
+                c += len(words[k][1])
+            found.add((k, last))
+    return [(words[k][0], words[last][0], xxhash.xxh3_64_intdigest(b"".join(each[k : last + 1])) - 2**63) for k, last in sorted(found)]
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:

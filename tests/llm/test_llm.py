@@ -259,6 +259,34 @@ def test_passage_inside_sentences_is_found(spark):
     assert (got.loc[[1, 2, 3, 4], "n_removed"] >= 4).all()
 
 
+def brute_repeats(rows):
+    """(id, place) of sentences in any sequence of weight 3 and 12 words, of any length, of which an earlier copy exists; rows of (id, sentences)."""
+    first, later = {}, set()
+    for i, said in sorted(rows):
+        for a in range(len(said)):
+            for b in range(a, len(said)):
+                n = [len(x.split()) for x in said[a : b + 1]]
+                if sum(1 + k // 12 for k in n) >= 3 and sum(n) >= 12 and first.setdefault(tuple(said[a : b + 1]), (i, a)) != (i, a):
+                    later |= {(i, k) for k in range(a, b + 1)}
+    return later
+
+
+def test_substring_against_all_sequences(spark):
+    rng = random.Random(5)
+    say = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n)) + "."
+    pool = [say(rng.choice([1, 2, 4, 6, 11, 12, 20, 23, 30, 53])) for _ in range(40)]
+    rows = [(0, [say(9), say(53), say(6), say(9)])]
+    rows.append((1, [say(8), *rows[0][1][1:3], say(8)]))
+    for i in range(2, 60):
+        at = [rng.randrange(40) for _ in range(3)]
+        rows.append((i, [x for k in at for x in [*pool[k : k + rng.randrange(1, 6)], say(5)]]))
+    later = brute_repeats(rows)
+    assert {(1, 1), (1, 2)} <= later
+    df = spark.createDataFrame([(i, " ".join(said)) for i, said in rows], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"].split() for r in substring_dedup.substring_dedup(df).collect()}
+    assert got == {i: " ".join(x for k, x in enumerate(said) if (i, k) not in later).split() for i, said in rows}
+
+
 def test_substring_edges(edge, empty):
     got = substring_dedup.substring_dedup(edge).toPandas()
     assert len(got) == len(EDGE) and substring_dedup.substring_dedup(empty).count() == 0
