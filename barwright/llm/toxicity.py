@@ -10,8 +10,9 @@ models have not seen, turns both into a score.
 
 For an n-gram that no class has seen, both classes back off to the same lower
 order, which cancels in the difference: only the contexts' back-off masses stay.
-So the tables of the highest order are all that scoring needs. Their number is
-bounded by MAX_NGRAMS: while there are more, the order falls by one.
+So the tables of the highest order are all that scoring needs. The order is fixed
+and no n-gram is left out: the tables are as large as the n-grams of the rows
+learned from, whose number TRAINING bounds.
 
 Rows learned from: labelled (0 or 1), known text, and crc32(id) mod 5 not 0, at
 most TRAINING of them, those with the lowest hashes. The bound makes the ids and
@@ -44,7 +45,6 @@ from barwright.llm.common import TEXT_ROWS, give_back, materialize, slices, tabl
 
 ORDER = 5
 DISCOUNT = 0.75
-MAX_NGRAMS = 500_000
 TRAINING = 200_000
 CALIBRATION = 20_000
 WORD_CACHE = 300_000
@@ -222,7 +222,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int =
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> dict:
-    """The model: the broadcast tables (seen and unseen, flat, and the order), bounded by MAX_NGRAMS, and the curve's weights."""
+    """The model: the broadcast tables (seen and unseen, flat, and the order) and the curve's weights."""
     truth = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & (fold_of(id_col) > 0)).withColumn("__k", F.xxhash64(id_col))
     truth = truth.where(_lowest("__k", truth.count(), TRAINING))
     truth = truth.groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col)).cast("int").alias("y"))
@@ -230,12 +230,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = known.where("fold > 0").join(F.broadcast(truth), "id")  # about TRAINING rows at most
     words = materialize(_word_counts(rows.where("fold < 4")), "words", TEXT_ROWS)
     order = ORDER
-    while True:
-        grams = materialize(_ngram_counts(words, order), "grams")
-        if order <= 3 or grams.count() <= MAX_NGRAMS:
-            break
-        order -= 1
-    local = grams.toPandas()  # at most MAX_NGRAMS rows
+    grams = materialize(_ngram_counts(words, order), "grams")
+    local = grams.toPandas()  # the n-grams of about TRAINING rows at most
     seen, unseen = log_ratios(local, order) if len(local) else ({}, {})
     tables = docs.sparkSession.sparkContext.broadcast((flat(seen), flat(unseen), order))
     del local, seen, unseen

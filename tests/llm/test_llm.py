@@ -325,6 +325,16 @@ def test_toxicity_ignores_held_out_labels(spark, edge, empty):
     assert toxicity.drop_toxic(edge, labels).columns == edge.columns
 
 
+def test_toxicity_order_does_not_fall_with_size(spark):
+    rng = random.Random(4)
+    letters = [chr(c) for c in range(0x4E00, 0x4E00 + 3000)]
+    rows = [(k, " ".join("".join(rng.choices(letters, k=40)) for _ in range(50)), k % 2) for k in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.train(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    seen, _, order = model["tables"].value
+    assert order == toxicity.ORDER == 5 and seen[0].count("\n") > 500_000
+
+
 def test_kneser_ney_probabilities_sum_to_one():
     """Over all characters after a context, both classes' probabilities sum to 1: checked through the ratio tables."""
     grams = pd.DataFrame([("^a", 5, 1), ("^b", 3, 3), ("^ab", 4, 0), ("^aa", 1, 1), ("ab$", 4, 1)], columns=["gram", "o", "t"])
