@@ -2,8 +2,7 @@
 
 Every line of every file is a candidate header, and the file as a whole a
 candidate licence file. Terms are weighted tf * idf, idf from the number of
-lines of the whole corpus that hold the term (terms that no template has count as
-the rarest). A prefix of each template's terms that could not reach the threshold
+lines of the whole corpus that hold the term, for all terms. A prefix of each template's terms that could not reach the threshold
 alone is left out of the candidate filter; a line without any other template term
 cannot pass, so the filter loses nothing. Terms then join the templates' few
 hundred weights.
@@ -93,11 +92,12 @@ def license_scan(files: DataFrame, path_col: str = "path", text_col: str = "text
     base = files.select(F.col(path_col).alias("path"), F.col(text_col).alias("text"))
     line = base.select("path", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     line = line.select("path", "pos", F.expr(f"regexp_extract_all(lower(line), '{TOKEN.replace(chr(92), chr(92) * 2)}', 0)").alias("tokens"))
-    words = F.array(*[F.lit(t) for t in vocabulary])
-    df = {r["t"]: r["n"] for r in line.where(F.size("tokens") > 0).select(F.explode(F.concat(F.array(F.lit("")), F.array_intersect("tokens", words))).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per template term
+    # the empty term counts the lines
+    held = line.where(F.size("tokens") > 0).select(F.explode(F.concat(F.array(F.lit("")), F.array_distinct("tokens"))).alias("term"))
+    counts = materialize(held.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "frequencies")
+    df = {r["term"]: r["df"] for r in counts.where(F.col("term").isin(["", *vocabulary])).collect()}  # one row per template term
     lines = df.pop("", 0)
     weights = template_weights(df, lines, templates)
-    known = spark.createDataFrame([(t, idf(df.get(t, 0), lines)) for t in vocabulary], "term string, idf double")
     wanted = spark.createDataFrame([(t, n, w) for n, ws in weights.items() for t, w in ws.items()], "term string, name string, w double")
     must = F.array(*[F.lit(t) for t in sorted(anchors(weights, threshold))])
     hit = materialize(line.where(F.arrays_overlap("tokens", must)), "lines")
@@ -107,7 +107,9 @@ def license_scan(files: DataFrame, path_col: str = "path", text_col: str = "text
     # repeated rows of a path: lines are told apart by content, not by place
     unit = hit.unionByName(whole).select("path", F.when(F.col("pos") < 0, -1).otherwise(0).alias("kind"), F.xxhash64("tokens").alias("unit"), "tokens").dropDuplicates(["path", "kind", "unit"])
     tf = unit.select("path", "kind", "unit", F.explode("tokens").alias("term")).groupBy("path", "kind", "unit", "term").agg(F.count(F.lit(1)).alias("tf"))
-    tf = materialize(tf.join(F.broadcast(known), "term", "left").withColumn("x", F.col("tf") * F.coalesce("idf", F.lit(idf(0, lines)))), "weights")
+    tf = materialize(tf, "terms")  # so that the join can split a common term
+    weight = F.col("tf") * (F.log(F.lit(float(1 + lines)) / (F.col("df") + 1)) + 1)
+    tf = materialize(tf.join(counts, "term").withColumn("x", weight), "weights")
     key = ["path", "kind", "unit"]
     norm = tf.groupBy(*key).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
     dot = tf.join(F.broadcast(wanted), "term").groupBy(*key, "name").agg(F.sum(F.col("x") * F.col("w")).alias("dot"))

@@ -599,6 +599,16 @@ def test_license_own(spark, documents):
     assert len(own) > 10
 
 
+def test_license_weighs_common_words_by_their_frequency(spark):
+    rows = [(f"t/{k}", f"the team says hello by x{k}") for k in range(200)] + [("c/x.c", "Released under the MIT License, by team says hello")]
+    lines = [set(re.findall("[a-z0-9]+", t.lower())) for _, t in rows]
+    weigh = lambda t: math.log((1 + len(lines)) / (1 + sum(t in x for x in lines))) + 1
+    size = lambda x: sum(weigh(t) ** 2 for t in x)
+    want = math.sqrt(size(["released", "under", "the", "mit", "license"]) / size(lines[-1]))
+    got = license_scan.license_scan(spark.createDataFrame(rows, "path string, text string")).where("license IS NOT NULL").collect()
+    assert [(r["path"], r["license"], r["score"]) for r in got] == [("c/x.c", "MIT", pytest.approx(want, abs=1e-8))]
+
+
 def test_license_inheritance_and_edges(spark):
     t = license_scan.TEMPLATES
     rows = [("LICENSE", t["MIT"]), ("a/x.c", "int x;"), ("a/b/COPYING", t["GPL-3.0"] + ".\nmore of it"), ("a/b/c/y.c", "int y;"), ("a/b/z.c", "# " + t["Apache-2.0"]), ("n/empty", ""), ("n/null", None), (None, "x"), ("a/x.c", "int x;"), ("d/long", "word " * 50000)]
