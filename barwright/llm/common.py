@@ -7,17 +7,19 @@ executors see, so a lost executor costs a re-read and not a recomputation.
 from __future__ import annotations
 
 import ctypes
+import functools
 import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 TEXT_ROWS = 1000  # rows of an Arrow batch that carries whole texts
+PART_ROWS = 100_000  # rows that one task of a rank sorts, about
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -26,9 +28,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_path(spark: SparkSession, tag: str) -> str:
-    """A new path below ``spark.checkpoint.dir``; a temporary folder only where that is unset, as in tests."""
+    """A new path below ``spark.checkpoint.dir``; where that is unset, a temporary folder on a local master and an error on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="barwright-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
@@ -68,7 +72,12 @@ def give_back() -> None:
         pass
 
 
-def dense_rank(df: DataFrame, keys: list[str], order: list[str], out: str, salts: int = 256) -> DataFrame:
+def rank_parts(rows: int) -> int:
+    """Hash parts of a key for ``dense_rank``: even a key of all ``rows`` has about PART_ROWS in each."""
+    return max(256, -(-rows // PART_ROWS))
+
+
+def dense_rank(df: DataFrame, keys: list[str], order: list[str], out: str, salts: int) -> DataFrame:
     """Numbers the rows of every key from 0 without gaps.
 
     A key's rows are ranked within ``salts`` hash parts and each part starts
@@ -90,6 +99,29 @@ def dense_rank(df: DataFrame, keys: list[str], order: list[str], out: str, salts
     )
 
 
+def packed(docs: DataFrame, **keys: Column) -> DataFrame:
+    """The rows of ``docs`` as one struct ``row`` beside key columns: no name of theirs can clash with a helper's."""
+    return docs.select(F.struct("*").alias("row"), *[c.alias(k) for k, c in keys.items()])
+
+
+def same(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
+    """Equality of all keys, nulls included."""
+    return functools.reduce(Column.__and__, [a[k].eqNullSafe(b[k]) for k in keys])
+
+
+def keep_rows(rows: DataFrame, names: list[str], gone: DataFrame, once: DataFrame) -> DataFrame:
+    """The packed rows without those whose keys are in ``gone``, and with one row for each of the keys in ``once``.
+
+    Both tables have the key columns, each key once. Of the rows with a key in
+    ``once`` the one with the lowest hash stays: a minimum combined map-side.
+    """
+    rows = rows.join(gone, same(rows, gone, names), "left_anti")
+    if not once.limit(1).count():
+        return rows.select("row.*")
+    several = rows.join(once, same(rows, once, names), "left_semi").groupBy(*names).agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return rows.join(once, same(rows, once, names), "left_anti").select("row").unionByName(several.select("row")).select("row.*")
+
+
 def _edge_state(edges: DataFrame) -> tuple:
     r = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     return r[0], r[1]
