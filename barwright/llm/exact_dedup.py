@@ -7,9 +7,12 @@ remaining digests are shuffled.
 
 Defined cases: a null text counts as empty; equal means identical after
 lower-casing A-Z only; of equal texts the largest id stays; a null id never
-wins over another; rows that repeat an id all carry the group's answer, so all
-rows with the winning id are kept; an empty table gives an empty result. Other
-columns are ignored, whatever their names.
+wins over another; rows that repeat an id each carry the answer of their own
+text's group, so all rows with a group's winning id and text have ``kept``; an
+empty table gives an empty result. Other columns are ignored, whatever their
+names. ``drop_copies`` decides by row: of each text exactly one row stays, of rows
+with the largest id one of them, and of rows with a null id one where no other
+has the text.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barwright.llm.common import UPPER, materialize, table
+from barwright.llm.common import UPPER, keep_rows, materialize, packed, table
 
 COUNTERS = 512
 MERGE_GROUPS = 32
@@ -61,8 +64,8 @@ def heavy_digests(df: DataFrame, digest: str, counters: int) -> list[str]:
     return list(reduce_summary(rows.groupby("h")["n"].sum(), counters).index)
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = COUNTERS) -> DataFrame:
-    """One row per input row: id, keep_id, group_size, kept, text_sha256."""
+def _split(docs: DataFrame, id_col: str, text_col: str, counters: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(digests, winners, groups): (id, h) of all rows, (h, keep_id, group_size) of frequent digests and of the others."""
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).alias("id"), normalised_digest(F.col(text_col)).alias("h"))
     base = materialize(base, "digests")
@@ -72,9 +75,15 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     winners = base.join(F.broadcast(candidates), "h", "left_semi").groupBy("h").agg(*stats)
     winners = winners.where(F.col("group_size") * (counters + 1) > F.lit(rows))
     winners = materialize(winners.coalesce(1), "winners")
-    hot = base.join(F.broadcast(winners), "h")
     rest = base.join(F.broadcast(winners.select("h")), "h", "left_anti")
-    cold = rest.join(materialize(rest.groupBy("h").agg(*stats), "groups"), "h")
+    return base, winners, materialize(rest.groupBy("h").agg(*stats), "groups")
+
+
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = COUNTERS) -> DataFrame:
+    """One row per input row: id, keep_id, group_size, kept, text_sha256."""
+    base, winners, groups = _split(docs, id_col, text_col, counters)
+    hot = base.join(F.broadcast(winners), "h")
+    cold = base.join(F.broadcast(winners.select("h")), "h", "left_anti").join(groups, "h")
     return hot.unionByName(cold).select(
         F.col("id").alias(id_col),
         "keep_id",
@@ -84,10 +93,20 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
-def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows whose text another row keeps; columns unchanged."""
-    gone = exact_groups(docs, id_col, text_col).where(~F.col("kept")).select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("__gone")), "left_anti")
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = COUNTERS) -> DataFrame:
+    """One row of ``docs`` for each text, that with the largest id; columns unchanged.
+
+    Copies of frequent texts go where they are read; the others' ids and digests are joined.
+    """
+    base, winners, groups = _split(docs, id_col, text_col, counters)
+    groups = groups.where("group_size > 1").unionByName(winners)
+    stays = F.col("id").eqNullSafe(F.col("keep_id"))
+    pairs = base.join(materialize(groups, "copies"), "h").groupBy("id", "h").agg(F.first(stays).alias("stays"), F.count(F.lit(1)).alias("n"))
+    pairs = materialize(pairs, "pairs")
+    rows = packed(docs, id=F.col(id_col), h=normalised_digest(F.col(text_col)))
+    frequent = winners.select(F.col("h").alias("wh"), "keep_id")
+    rows = rows.join(F.broadcast(frequent), (F.col("h") == F.col("wh")) & ~stays, "left_anti")
+    return keep_rows(rows, ["id", "h"], pairs.where("NOT stays").select("id", "h"), pairs.where("stays AND n > 1").select("id", "h"))
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
