@@ -23,9 +23,10 @@ CALIBRATION rows.
 Defined cases: a null or empty text, or one without letters and digits, has no
 evidence and gets the curve's value at zero; without labelled rows of both
 classes every score is the share of toxic rows, or 0 if there are none; a null
-id counts as the text "" and is never learned from; label rows that repeat an id
-count as one, toxic if any of them is; repeated rows are scored alike; other
-columns are ignored.
+id counts as the text "" for its fold, is never learned from, and is scored and
+dropped by its text like any other; label rows that repeat an id count as one,
+toxic if any of them is; repeated rows are scored alike, and of rows that repeat an
+id each is judged by its own text; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -254,6 +255,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return {"tables": tables, "weights": weights}
 
 
+def predict(scorer: WordScorer, texts: pa.Array, weights: np.ndarray) -> np.ndarray:
+    """The scores of an Arrow column of texts, of which few are Python strings at a time."""
+    parts = (texts.slice(lo, 500).to_pylist() for lo in range(0, len(texts), 500))
+    scored = [scorer.features(t) for part in parts for t in part]
+    return 1 / (1 + np.exp(-np.clip(design(np.array(scored, float).reshape(-1, 2)) @ weights, -30, 30)))
+
+
 def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, held_out, score, predicted. Reads the id and the text only."""
     shared, weights = model["tables"], model["weights"]
@@ -261,8 +269,7 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = WordScorer.of(shared.value)
         for batch in batches:
-            scored = [scorer.features(t) for part in slices([batch.select(["text"])]) for t in part["text"]]
-            p = 1 / (1 + np.exp(-np.clip(design(np.array(scored, float).reshape(-1, 2)) @ weights, -30, 30)))
+            p = predict(scorer, batch.column(2), weights)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(p), pa.array((p >= 0.5).astype("int32"))], names=["id", "held_out", "score", "predicted"])
         del scorer
         give_back()
@@ -277,10 +284,19 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows predicted toxic, in one pass over the text; columns unchanged."""
+    """``docs`` without the rows predicted toxic, each judged by its own text where it is read; columns unchanged."""
     model = train(docs, labels, id_col, text_col)
-    bad = score(docs, model, id_col, text_col).where("predicted = 1").select(F.col(id_col).alias("__bad")).distinct()
-    return docs.join(materialize(bad, "toxic", TEXT_ROWS), F.col(id_col) == F.col("__bad"), "left_anti")
+    shared, weights = model["tables"], model["weights"]
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = WordScorer.of(shared.value)
+        for batch in batches:
+            yield batch.filter(pa.array(predict(scorer, batch.column(at), weights) < 0.5))
+        del scorer
+        give_back()
+
+    return materialize(docs.mapInArrow(run, docs.schema), "clean", TEXT_ROWS)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
