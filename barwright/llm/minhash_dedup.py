@@ -4,7 +4,7 @@
    and an odd sketch: every sample flips one bit of a parity bitmap, so the XOR
    of two sketches has one bit for each sample in which they differ (up to
    collisions). Its population count estimates high similarities closely.
-2. Documents with equal sets fold into one class, named by its smallest id.
+2. Documents with equal sets fold into one class, which gets a number.
 3. Classes that share a band form a bucket. A bucket's leader, the member with
    most bucket mates overall, is compared with all the others: one candidate for
    each member, not one for each pair. Confirmed links join components.
@@ -16,16 +16,22 @@ Two rounds of leaders run, the second with members drawn by hash. Candidates pas
 two sketch tests: the odd sketch of the samples (SIGMAS standard deviations below
 the threshold), and one of the whole set, whose differing bits can never be more
 than the sets' differing shingles, so that it rejects nothing wrongly. What is
-left is confirmed on the full sets. Sets are computed again from the texts that
-candidates name; a bitmap of those ids, of bounded size, keeps the other texts out
-of the shuffle. Bands are chosen so that a pair at the threshold misses all of
+left is confirmed on the full sets. Sets are computed again from one text of each
+class that candidates name; a bitmap of those rows, of bounded size, keeps the other
+texts out of the shuffle. Bands are chosen so that a pair at the threshold misses all of
 them with a probability below MISS.
 
+Rows are told apart by hashes of id and text together, so nulls and repeated ids
+take part like any others.
+
 Words are the ASCII-whitespace separated parts of the text with A-Z lowered.
 Defined cases: null, empty or blank texts have no shingles and no links; fewer
-than five words make one shingle of the whole sequence; a null id takes no part
-and returns with a null component, not kept; rows that repeat an id share its
-component through the smallest of their sets; other columns are ignored.
+than five words make one shingle of the whole sequence; a null id names no
+component: its row has the smallest id that it hangs together with, or null, and is
+not ``kept``; rows that repeat an id are judged by their own texts each; other columns are
+ignored, whatever their names. ``drop_near_copies`` keeps exactly one row of each
+component, that with the smallest id (null last, then by hash), and all rows
+without shingles.
 """
 
 from __future__ import annotations
@@ -39,7 +45,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barwright.llm.common import TEXT_ROWS, connected_components, give_back, materialize, slices, table
+from barwright.llm.common import TEXT_ROWS, connected_components, give_back, keep_rows, materialize, packed, slices, table
 
 WORDS = 5
 MISS = 1e-6
@@ -117,49 +123,51 @@ def sketch_limit(threshold: float, k: int) -> int:
 
 
 def _sketches(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    kinds = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("bands", pa.list_(pa.int64())), ("odd", pa.list_(pa.int64()))])
+    own = ["id", "k1", "k2", "n", "d1", "d2"]
+    kinds = pa.schema([*[(c, pa.int64()) for c in own], ("bands", pa.list_(pa.int64())), ("odd", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sk = Sketcher(bands, rows)
         for part in slices(batches):
             out = []
-            for i, t in zip(part["id"], part["text"]):
+            for t in part["text"]:
                 h = shingle_hashes(t)
                 if len(h):
                     d = xxhash.xxh3_128_intdigest(h.tobytes())
                     low = sk.samples(h)
-                    out.append((i, len(h), (d >> 64) - 2**63, (d & (2**64 - 1)) - 2**63, sk.band_keys(low), np.concatenate([sk.odd_sketch(low), sk.parity(h)])))
+                    out.append((len(h), (d >> 64) - 2**63, (d & (2**64 - 1)) - 2**63, sk.band_keys(low), np.concatenate([sk.odd_sketch(low), sk.parity(h)])))
                 else:
-                    out.append((i, 0, 0, 0, np.empty(0, np.int64), np.zeros(2 * SKETCH_WORDS, np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds.types)], schema=kinds)
+                    out.append((0, 0, 0, np.empty(0, np.int64), np.zeros(2 * SKETCH_WORDS, np.int64)))
+            cols = [part["id"], part["k1"], part["k2"], *zip(*out)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds.types)], schema=kinds)
         give_back()
 
-    return docs.mapInArrow(run, "id long, n long, d1 long, d2 long, bands array<long>, odd array<long>")
+    return docs.mapInArrow(run, ", ".join(f"{c} long" for c in own) + ", bands array<long>, odd array<long>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(id, h) of the ids in ``wanted``: the others' texts are not shuffled, but for the bitmap's false hits."""
+    """(c, h) of the classes (c, k1, k2) in ``wanted``: the others' texts are not shuffled, but for the bitmap's false hits."""
     bits = min(FILTER_BITS, 1 << max(16, (64 * wanted.count()).bit_length()))
-    place = F.pmod(F.xxhash64("id"), F.lit(bits))
+    place = F.pmod("k1", F.lit(bits))
     words = wanted.select(place.alias("at")).selectExpr("int(at div 64) AS w", "shiftleft(1L, int(at % 64)) AS b")
     rows = words.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()  # at most FILTER_BITS / 64 rows
     bitmap = np.zeros(bits // 64, np.int64)
     bitmap[rows["w"].to_numpy("int64")] = rows["b"].to_numpy("int64")
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
-    kinds = pa.schema([("id", pa.int64()), ("h", pa.list_(pa.int64()))])
+    kinds = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("h", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for part in slices(batches):
             at = np.array(part["at"], np.int64)
             hits = np.flatnonzero((own[at // 64] >> (at % 64)) & 1 == 1)
-            ids, sets = [part["id"][j] for j in hits], [shingle_hashes(part["text"][j]).view(np.int64) for j in hits]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], schema=kinds)
+            cols = [[part["k1"][j] for j in hits], [part["k2"][j] for j in hits], [shingle_hashes(part["text"][j]).view(np.int64) for j in hits]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds.types)], schema=kinds)
         give_back()
 
-    found = docs.where("id IS NOT NULL").withColumn("at", place).mapInArrow(run, "id long, h array<long>")
-    return materialize(found.join(wanted, "id", "left_semi").dropDuplicates(["id"]), "sets", TEXT_ROWS)
+    found = docs.select("k1", "k2", "text", place.alias("at")).mapInArrow(run, "k1 long, k2 long, h array<long>")
+    return materialize(found.join(wanted, ["k1", "k2"]).groupBy("c").agg(F.first("h").alias("h")), "sets", TEXT_ROWS)
 
 
 def _near(limit: int, percent: int) -> F.Column:
@@ -172,57 +180,54 @@ def _near(limit: int, percent: int) -> F.Column:
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (u, v) with 100 * intersection >= percent * union of the full sets."""
-    own = sets.select(F.col("id").alias("u"), F.col("h").alias("uh"))
-    other = sets.select(F.col("id").alias("v"), F.col("h").alias("vh"))
+    own = sets.select(F.col("c").alias("u"), F.col("h").alias("uh"))
+    other = sets.select(F.col("c").alias("v"), F.col("h").alias("vh"))
     both = pairs.join(own, "u").join(other, "v")
     meet = F.size(F.array_intersect("uh", "vh"))
     union = F.size("uh") + F.size("vh") - F.col("meet")
     return both.withColumn("meet", meet).where(F.lit(100) * F.col("meet") >= F.lit(percent) * union).select("u", "v")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
-    """One row per input row: id, n_shingles, component_id, kept."""
+def _placed(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
+    """One row per input row: id, k1, k2, n, comp (the component's number, null without shingles) and low, its smallest id."""
     bands, rows = band_plan(percent / 100)
     limit = sketch_limit(percent / 100, bands * rows)
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    base = materialize(_sketches(plain.where("id IS NOT NULL"), bands, rows), "sketches", TEXT_ROWS)
+    plain = plain.select("*", F.xxhash64("id", "text").alias("k1"), F.xxhash64("text", "id", F.lit(SEED)).alias("k2"))
+    base = materialize(_sketches(plain, bands, rows), "sketches", TEXT_ROWS)
 
-    # documents with equal sets are one class
+    # documents with equal sets are one class; the numbers hold once they are written
     full = base.where("n > 0")
-    classes = materialize(full.groupBy("d1", "d2").agg(F.min("id").alias("rep")), "groups")
-    member = full.select("id", "d1", "d2").join(classes, ["d1", "d2"]).select("id", "rep").distinct()
-    member = materialize(member, "classes")
-    reps = full.join(member.where("id = rep").select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
-    reps = materialize(reps.select("id", "n", "odd", "bands"), "reps")
-    sketch = reps.select("id", "n", "odd")
-
-    # buckets of at least two classes
-    held = reps.select("id", F.explode("bands").alias("key"))
-    sizes = held.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    classes = full.groupBy("d1", "d2").agg(F.min("id").alias("low"), F.min(F.struct("k1", "k2")).alias("row"), *[F.first(c).alias(c) for c in ("n", "odd", "bands")])
+    classes = materialize(classes.select(F.monotonically_increasing_id().alias("c"), "d1", "d2", "low", "row.k1", "row.k2", "n", "odd", "bands"), "classes")
+    member = full.select("id", "k1", "k2", "n", "d1", "d2").join(classes.select("d1", "d2", "c", "low"), ["d1", "d2"]).drop("d1", "d2")
+    member = materialize(member, "members")
+    sketch = classes.select("c", "n", "odd")
+
+    # buckets of at least two classes; tables that meet by bucket are written first, so that hot buckets can be split
+    held = materialize(classes.select("c", F.explode("bands").alias("key")), "held")
+    sizes = materialize(held.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")
     buckets = materialize(held.join(sizes, "key"), "buckets")
 
     def sketched(pairs: DataFrame) -> DataFrame:
         """The pairs (u, v) that pass the sketch tests."""
-        one = sketch.select(F.col("id").alias("u"), F.col("n").alias("an"), F.col("odd").alias("ao"))
-        two = sketch.select(F.col("id").alias("v"), F.col("n").alias("bn"), F.col("odd").alias("bo"))
+        one = sketch.select(F.col("c").alias("u"), F.col("n").alias("an"), F.col("odd").alias("ao"))
+        two = sketch.select(F.col("c").alias("v"), F.col("n").alias("bn"), F.col("odd").alias("bo"))
         return pairs.join(one, "u").join(two, "v").where(_near(limit, percent)).select("u", "v")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        wanted = materialize(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "wanted")
-        return _confirm(pairs, _sets(plain, wanted), percent)
+        wanted = pairs.select(F.explode(F.array("u", "v")).alias("c")).distinct().join(classes.select("c", "k1", "k2"), "c")
+        return _confirm(pairs, _sets(plain, materialize(wanted, "wanted")), percent)
 
     links = comp = tried = None
     live = buckets
     for turn in range(2):
         if turn:
-            score = F.xxhash64("id", F.lit(turn))
-            ranked = live.withColumn("score", score)
+            ranked = live.withColumn("score", F.xxhash64("c", F.lit(turn)))
         else:
-            mates = live.groupBy("id").agg(F.sum("c").alias("score"))
-            ranked = live.join(mates, "id")
-        leaders = ranked.groupBy("key").agg(F.max(F.struct(F.col("score"), (-F.col("id")).alias("neg"))).alias("l"))
-        leaders = leaders.select("key", (-F.col("l.neg")).alias("lead"))
-        star = live.join(leaders, "key").where("id <> lead").select(F.least("id", "lead").alias("u"), F.greatest("id", "lead").alias("v")).distinct()
+            ranked = live.join(materialize(live.groupBy("c").agg(F.sum("size").alias("score")), "mates"), "c")
+        leaders = ranked.groupBy("key").agg(F.max_by("c", F.struct(F.col("score"), -F.col("c"))).alias("lead"))
+        star = live.join(materialize(leaders, "leaders"), "key").where("c <> lead").select(F.least("c", "lead").alias("u"), F.greatest("c", "lead").alias("v")).distinct()
         if tried is not None:
             star = star.join(tried, ["u", "v"], "left_anti")
         star = materialize(sketched(star), "star")
@@ -231,36 +236,48 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         links = materialize(found if links is None else links.union(found), "links")
         comp = materialize(connected_components(links), "components")
         # members of one bucket in different components remain
-        placed = buckets.join(comp, buckets["id"] == comp["node"], "left").select("key", "id", "c", F.coalesce("component", "id").alias("comp"))
+        placed = buckets.join(comp, buckets["c"] == comp["node"], "left").select("key", "c", "size", F.coalesce("component", "c").alias("comp"))
+        placed = materialize(placed, "placed")
         apart = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-        live = materialize(placed.join(apart, "key", "left_semi"), "open")
+        live = materialize(placed.join(materialize(apart, "apart"), "key", "left_semi"), "open")
 
-    full_rows = live.join(sketch, "id")
-    a = full_rows.select("key", F.col("id").alias("u"), F.col("n").alias("an"), F.col("odd").alias("ao"), F.col("comp").alias("uc"))
-    b = full_rows.select("key", F.col("id").alias("v"), F.col("n").alias("bn"), F.col("odd").alias("bo"), F.col("comp").alias("vc"))
+    left = materialize(live.join(sketch, "c"), "left")
+    a = left.select("key", F.col("c").alias("u"), F.col("n").alias("an"), F.col("odd").alias("ao"), F.col("comp").alias("uc"))
+    b = left.select("key", F.col("c").alias("v"), F.col("n").alias("bn"), F.col("odd").alias("bo"), F.col("comp").alias("vc"))
     cross = a.join(b, (a["key"] == b["key"]) & (F.col("u") < F.col("v")) & (F.col("uc") != F.col("vc")) & _near(limit, percent))
     cross = materialize(cross.select("u", "v").distinct().join(tried, ["u", "v"], "left_anti"), "cross")
     more = materialize(confirmed(cross), "links")
     if more.limit(1).count():
         comp = materialize(connected_components(links.union(more)), "components")
 
-    # back to the rows; classes are named by their smallest id, so components are too
-    place = member.join(comp, member["rep"] == comp["node"], "left").groupBy("id").agg(F.min(F.coalesce("component", "rep")).alias("component"))
-    counted = base.select("id", "n").join(place, "id", "left")
-    counted = counted.select("id", "n", F.coalesce("component", "id").alias("component"))
-    without = plain.where("id IS NULL").select("id", F.lit(0).cast("long").alias("n"), F.lit(None).cast("long").alias("component"))
-    return counted.union(without).select(
+    # back to the rows, with the smallest id of each component
+    named = materialize(comp.join(classes.select(F.col("c").alias("node"), "low"), "node"), "named")
+    lows = materialize(named.groupBy("component").agg(F.min("low").alias("least")), "lows")
+    found = named.join(lows, "component").select(F.col("node").alias("c"), "component", "least")
+    rows = member.join(materialize(found, "found"), "c", "left")
+    rows = rows.select("id", "k1", "k2", "n", F.coalesce("component", "c").alias("comp"), F.when(F.col("component").isNull(), F.col("low")).otherwise(F.col("least")).alias("low"))
+    return rows.unionByName(base.where("n = 0").select("id", "k1", "k2", "n", F.lit(None).cast("long").alias("comp"), F.col("id").alias("low")))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
+    """One row per input row: id, n_shingles, component_id, kept."""
+    return _placed(docs, id_col, text_col, percent).select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_shingles"),
-        F.col("component").alias("component_id"),
-        F.coalesce(F.col("id") == F.col("component"), F.lit(False)).alias("kept"),
+        F.col("low").alias("component_id"),
+        F.coalesce(F.col("id") == F.col("low"), F.lit(False)).alias("kept"),
     )
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each component, the one with the smallest id; columns unchanged."""
-    gone = near_duplicates(docs, id_col, text_col, percent).where(F.col(id_col).isNotNull() & ~F.col("kept"))
-    return docs.join(gone.select(F.col(id_col).alias("__gone")).distinct(), F.col(id_col) == F.col("__gone"), "left_anti")
+    """``docs`` with one row of each component; columns unchanged."""
+    rows = _placed(docs, id_col, text_col, percent).where("comp IS NOT NULL").groupBy("k1", "k2").agg(F.first("comp").alias("comp"), F.first("id").alias("id"), F.count(F.lit(1)).alias("rows"))
+    rows = materialize(rows, "rows")
+    stays = rows.groupBy("comp").agg(F.min(F.struct(F.col("id").isNull().alias("lost"), "id", "k1", "k2")).alias("stay"), F.sum("rows").alias("all")).where("all > 1")
+    judged = materialize(rows.join(materialize(stays, "stays"), "comp").select("k1", "k2", "rows", ((F.col("k1") == F.col("stay.k1")) & (F.col("k2") == F.col("stay.k2"))).alias("stays")), "judged")
+    i, t = F.col(id_col).cast("long"), F.col(text_col)
+    each = packed(docs, k1=F.xxhash64(i, t), k2=F.xxhash64(t, i, F.lit(SEED)))
+    return keep_rows(each, ["k1", "k2"], judged.where("NOT stays").select("k1", "k2"), judged.where("stays AND rows > 1").select("k1", "k2"))
 
 
 def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
