@@ -1,13 +1,14 @@
 """Substring dedup by sliding sentence spans.
 
 A text is cut into sentences (after . ! ? before white space, and at line
-breaks). At every sentence one run starts and one ends: the shortest sequences of
-consecutive sentences whose weights reach SPAN, a sentence weighing 1 and 1 more for
-each LONG words, and that have MIN_WORDS words. So a run is three common sentences,
-or fewer where they are long, and never a handful of words. These runs cover every
-longer one: a sentence of it has enough from there to its end, or from its start to
-there, or else lies in the run that starts with it. Runs are hashed and joined globally; sentences that lie in a run of which an earlier copy exists
-(smaller id, then earlier place) are removed. The first copy stays.
+breaks). At every sentence one run starts and one ends: the shortest sequences of at
+least MIN_SENTENCES consecutive sentences whose weights reach SPAN, a sentence
+weighing 1 and 1 more for each LONG words, and that have MIN_WORDS words. So a run is
+three common sentences, or two where they are long, and never one sentence nor a
+handful of words. These runs cover every longer one: a sentence of it has enough from
+there to its end, or from its start to there, or else lies in the run that starts
+with it. Runs are hashed and joined globally; sentences that lie in a run of which an
+earlier copy exists (smaller id, then earlier place) are removed. The first copy stays.
 
 A sentence's identity is its words, A-Z lowered, so white space does not matter.
 
@@ -16,9 +17,10 @@ more than once are joined back, so a passage shared by very many documents is
 split like any skewed join and never gathered.
 
 Defined cases: null and blank texts have no sentences and come back as they are;
-a text with no whole run is kept whole; a null id comes back unchanged; rows that
-repeat an id are one document, judged by their places together and all cut
-alike; other columns are ignored.
+a text with no whole run is kept whole; a null id comes after all others; rows that
+repeat an id are documents of their own, in the order of their texts' hashes; rows
+that repeat id and text are one document, judged by its places and all cut alike;
+other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,14 +28,15 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barwright.llm.common import materialize, table
+from barwright.llm.common import TEXT_ROWS, materialize, slices, table
 
 SPAN = 3
+MIN_SENTENCES = 2
 LONG = 12
 MIN_WORDS = 12
 SENTENCE = r"[^\n]*?[.!?](?=\s|$)\s*|[^\n]+\n?|\n+"
@@ -44,24 +47,24 @@ def sentences(text: str) -> list[str]:
     return re.findall(SENTENCE, text)
 
 
-def runs(parts: list[str], span: int = SPAN, long: int = LONG, min_words: int = MIN_WORDS) -> list[tuple[int, int, int]]:
+def runs(parts: list[str], span: int = SPAN, long: int = LONG, min_words: int = MIN_WORDS, min_sentences: int = MIN_SENTENCES) -> list[tuple[int, int, int]]:
     """(first sentence, last sentence, hash) of every run. Blank pieces belong to no run's ends and weigh nothing."""
     words = [(i, w) for i, p in enumerate(parts) if (w := p.encode("utf-8", "surrogatepass").lower().split())]
     weight = [1 + len(w) // long for _, w in words]
     each = [xxhash.xxh3_64_intdigest(b" ".join(w)).to_bytes(8, "little") for _, w in words]
     found, total, count, first = set(), 0, 0, 0
-    enough = lambda t, c: t >= span and c >= min_words
+    enough = lambda n, t, c: n >= min_sentences and t >= span and c >= min_words
     for last in range(len(words)):
         total += weight[last]
         count += len(words[last][1])
-        while enough(total, count):  # the shortest runs of the starts whose first end this is
+        while enough(last - first + 1, total, count):  # the shortest runs of the starts whose first end this is
             found.add((first, last))
             total -= weight[first]
             count -= len(words[first][1])
             first += 1
         if first:  # the run that ends here may start before the next start
             k, t, c = first, total, count
-            while not enough(t, c):
+            while not enough(last - k + 1, t, c):
                 k -= 1
                 t += weight[k]
                 c += len(words[k][1])
@@ -70,41 +73,43 @@ def runs(parts: list[str], span: int = SPAN, long: int = LONG, min_words: int =
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(id, spans): runs of (id, text) of which an earlier copy exists, as (first, last) sentence numbers."""
+    """(id, k, spans): runs of (id, k, text) of which an earlier copy exists, as (first, last) sentence numbers."""
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(i, a, b, h) for i, t in zip(pdf["id"], pdf["text"]) if t for a, b, h in runs(sentences(t))]
-            yield pd.DataFrame(rows, columns=["id", "a", "b", "h"])
+    kinds = pa.schema([("id", pa.int64()), ("k", pa.int64()), ("a", pa.int32()), ("b", pa.int32()), ("h", pa.int64())])
 
-    placed = docs.where("id IS NOT NULL").mapInPandas(cut, "id long, a int, b int, h long")
-    placed = materialize(placed, "runs")
-    first = placed.groupBy("h").agg(F.min(F.struct("id", "a")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    first = first.select("h", F.col("first.id").alias("fid"), F.col("first.a").alias("fa"))
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            rows = [(i, k, a, b, h) for i, k, t in zip(part["id"], part["k"], part["text"]) if t for a, b, h in runs(sentences(t))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(zip(*rows) if rows else [()] * 5, kinds.types)], schema=kinds)
+
+    placed = docs.select("id", "k", "text").mapInArrow(cut, "id long, k long, a int, b int, h long")
+    placed = materialize(placed, "runs", TEXT_ROWS)
+    first = placed.groupBy("h").agg(F.min(F.struct(F.col("id").isNull().alias("lost"), "id", "k", "a")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    first = first.select("h", F.col("first.id").alias("fid"), F.col("first.k").alias("fk"), F.col("first.a").alias("fa"))
     first = materialize(first, "repeats")  # so that the join can split a hot run
-    later = placed.join(first, "h").where("id <> fid OR a <> fa")
-    return later.groupBy("id").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("spans"))
+    later = placed.join(first, "h").where("NOT (id <=> fid) OR k <> fk OR a <> fa")
+    return later.groupBy("id", "k").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("spans"))
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, n_sentences, n_removed, text without the repeats, removed spans (sentence numbers)."""
-    plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn("k", F.xxhash64("text"))
     spans = repeated_spans(plain)
 
-    def erase(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    kinds = pa.schema([("id", pa.int64()), ("n", pa.int32()), ("r", pa.int32()), ("text", pa.string())])
+
+    def erase(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
             out = []
-            for i, t, sp in zip(pdf["id"], pdf["text"], pdf["spans"]):
+            for i, t, sp in zip(part["id"], part["text"], part["spans"]):
                 parts = sentences(t or "")
-                gone: set[int] = set()
-                for s in sp if sp is not None else ():
-                    gone.update(range(s["a"], s["b"] + 1))
-                text = t if not gone else "".join(p for k, p in enumerate(parts) if k not in gone)
-                out.append((i, len(parts), len(gone), text))
-            yield pd.DataFrame(out, columns=["id", "n", "r", "text"]).astype({"id": "Int64"})
-
-    both = plain.join(spans, "id", "left")
-    done = both.select("id", "text", "spans").mapInPandas(erase, "id long, n int, r int, text string")
+                gone = {k for s in sp or () for k in range(s["a"], s["b"] + 1)}
+                out.append((i, len(parts), len(gone), "".join(p for k, p in enumerate(parts) if k not in gone) if gone else t))
+            yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(zip(*out), kinds.types)], schema=kinds)
+
+    found = materialize(spans.select(F.col("id").alias("sid"), F.col("k").alias("sk"), "spans"), "spans")
+    both = plain.join(found, F.col("id").eqNullSafe(F.col("sid")) & (F.col("k") == F.col("sk")), "left")
+    done = materialize(both.select("id", "text", "spans").mapInArrow(erase, "id long, n int, r int, text string"), "cut", TEXT_ROWS)
     return done.select(F.col("id").alias(id_col), F.col("n").alias("n_sentences"), F.col("r").alias("n_removed"), F.col("text").alias(text_col))
 
 
