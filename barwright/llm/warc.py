@@ -13,10 +13,12 @@ Writers name files by partition and put them in place by renaming: a task that
 runs again writes the same file again.
 
 Defined cases: a null html is an empty payload; a null url becomes urn:page:<id>;
-line breaks in urls are escaped; equal payloads are found by SHA-1; ties cannot
-occur, as ids are distinct; pages with a null id are left out, as a record needs a
-name; of rows that repeat an id with one payload each becomes a record of the
-same name; an empty table makes no archive; other columns are ignored.
+line breaks in urls are escaped; equal payloads are found by SHA-1; a page with a
+null id is a record named urn:page:null and comes back with a null id, a revisit if
+a page with an id has its payload and else a response; of rows that repeat an id
+each becomes a record of the same name, and a revisit is told by name and digest
+together which response it means; an empty table makes no archive; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -89,16 +91,17 @@ def write_archives(pages: DataFrame, uri: str) -> DataFrame:
         with store.open_output_stream(draft) as out:
             for pdf in batches:
                 for i, url, html, ref in zip(pdf["id"], pdf["url"], pdf["html"], pdf["refers_to"]):
+                    i = "null" if i is None else i
                     payload = b"" if html is None else html.encode("utf-8", "surrogatepass")
                     target = f"urn:page:{i}" if url is None else url.replace("\r", "%0D").replace("\n", "%0A")
-                    twin = not pd.isna(ref)
+                    twin = ref is not None
                     data = record(
                         "revisit" if twin else "response",
                         f"urn:page:{i}",
                         target,
                         sha1_base32(payload),
                         HTTP if twin else HTTP + payload,
-                        f"urn:page:{int(ref)}" if twin else None,
+                        f"urn:page:{ref}" if twin else None,
                     )
                     size += len(data)
                     out.write(data)
@@ -108,7 +111,7 @@ def write_archives(pages: DataFrame, uri: str) -> DataFrame:
         else:
             store.delete_file(draft)
 
-    rows = pages.select("id", "url", "html", "refers_to")
+    rows = pages.select(F.col("id").cast("string"), "url", "html", F.col("refers_to").cast("string"))
     return rows.mapInPandas(run, "path string, size long")
 
 
@@ -132,7 +135,7 @@ class Window:
     """Bytes of a file from any place on, fetched as they are asked for."""
 
     def __init__(self, handle, size: int, at: int) -> None:
-        self.handle, self.size, self.base, self.data = handle, size, at, b""
+        self.handle, self.size, self.base, self.data = handle, size, at, bytearray()
 
     def upto(self, end: int) -> bool:
         """Fetches until ``end`` or the file's end; whether there is anything there."""
@@ -146,7 +149,7 @@ class Window:
 
     def forget(self, before: int) -> None:
         if before - self.base > READ_BYTES:
-            self.data = self.data[before - self.base :]
+            del self.data[: before - self.base]
             self.base = before
 
     def find_magic(self, at: int, end: int) -> int:
@@ -221,20 +224,21 @@ def read_archives(files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame
 def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", uri: str | None = None, least: int = 0) -> DataFrame:
     """Writes a record per page, equal payloads as revisits of the largest id, reads the archives back: one row per page."""
     spark = pages.sparkSession
-    base = pages.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
+    base = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     payload = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
-    marked = base.withColumn("h", F.when(F.length(payload) >= least, F.sha1(payload)).otherwise(F.concat(F.lit("small"), F.col("id").cast("string"))))
+    marked = base.withColumn("h", F.when(F.length(payload) >= least, F.sha1(payload)).otherwise(F.concat(F.lit("small "), F.coalesce(F.col("id").cast("string"), F.lit("null")))))
     last = materialize(marked.groupBy("h").agg(F.max("id").alias("last")), "payloads")
-    full = marked.join(last, "h").withColumn("refers_to", F.when(F.col("id") != F.col("last"), F.col("last")))
+    full = marked.join(last, "h").withColumn("refers_to", F.when((F.length(payload) >= least) & ~F.col("id").eqNullSafe(F.col("last")), F.col("last")))
     files = materialize(write_archives(full, uri or scratch_path(spark, "warc")), "archives")
     found = materialize(read_archives(files), "records")
-    num = F.regexp_extract("name", r"^urn:page:(-?\d+)$", 1).cast("long")
-    ref = F.regexp_extract("refers_to", r"^urn:page:(-?\d+)$", 1).cast("long")
+    num = F.regexp_extract("name", r"^urn:page:(-?\d+)$", 1).try_cast("long")
+    ref = F.regexp_extract("refers_to", r"^urn:page:(-?\d+)$", 1).try_cast("long")
     rows = found.select(num.alias("id"), "kind", "declared", F.when(F.col("refers_to").isNotNull(), ref).alias("ref"), "payload_bytes", "payload_digest")
     heads = rows.where("kind = 'response'")
     twins = rows.where("kind = 'revisit'").drop("payload_bytes", "payload_digest")
-    first = heads.select(F.col("id").alias("ref"), "payload_bytes", "payload_digest").dropDuplicates(["ref"])
-    both = heads.unionByName(twins.join(first, "ref").select(heads.columns))
+    first = heads.where("id IS NOT NULL").groupBy(F.col("id").alias("ref"), F.col("payload_digest").alias("declared")).agg(F.max("payload_bytes").alias("payload_bytes"))
+    first = first.withColumn("payload_digest", F.col("declared"))
+    both = heads.unionByName(twins.join(materialize(first, "responses"), ["ref", "declared"]).select(heads.columns))
     return both.select(
         F.col("id").alias(id_col),
         "payload_bytes",
