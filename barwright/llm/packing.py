@@ -17,27 +17,30 @@ as documents of their own; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 import os
 import re
 import sys
 import types
 import unicodedata
 import zlib
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import batched
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barwright.llm.common import dense_rank, materialize, table
+from barwright.llm.common import TEXT_ROWS, dense_rank, materialize, rank_parts, table
 
 CAPACITY = 4096
 END_ID = 1
-BINS = 64
+BINS = 256
+SLACK = 8  # tokens that a pattern's sequence may leave free
 WORD_CACHE = 600_000
 GROUP_CHARS = 1 << 20
 
@@ -115,14 +118,13 @@ def worker_encoder(path: str) -> PieceEncoder:
 
 def nnls(a: np.ndarray, b: np.ndarray, steps: int = 400) -> np.ndarray:
     """Non-negative least squares by accelerated projected gradient."""
+    x = np.zeros(a.shape[1])
     if not a.size:
-        return np.zeros(a.shape[1])
-    gram, rhs = a.T @ a, a.T @ b
+        return x
     rate = 1.0 / max(np.linalg.norm(a, 2) ** 2, 1e-12)
-    x = np.zeros(a.shape[1])
     z, t = x.copy(), 1.0
     for _ in range(steps):
-        new = np.maximum(0.0, z - rate * (gram @ z - rhs))
+        new = np.maximum(0.0, z - rate * (a.T @ (a @ z - b)))
         t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
         z = new + (t - 1) / t2 * (new - x)
         x, t = new, t2
@@ -130,123 +132,170 @@ def nnls(a: np.ndarray, b: np.ndarray, steps: int = 400) -> np.ndarray:
 
 
 def patterns(bins: int) -> list[tuple[int, ...]]:
-    """Up to three classes (1..bins) that fill a sequence of ``bins`` exactly."""
+    """Up to three classes (1..bins), descending, that fill a sequence of ``bins`` exactly."""
     out: list[tuple[int, ...]] = [(bins,)]
     for i in range(1, bins):
-        if 2 * i <= bins:
+        if 2 * i >= bins:
             out.append((i, bins - i))
-        for j in range(i, bins):
-            if (k := bins - i - j) >= j:
+        for j in range(1, i + 1):
+            if 1 <= (k := bins - i - j) <= j:
                 out.append((i, j, k))
     return out
 
 
+class Layout:
+    """Places given to pieces of each length, and the room left in sequences."""
+
+    def __init__(self, histogram: dict[int, int], capacity: int) -> None:
+        self.capacity, self.sequences = capacity, 0
+        self.left = {k: v for k, v in histogram.items() if v > 0}
+        self.lengths = sorted(self.left)
+        self.taken: dict[int, int] = defaultdict(int)
+        self.out: list[tuple[int, int, int, int, int]] = []
+        self.spaces: dict[int, list[tuple[int, int]]] = defaultdict(list)  # room -> [(first sequence, sequences)]
+        self.rooms: list[int] = []
+
+    def put(self, length: int, n: int, first: int, room: int) -> None:
+        self.out.append((length, self.taken[length], n, first, self.capacity - room))
+        self.taken[length] += n
+        self.left[length] -= n
+        if not self.left[length]:
+            del self.left[length]
+            self.lengths.pop(bisect_left(self.lengths, length))
+
+    def free(self, room: int, first: int, n: int) -> None:
+        if room and n:
+            if not self.spaces[room]:
+                insort(self.rooms, room)
+            self.spaces[room].append((first, n))
+
+    def longest(self, lo: int, hi: int, used: tuple = ()) -> int | None:
+        """The longest length in (lo, hi] of which a piece is left beside the used ones."""
+        k = bisect_right(self.lengths, hi) - 1
+        while k >= 0 and self.lengths[k] > lo:
+            if self.left[self.lengths[k]] > used.count(self.lengths[k]):
+                return self.lengths[k]
+            k -= 1
+        return None
+
+    def lay(self, pattern: tuple[int, ...], times: int, step: int, slack: int) -> None:
+        """Up to ``times`` sequences of the pattern: the longest pieces of its classes, the last one the longest that fits; at most ``slack`` stays free."""
+        while times > 0:
+            picks: list[int] = []
+            for c in pattern[:-1]:
+                x = self.longest((c - 1) * step, c * step, tuple(picks))
+                if x is None:
+                    return
+                picks.append(x)
+            room = self.capacity - sum(picks)
+            x = self.longest(max(0, room - slack - 1), room, tuple(picks))
+            if x is None:
+                return
+            picks.append(x)
+            n = min([times, *(self.left[y] // picks.count(y) for y in picks)])
+            room = self.capacity
+            for y in picks:
+                self.put(y, n, self.sequences, room)
+                room -= y
+            self.free(room, self.sequences, n)
+            self.sequences += n
+            times -= n
+
+    def best_fit(self) -> None:
+        """What is left, longest first, each to the fullest sequence that has room."""
+        for length in sorted(self.left, reverse=True):
+            while (n := self.left.get(length, 0)) > 0:
+                at = bisect_left(self.rooms, length)
+                if at < len(self.rooms):
+                    room = self.rooms[at]
+                    first, have = self.spaces[room].pop()
+                    if not self.spaces[room]:
+                        self.rooms.pop(at)
+                    m = min(n, have)
+                    self.free(room, first + m, have - m)
+                else:
+                    room, first, m = self.capacity, self.sequences, -(-n // (self.capacity // length))
+                    self.sequences += m
+                self.put(length, m, first, room)
+                self.free(room - length, first, m)
+
+
 def plan(histogram: dict[int, int], capacity: int = CAPACITY, bins: int = BINS) -> tuple[list[tuple[int, int, int, int, int]], int]:
     """([(length, first rank, ranks, first sequence, offset)], sequences): places for all pieces of each length.
 
     Ranks of a length from the first rank go to as many sequences from the first
-    sequence, one each, at the offset.
+    sequence, one each, at the offset. The patterns' repeat counts are halved
+    as long as best fit without any pattern would take fewer sequences.
     """
-    left = {k: v for k, v in histogram.items() if v > 0}
-    taken: dict[int, int] = defaultdict(int)
-    out: list[tuple[int, int, int, int, int]] = []
-    sequences = 0
-    spaces: dict[int, list[tuple[int, int]]] = defaultdict(list)  # room -> [(first sequence, sequences)]
-    rooms: list[int] = []
-
-    def put(length: int, n: int, first: int, room: int) -> None:
-        out.append((length, taken[length], n, first, capacity - room))
-        taken[length] += n
-        left[length] -= n
-        if not left[length]:
-            del left[length]
-
-    def free(room: int, first: int, n: int) -> None:
-        if room and n:
-            if not spaces[room]:
-                insort(rooms, room)
-            spaces[room].append((first, n))
-
     step = -(-capacity // bins)
+    bins = -(-capacity // step)
     names = patterns(bins)
     count = np.zeros(bins)
-    for length, n in left.items():
-        count[-(-length // step) - 1] += n
+    for length, n in histogram.items():
+        if n > 0:
+            count[-(-length // step) - 1] += n
+    if not count.any():
+        return [], 0
     a = np.zeros((bins, len(names)))
     for j, p in enumerate(names):
         for c in p:
             a[c - 1, j] += 1
     weight = 1.0 / np.sqrt(np.maximum(count, 1.0))  # relative misfit, so that rare lengths matter too
-    times = np.floor(nnls(a * weight[:, None], count * weight) + 1e-6).astype(int)
-    stock = {c: sorted((x for x in left if -(-x // step) == c), reverse=True) for c in range(1, bins + 1)}
-    for p, n in sorted(zip(names, times.tolist()), key=lambda z: -z[1]):
-        need = {c: p.count(c) for c in p}
-        n = min([n, *(sum(left.get(x, 0) for x in stock[c]) // k for c, k in need.items())])
-        while n > 0:
-            picks, use = [], {}
-            for c in p:
-                x = next(x for x in stock[c] if left.get(x, 0) > use.get(x, 0))
-                use[x] = use.get(x, 0) + 1
-                picks.append(x)
-            m = min([n, *(left[x] // k for x, k in use.items())])
-            room = capacity
-            for x in picks:
-                put(x, m, sequences, room)
-                room -= x
-            free(room, sequences, m)
-            sequences += m
-            n -= m
-    for length in sorted(left, reverse=True):
-        while (n := left.get(length, 0)) > 0:
-            at = bisect_left(rooms, length)
-            if at < len(rooms):
-                room = rooms[at]
-                first, have = spaces[room].pop()
-                if not spaces[room]:
-                    rooms.pop(at)
-                m = min(n, have)
-                free(room, first + m, have - m)
-            else:
-                fit = capacity // length
-                room, first, m = capacity, sequences, -(-n // fit)
-                sequences += m
-            put(length, m, first, room)
-            free(room - length, first, m)
-    return out, sequences
+    times = nnls(a * weight[:, None], count * weight)
+    order = sorted((j for j in range(len(names)) if times[j] > 1e-3), key=lambda j: (-times[j], names[j]))
+
+    def laid(share: float) -> Layout:
+        out = Layout(histogram, capacity)
+        if share:
+            for j in order:
+                out.lay(names[j], math.ceil(times[j] * share), step, SLACK)
+        out.best_fit()
+        return out
+
+    plain, share = laid(0.0), 1.0
+    while (tried := laid(share)).sequences > plain.sequences and share > 1 / 64:
+        share /= 2
+    best = tried if tried.sequences <= plain.sequences else plain
+    return best.out, best.sequences
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
     """(id, piece, start, length, ids_crc32[, ids]): a document is its ids and the end token, cut at ``capacity``."""
     kind = docs.schema["id"].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = ["id", "piece", "start", "length", "ids_crc32", "ids"]
+    types_ = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = worker_encoder(tokenizer_path)
         end = np.asarray([END_ID], "<u4").tobytes()
-        names = ["id", "piece", "start", "length", "ids_crc32", "ids"]
-        for pdf in batches:
-            rows = []
-            for i, body in zip(pdf["id"], enc.encode_all([t or "" for t in pdf["text"]])):
-                ids = body + end
-                for p, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    rows.append((i, p, at // 4, len(part) // 4, zlib.crc32(part), part if keep_ids else None))
-            out = pd.DataFrame(rows, columns=names)
-            yield out if keep_ids else out[names[:-1]]
-
-    return docs.mapInPandas(run, f"id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, TEXT_ROWS):
+                at, texts, rows = batch.column(0).slice(lo, TEXT_ROWS), batch.column(1).slice(lo, TEXT_ROWS).to_pylist(), []
+                for i, body in enumerate(enc.encode_all([t or "" for t in texts])):
+                    ids = body + end
+                    for p, start in enumerate(range(0, len(ids), 4 * capacity)):
+                        part = ids[start : start + 4 * capacity]
+                        rows.append((i, p, start // 4, len(part) // 4, zlib.crc32(part), part if keep_ids else None))
+                cols = list(zip(*rows))
+                out = [at.take(pa.array(cols[0])), *[pa.array(c, k) for c, k in zip(cols[1:], types_)]]
+                out = out if keep_ids else out[:-1]
+                yield pa.RecordBatch.from_arrays(out, names=names[: len(out)])
+
+    return docs.select("id", "text").mapInArrow(run, f"id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids)
 
 
 def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32, sequence_id, offset[, ids]."""
     spark = docs.sparkSession
     plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    cut = materialize(pieces(plain, tokenizer_path, capacity, keep_ids), "pieces")
+    cut = materialize(pieces(plain, tokenizer_path, capacity, keep_ids), "pieces", TEXT_ROWS)
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most capacity rows
     places, _ = plan(counts, capacity)
     frame = pd.DataFrame(places, columns=["length", "lo", "n", "first", "offset"]).astype("int64")
     by_length = {k: g[["lo", "first", "offset"]].to_numpy() for k, g in frame.sort_values(["length", "lo"]).groupby("length")}
     shared = spark.sparkContext.broadcast(by_length)
-    ranked = dense_rank(cut.withColumn("__id", F.coalesce(F.col("id").cast("string"), F.lit(""))), ["length"], ["__id", "piece", "ids_crc32"], "rank")
+    ranked = dense_rank(cut.withColumn("__id", F.coalesce(F.col("id").cast("string"), F.lit(""))), ["length"], ["__id", "piece", "ids_crc32"], "rank", rank_parts(sum(counts.values())))
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         by = shared.value

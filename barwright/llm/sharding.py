@@ -34,7 +34,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from barwright.llm.common import dense_rank, materialize, table
+from barwright.llm.common import dense_rank, materialize, rank_parts, table
 
 SHARDS = 24
 ROUNDS = 12
@@ -151,6 +151,7 @@ def balanced_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     base = materialize(base.withColumn("key", F.xxhash64("id", "h")), "docs")
     rows = base.count()
+    parts = rank_parts(rows)
     quotas = _quotas(rows, shards)
     part = max(1, rows // shards)
     groups = base.where("h IS NOT NULL").groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
@@ -175,14 +176,14 @@ def balanced_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     upto = F.sum("n").over(Window.partitionBy("h").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0))
     ranges = state.groupBy("h", "shard").agg(F.sum("n").alias("n")).withColumn("upto", upto)
     ranges = materialize(ranges.groupBy("h").agg(F.sort_array(F.collect_list(F.struct("upto", "shard"))).alias("places")), "ranges")
-    ranked = materialize(dense_rank(linked, ["h"], ["key", "id"], "r"), "ranked")
+    ranked = materialize(dense_rank(linked, ["h"], ["key", "id"], "r", parts), "ranked")
     placed = ranked.join(ranges, "h").withColumn("shard", F.expr("filter(places, x -> x.upto > r)[0].shard"))
     placed = materialize(placed.select("id", "size", "crc", "key", "shard"), "placed")
     taken = {r["shard"]: r["n"] for r in placed.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per shard
     taken = [taken.get(s, 0) for s in range(shards)]
-    stay = dense_rank(placed, ["shard"], ["key", "id"], "slot")
+    stay = dense_rank(placed, ["shard"], ["key", "id"], "slot", parts)
     single = base.join(groups, "h", "left_anti").select("id", "size", "crc", "key")
-    loose = dense_rank(single.withColumn("one", F.lit(0)), ["one"], ["key", "id"], "n", salts=1024)
+    loose = dense_rank(single.withColumn("one", F.lit(0)), ["one"], ["key", "id"], "n", parts)
     starts, acc = [], 0  # place of each shard's first free slot among all free slots
     for t, q in zip(taken, quotas):
         starts.append(acc)
