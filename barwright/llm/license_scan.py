@@ -1,11 +1,13 @@
 """License scans: sparse TF-IDF cosine to templates, then the nearest ancestor directory.
 
-Every line of every file is a candidate header, and the file as a whole a
-candidate licence file. Terms are weighted tf * idf, idf from the number of
-lines of the whole corpus that hold the term, for all terms. A prefix of each template's terms that could not reach the threshold
-alone is left out of the candidate filter; a line without any other template term
-cannot pass, so the filter loses nothing. Terms then join the templates' few
-hundred weights.
+Candidates are the lines of every file; and of files with a line that could pass,
+the windows of WINDOWS consecutive lines that start or end there, the blocks of
+lines between empty ones, and the whole text. Windows and blocks skip comment signs
+and empty lines, as only letters and digits are terms. Terms are weighted tf * idf,
+idf from the number of lines of the whole corpus that hold the term, for all terms. The
+most common terms of each template, as far as they could not reach the threshold alone,
+are left out of the candidate filter; a candidate without any other cannot pass.
+Terms then join the templates' few hundred weights.
 
 A file whose own header or whole text passes has that licence. Other files take
 the licence of the licence file in the nearest directory above them: files named
@@ -14,10 +16,11 @@ like LICENSE or COPYING, or whose whole text passes.
 DataFrame functions only; what is broadcast or fetched are template terms.
 
 Defined cases: a null or empty text has no licence of its own but may inherit; a
-null path inherits nothing; equal scores go to the template first by name; equal
-licence files of a directory to the higher score, then the first path; rows that
-repeat a path are one file, with the best of their scores; an empty table gives an
-empty result; other columns are ignored.
+null path inherits nothing, and each text without a path is a file of its own; equal
+scores go to the template first by name; equal licence files of a directory to the
+higher score, then the first path; rows that repeat a path are one file, with the
+best of their scores; an empty table gives an empty result; other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,30 +29,15 @@ import math
 import re
 from collections import Counter
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barwright.llm.common import materialize, table
+from barwright.llm.license_templates import TEMPLATES
 
 THRESHOLD = 0.75
 
-# Short notices of common licences, by SPDX id.
-TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0",
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-    "CC-BY-4.0": "Licensed under Creative Commons Attribution CC BY 4.0",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0",
-    "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0",
-    "CC0-1.0": "Dedicated to the public domain under CC0 1.0 Universal",
-    "EPL-2.0": "This program is made available under the terms of the Eclipse Public License 2.0",
-    "GPL-2.0": "This work is licensed under the GNU General Public License, version 2",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3",
-    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
-    "LGPL-3.0": "This library is licensed under the GNU Lesser General Public License, version 3",
-    "MIT": "Released under the MIT License",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
-    "Unlicense": "This is free and unencumbered software released into the public domain",
-}
+WINDOWS = (2, 3, 5, 8)  # lines
 LICENSE_NAME = r"(?i)^(un)?(licen[cs]e|copying|notice)([.-].*)?$"
 TOKEN = r"[\p{L}\p{N}]+"
 
@@ -58,13 +46,14 @@ def terms(text: str) -> Counter:
     return Counter(re.findall(r"[^\W_]+", text.lower()))
 
 
-def template_weights(df: dict[str, int], lines: int, templates: dict[str, str]) -> dict[str, dict[str, float]]:
-    """Normalised tf-idf weights of every template."""
+def template_weights(df: dict[str, int], lines: int, templates: dict[str, list[str]]) -> dict[tuple[str, int], dict[str, float]]:
+    """Normalised tf-idf weights of every template, by (name, number)."""
     out = {}
-    for name, text in templates.items():
-        w = {t: n * idf(df.get(t, 0), lines) for t, n in terms(text).items()}
-        norm = math.sqrt(math.fsum(x * x for x in w.values()))
-        out[name] = {t: x / norm for t, x in w.items()}
+    for name, texts in templates.items():
+        for k, text in enumerate(texts):
+            w = {t: n * idf(df.get(t, 0), lines) for t, n in terms(text).items()}
+            norm = math.sqrt(math.fsum(x * x for x in w.values()))
+            out[name, k] = {t: x / norm for t, x in w.items()}
     return out
 
 
@@ -72,73 +61,101 @@ def idf(df: int, lines: int) -> float:
     return math.log((1 + lines) / (1 + df)) + 1
 
 
-def anchors(weights: dict[str, dict[str, float]], threshold: float) -> set[str]:
-    """Terms of which a text that reaches the threshold has at least one."""
+def anchors(weights: dict[tuple[str, int], dict[str, float]], df: dict[str, int], threshold: float) -> set[str]:
+    """Terms of which a text that reaches the threshold has at least one: the most common ones are left out as far as they cannot reach it."""
     out = set()
     for w in weights.values():
         acc = 0.0
-        for t, x in sorted(w.items(), key=lambda z: (z[1], z[0])):
+        for t, x in sorted(w.items(), key=lambda z: (-df.get(z[0], 0), z[1], z[0])):
             acc += x * x
             if acc >= threshold**2 * (1 - 1e-9):
                 out.add(t)
     return out
 
 
-def license_scan(files: DataFrame, path_col: str = "path", text_col: str = "text", threshold: float = THRESHOLD, templates: dict[str, str] | None = None) -> DataFrame:
-    """One row per path: path, license, score, origin (header, file, inherited, none), from_path."""
+def _tokens(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
+
+
+def _candidates(hit: DataFrame, base: DataFrame) -> DataFrame:
+    """(file, kind, tokens): hit lines (file, row, pos, tokens), and windows, blocks and whole texts of their files. Kind is -1 for whole texts, else 0."""
+    at = materialize(hit.groupBy("file", "row").agg(F.collect_set("pos").alias("at")), "hits")
+    text = base.join(at, ["file", "row"]).select("file", "at", F.split("text", "\n").alias("lines"))
+    said = F.transform("lines", _tokens)
+    text = materialize(text.select("file", "at", said.alias("said")), "candidates")
+    # places of the lines with terms; a window takes the next ones, whatever stands between
+    filled = F.filter(F.sequence(F.lit(0), F.size("said") - 1), lambda k: F.size(F.get("said", k)) > 0)
+    text = text.withColumn("filled", filled).withColumn("rank", F.explode("at")).withColumn("rank", F.array_position("filled", F.col("rank")).cast("int"))
+    text = text.where("rank > 0")
+    spans = [F.struct(F.greatest(F.lit(1), F.col("rank") + lo).alias("lo"), F.lit(n).alias("n")) for n in WINDOWS for lo in (0, 1 - n)]
+    window = text.select("file", "said", "filled", F.explode(F.array_distinct(F.array(*spans))).alias("w"))
+    window = window.select("file", F.flatten(F.transform(F.slice("filled", F.col("w.lo"), F.col("w.n")), lambda k: F.get("said", k))).alias("tokens"))
+    # a block: the lines with terms around a hit, up to empty ones
+    place = F.get("filled", F.col("rank") - 1)
+    before = F.filter("empty", lambda k: k < place)
+    after = F.filter("empty", lambda k: k > place)
+    block = text.withColumn("empty", F.filter(F.sequence(F.lit(-1), F.size("said")), lambda k: (k < 0) | (k >= F.size("said")) | (F.size(F.get("said", k)) == 0)))
+    block = block.select("file", "said", F.array_max(before).alias("lo"), F.array_min(after).alias("hi")).dropDuplicates(["file", "lo", "hi", "said"])
+    block = block.select("file", F.flatten(F.slice("said", F.col("lo") + 2, F.col("hi") - F.col("lo") - 1)).alias("tokens"))
+    whole = text.select("file", F.flatten("said").alias("tokens")).distinct()
+    kind = lambda df, k: df.select("file", F.lit(k).alias("kind"), "tokens")
+    return kind(hit, 0).unionByName(kind(window, 0)).unionByName(kind(block, 0)).unionByName(kind(whole, -1))
+
+
+def license_scan(files: DataFrame, path_col: str = "path", text_col: str = "text", threshold: float = THRESHOLD, templates: dict[str, list[str]] | None = None) -> DataFrame:
+    """One row per path, and per text without a path: path, license, score, origin (header, file, inherited, none), from_path."""
     spark = files.sparkSession
     templates = TEMPLATES if templates is None else templates
-    vocabulary = sorted({t for x in templates.values() for t in terms(x)})
+    vocabulary = sorted({t for texts in templates.values() for x in texts for t in terms(x)})
     base = files.select(F.col(path_col).alias("path"), F.col(text_col).alias("text"))
-    line = base.select("path", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    line = line.select("path", "pos", F.expr(f"regexp_extract_all(lower(line), '{TOKEN.replace(chr(92), chr(92) * 2)}', 0)").alias("tokens"))
+    lost = F.concat(F.lit("\0"), F.md5(F.coalesce("text", F.lit(""))))
+    base = base.select(F.coalesce("path", lost).alias("file"), "path", F.xxhash64("text").alias("row"), "text")
+    line = base.select("file", "row", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    line = line.select("file", "row", "pos", _tokens(F.col("line")).alias("tokens"))
     # the empty term counts the lines
     held = line.where(F.size("tokens") > 0).select(F.explode(F.concat(F.array(F.lit("")), F.array_distinct("tokens"))).alias("term"))
     counts = materialize(held.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "frequencies")
     df = {r["term"]: r["df"] for r in counts.where(F.col("term").isin(["", *vocabulary])).collect()}  # one row per template term
     lines = df.pop("", 0)
     weights = template_weights(df, lines, templates)
-    wanted = spark.createDataFrame([(t, n, w) for n, ws in weights.items() for t, w in ws.items()], "term string, name string, w double")
-    must = F.array(*[F.lit(t) for t in sorted(anchors(weights, threshold))])
+    wanted = spark.createDataFrame([(t, n, k, w) for (n, k), ws in weights.items() for t, w in ws.items()], "term string, name string, k int, w double")
+    must = F.array(*[F.lit(t) for t in sorted(anchors(weights, df, threshold))])
     hit = materialize(line.where(F.arrays_overlap("tokens", must)), "lines")
-    # the whole text of files with such a line is one more candidate
-    whole = base.join(hit.select("path").distinct(), "path", "left_semi")
-    whole = whole.select("path", F.lit(-1).alias("pos"), F.expr(f"regexp_extract_all(lower(text), '{TOKEN.replace(chr(92), chr(92) * 2)}', 0)").alias("tokens"))
-    # repeated rows of a path: lines are told apart by content, not by place
-    unit = hit.unionByName(whole).select("path", F.when(F.col("pos") < 0, -1).otherwise(0).alias("kind"), F.xxhash64("tokens").alias("unit"), "tokens").dropDuplicates(["path", "kind", "unit"])
-    tf = unit.select("path", "kind", "unit", F.explode("tokens").alias("term")).groupBy("path", "kind", "unit", "term").agg(F.count(F.lit(1)).alias("tf"))
+    # repeated rows of a file: candidates are told apart by content, not by place
+    unit = _candidates(hit, base).select("file", "kind", F.xxhash64("tokens").alias("unit"), "tokens").where(F.size("tokens") > 0).dropDuplicates(["file", "kind", "unit"])
+    tf = unit.select("file", "kind", "unit", F.explode("tokens").alias("term")).groupBy("file", "kind", "unit", "term").agg(F.count(F.lit(1)).alias("tf"))
     tf = materialize(tf, "terms")  # so that the join can split a common term
     weight = F.col("tf") * (F.log(F.lit(float(1 + lines)) / (F.col("df") + 1)) + 1)
     tf = materialize(tf.join(counts, "term").withColumn("x", weight), "weights")
-    key = ["path", "kind", "unit"]
+    key = ["file", "kind", "unit"]
     norm = tf.groupBy(*key).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    dot = tf.join(F.broadcast(wanted), "term").groupBy(*key, "name").agg(F.sum(F.col("x") * F.col("w")).alias("dot"))
+    dot = tf.join(F.broadcast(wanted), "term").groupBy(*key, "name", "k").agg(F.sum(F.col("x") * F.col("w")).alias("dot"))
     cosine = dot.join(norm, key).withColumn("score", F.round(F.try_divide("dot", "norm"), 9)).where(F.col("score") >= threshold)
-    best = lambda *k: [F.min_by("name", F.struct(-F.col("score"), F.col("name"))).alias("name"), F.max("score").alias("score"), *k]
-    own = materialize(cosine.groupBy("path").agg(*best(F.min("kind").alias("kind"))), "own")
-
-    parts = F.split("path", "/")
-    above = lambda n: F.array_join(F.slice(parts, 1, n), "/")
-    is_file = (F.col("kind") == -1) | F.element_at(parts, -1).rlike(LICENSE_NAME)
-    holders = own.where(is_file & F.col("path").isNotNull()).withColumn("dir", above(F.size(parts) - 1))
-    holders = holders.groupBy("dir").agg(F.min_by(F.struct("name", "score", "path"), F.struct(-F.col("score"), F.col("path"))).alias("h"))
-    paths = base.select("path").distinct()
-    rest = paths.join(own.select("path"), "path", "left_anti").where("path IS NOT NULL")
-    steps = rest.select("path", F.explode(F.sequence(F.lit(0), F.size(parts) - 1)).alias("depth"))
+    best = [F.min_by("name", F.struct(-F.col("score"), F.col("name"))).alias("name"), F.max("score").alias("score"), F.min("kind").alias("kind")]
+    own = materialize(cosine.groupBy("file").agg(*best), "own")
+
+    parts = F.split("file", "/")
+    named = ~F.startswith("file", F.lit("\0"))
+    is_file = named & ((F.col("kind") == -1) | F.element_at(parts, -1).rlike(LICENSE_NAME))
+    holders = own.where(is_file).withColumn("dir", F.array_join(F.slice(parts, 1, F.size(parts) - 1), "/"))
+    holders = holders.groupBy("dir").agg(F.min_by(F.struct("name", "score", "file"), F.struct(-F.col("score"), F.col("file"))).alias("h"))
+    holders = materialize(holders, "holders")  # so that the join can split a directory with very many files below
+    paths = base.select("file", "path").distinct()
+    rest = paths.where("path IS NOT NULL").join(own.select("file"), "file", "left_anti")
+    steps = rest.select("file", F.explode(F.sequence(F.lit(0), F.size(parts) - 1)).alias("depth"))
     steps = steps.withColumn("dir", F.array_join(F.slice(parts, F.lit(1), F.col("depth")), "/"))
-    near = steps.join(holders, "dir").groupBy("path").agg(F.max_by("h", "depth").alias("h"))
-    mine = own.select("path", "name", "score", F.when(is_file, F.lit("file")).otherwise("header").alias("origin"), F.col("path").alias("from_path"))
-    inherited = near.select("path", "h.name", "h.score", F.lit("inherited").alias("origin"), F.col("h.path").alias("from_path"))
-    found = mine.unionByName(inherited)
-    out = paths.join(found, "path", "left")
+    near = steps.join(holders, "dir").groupBy("file").agg(F.max_by("h", "depth").alias("h"))
+    mine = own.select("file", "name", "score", F.when(is_file, F.lit("file")).otherwise("header").alias("origin"), F.when(named, F.col("file")).alias("from_path"))
+    inherited = near.select("file", "h.name", "h.score", F.lit("inherited").alias("origin"), F.col("h.file").alias("from_path"))
+    out = paths.join(mine.unionByName(inherited), "file", "left")
     return out.select(F.col("path").alias(path_col), F.col("name").alias("license"), "score", F.coalesce("origin", F.lit("none")).alias("origin"), "from_path")
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents as files of a tree source/lang/hundred/id.txt."""
+    """The documents as files of a tree source/lang/hundred/id.txt; those without an id have no path."""
     part = lambda c: F.coalesce(F.col(c), F.lit("unknown"))
     docs = table(spark, sf_dir, "documents")
     path = F.concat_ws("/", part("source"), part("lang"), F.floor(F.col("doc_id") / 100).cast("string"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
     found = license_scan(docs.select(path.alias("path"), "text"))
-    num = lambda c: F.regexp_extract(c, r"(-?\d+)\.txt$", 1).cast("long")
+    num = lambda c: F.regexp_extract(c, r"(-?\d+)\.txt$", 1).try_cast("long")
     return found.select(num("path").alias("doc_id"), "path", "license", "score", "origin", F.when(F.col("from_path").isNotNull(), num("from_path")).alias("from_doc_id"))
