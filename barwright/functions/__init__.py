@@ -26,6 +26,24 @@ def roll(f: str, x: str, n: int, least: int, ago: int = 0) -> str:
     return f"CASE WHEN {over('count', x, lo, hi)} >= {least} THEN {over(f, x, lo, hi)} END"
 
 
+def moments(name: str, x: str, frames: dict[int, int]) -> list[dict[str, str]]:
+    """Steps that give {name}{n}_sum, _mean and _std over the last n rows for frames {n: least rows}.
+
+    Differences of running sums, so a row costs the same however long its frame
+    is; a variance below a ten-billionth of the mean square counts as zero.
+    """
+    parts = {"n": f"count({x})", "s": f"sum({x})", "q": f"sum(({x}) * ({x}))"}
+    run = {f"{name}_{k}": f"coalesce({f} OVER {frame(None)}, 0)" for k, f in parts.items()}
+    span = {f"{name}{n}_{k}": f"{name}_{k} - coalesce({lag(f'{name}_{k}', n)}, 0)" for n in frames for k in parts}
+    spread = lambda n: f"{name}{n}_q - {name}{n}_s * {name}{n}_s / {name}{n}_n"
+    out = {}
+    for n, least in frames.items():
+        enough = f"CASE WHEN {name}{n}_n >= {least} THEN"
+        out |= {f"{name}{n}_sum": f"{enough} {name}{n}_s END", f"{name}{n}_mean": f"{enough} {name}{n}_s / {name}{n}_n END"}
+        out[f"{name}{n}_std"] = f"CASE WHEN {name}{n}_n >= {max(least, 2)} THEN CASE WHEN {spread(n)} <= 1e-10 * {name}{n}_q THEN 0.0 ELSE sqrt(({spread(n)}) / ({name}{n}_n - 1)) END END"
+    return [run, span, out]
+
+
 def lag(x: str, k: int = 1) -> str:
     return f"lag({x}, {k}) OVER ({BY})"
 

@@ -112,4 +112,3 @@ PLANS["cascade_percentile"] = Plan([*PREDS, {"k": "row_number() OVER (PARTITION
 
 SHAPE = [{"up": "greatest(close - open, 0.0)", "r15": f"{lead('close', 15)} - close", "gap": f"{lead('ts', 15)}", "rn": "row_number() OVER (PARTITION BY symbol ORDER BY ts)", "n": f"count(*) OVER {ALL}", "past": f"close - {lag('close', 10)}"}]
 PLANS["label_returns"] = Plan([*SHAPE, {"tr": f"greatest(high - low, abs(high - {lag('close')}), abs(low - {lag('close')}))"}, {"atr": f"CASE WHEN {over('count', 'tr', -60, -1)} >= 15 THEN greatest({over('avg', 'tr', -60, -1)}, 0.5) END"}], {"return_h15": clip("r15 / atr", -10.0, 10.0)}, where="rn <= n - 15")
-PLANS["label_inflection"] = Plan(SHAPE, {"inflection": flag("(past > 2.0 AND r15 < 0) OR (past < -2.0 AND r15 > 0)")}, where="rn <= n - 15")

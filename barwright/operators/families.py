@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from barwright.functions import HAS_PREV, HOUR, LOG_RETURN, RTH, atr, atr_safe, clip, corr, div, ffill, flag, frame, lag, over, roll, rsi, zero
+from barwright.functions import HAS_PREV, HOUR, LOG_RETURN, RTH, atr, atr_safe, clip, corr, div, ffill, flag, frame, lag, moments, over, roll, rsi, zero
 from barwright.plans import Plan
 
 RET = {"lr": LOG_RETURN}
@@ -51,17 +51,18 @@ FAMILIES["round"] = Plan(
 FAMILIES["vreg"] = Plan(
     [
         RET0,
-        {"v60": roll("stddev_samp", "r", 60, 10), "v240": roll("stddev_samp", "r", 240, 20), "v1440": roll("stddev_samp", "r", 1440, 100)},
-        {"bm": roll("avg", "v1440", 1440, 100), "bs": roll("stddev_samp", "v1440", 1440, 100), "old": lag("v60", 60)},
-        {"z60": clip(zero(div("v60 - bm", "bs")), -5.0, 5.0), "z240": clip(zero(div("v240 - bm", "bs")), -5.0, 5.0), "ex": clip(zero(div("v60 - old", "old")), -2.0, 2.0)},
+        *moments("r", "r", {60: 10, 240: 20, 1440: 100}),
+        *moments("b", "r1440_std", {1440: 100}),
+        {"old": lag("r60_std", 60), "v60": "r60_std", "bm": "b1440_mean", "bs": "b1440_std"},
+        {"z60": clip(zero(div("v60 - bm", "bs")), -5.0, 5.0), "z240": clip(zero(div("r240_std - bm", "bs")), -5.0, 5.0), "ex": clip(zero(div("v60 - old", "old")), -2.0, 2.0)},
     ],
     {"vr_realized_z_60": "z60", "vr_realized_z_240": "z240", "vr_expanding": "ex", "vr_regime_score": "(tanh(z60 * 0.5) + tanh(ex * 0.5)) / 2.0"},
 )
 
 _rv = {5: "vol_realized_5m", 30: "vol_realized_30m", 240: "vol_realized_4h", 1440: "vol_realized_1d"}
 FAMILIES["vol"] = Plan(
-    [RET, {"sq": "lr * lr"}, {f"s{n}": roll("sum", "sq", n, max(1, n // 4)) for n in (5, 30, 60, 240, 1440)}, {"rv60": "sqrt(s60) * sqrt(525600.0 / 60)"}],
-    {**{c: f"sqrt(s{n}) * sqrt(525600.0 / {n})" for n, c in _rv.items()}, "vol_of_vol": roll("stddev_samp", "rv60", 1440, 360)},
+    [RET, {"sq": "lr * lr"}, *moments("s", "sq", {n: max(1, n // 4) for n in (5, 30, 60, 240, 1440)}), {"rv60": "sqrt(greatest(s60_sum, 0.0)) * sqrt(525600.0 / 60)"}, *moments("v", "rv60", {1440: 360})],
+    {**{c: f"sqrt(greatest(s{n}_sum, 0.0)) * sqrt(525600.0 / {n})" for n, c in _rv.items()}, "vol_of_vol": "v1440_std"},
 )
 
 FAMILIES["vss"] = Plan(
@@ -241,9 +242,20 @@ FAMILIES["creg"] = Plan(
         *_corr_as("c_ne", "nq1", "es1", 60, 20),
         *_corr_as("c_nz", "nq1", "zb1", 60, 20),
         {"ne": zero("c_ne"), "nz": zero("c_nz")},
-        {"bm": roll("avg", "ne", 1440, 200), "bs": roll("stddev_samp", "ne", 1440, 200)},
+        *moments("b", "ne", {1440: 200}),
     ],
-    {"cr_nq_es_corr_60": "ne", "cr_nq_zb_corr_60": "nz", "cr_corr_regime_z": clip(zero(div("ne - bm", "bs")), -5.0, 5.0), "cr_avail": "1.0"},
+    {"cr_nq_es_corr_60": "ne", "cr_nq_zb_corr_60": "nz", "cr_corr_regime_z": clip(zero(div("ne - b1440_mean", "b1440_std")), -5.0, 5.0), "cr_avail": "1.0"},
+    cross=True,
+)
+
+# how the others' earlier returns go with the primary's present ones
+FAMILIES["leadlag"] = Plan(
+    [
+        {"p1": _ret("close", 1), **{f"{n}1": _ret(f"{n}_close", 1) for n in _cross}},
+        {f"{n}_l{k}": lag(f"{n}1", k) for n in _cross for k in (1, 5, 15)},
+        *[s for n in _cross for k in (1, 5, 15) for s in _corr_as(f"c_{n}{k}_", f"{n}_l{k}", "p1", 60, 10)],
+    ],
+    {f"flow_ll_{n}_lag{k}": zero(f"c_{n}{k}_") for n in _cross for k in (1, 5, 15)},
     cross=True,
 )
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from barwright.functions import HOUR, LOG_RETURN, RTH, atr_safe, clip, ffill, flag, frame, lag, over, roll, zero
+from barwright.functions import HOUR, LOG_RETURN, RTH, atr_safe, clip, ffill, flag, frame, lag, moments, over, roll, zero
 from barwright.operators.families import VWAP
 from barwright.plans import Plan
 
@@ -124,7 +124,9 @@ SETUPS["orb"] = Plan(
     [
         *VWAP[:3],
         *atr_safe(14),
-        *atr_safe(1440)[1:],
+        *moments("t", "tr", {1440: 2}),
+        {"held1440": "NULLIF(t1440_mean, 0)"},
+        {"safe1440": f"greatest(coalesce({ffill('held1440')}, 1.0), 0.5)"},
         {"win": f"rth AND {HOUR} < 14.0", "rn": "row_number() OVER (PARTITION BY symbol ORDER BY ts)", "since": "row_number() OVER (PARTITION BY symbol, sid ORDER BY ts) - 1"},
         {"shut": flag(f"rth AND NOT win AND coalesce({lag('win')}, false)")},
         {"known": f"rth AND {within('sum', 'shut', 'sid')} > 0", "oh": within("max", "CASE WHEN win THEN high END", "sid"), "ol": within("min", "CASE WHEN win THEN low END", "sid")},

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barwright.sources import CROSS, align, bars, bars_sql
+from barwright.sources import CROSS, align, bars, bars_sql, pooled
 
 NUMBER = re.compile(r"(?<![\w.])(\d+\.\d+)(?![\w.])")
 
@@ -34,7 +34,8 @@ class Plan:
     """``out`` maps result names to expressions, rounded to 6 digits unless ``raw``.
 
     The input is bars of all symbols, ``cross`` bars of the primary symbol beside
-    the others', or another plan's result. With ``group`` the output is aggregated.
+    the others', with ``pool`` bars of all events together, or another plan's
+    result. With ``group`` the output is aggregated.
     """
 
     steps: list[dict[str, str]]
@@ -46,6 +47,8 @@ class Plan:
     group: bool = False
     cross: bool = False
     raw: bool = False
+    pool: bool = False
+    primary: str = "click"
 
     def _final(self, expr: str) -> str:
         return expr if self.raw else f"round(CAST({expr} AS DOUBLE), 6) + 0.0"
@@ -58,16 +61,26 @@ class Plan:
         cols = [F.expr(spark_text(self._final(e))).alias(a) for a, e in self.out.items()]
         return df.groupBy(*self.keys).agg(*cols) if self.group else df.select(*self.keys, *cols)
 
+    def extend(self, df: DataFrame, prefix: str) -> DataFrame:
+        """``df`` with the results beside its own columns; the steps' names get a prefix, so that plans can follow each other."""
+        names = {a: f"{prefix}__{a}" for step in self.steps for a in step}
+        pattern = re.compile(r"(?<![\w.])(" + "|".join(sorted(names, key=len, reverse=True)) + r")(?![\w(])") if names else None
+        own = lambda e: pattern.sub(lambda m: names[m[1]], e) if pattern else e
+        steps = [{names[a]: own(e) for a, e in step.items()} for step in self.steps]
+        out = {a: own(e) for a, e in self.out.items()}
+        return replace(self, steps=steps, out={c: c for c in df.columns if c not in self.keys} | {a: self._final(e) for a, e in out.items()}, raw=True, source=None).apply(df)
+
     def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         if self.source is not None:
             return self.apply(self.source.run(spark, sf_dir))
-        frame = bars(spark.read.parquet(f"{sf_dir}/events.parquet"), self.minutes)
+        events = spark.read.parquet(f"{sf_dir}/events.parquet")
+        frame = bars(pooled(events) if self.pool else events, self.minutes)
         if self.cross:
-            frame = align(frame.where("symbol = 'click'"), {n: frame.where(F.col("symbol") == s) for n, s in CROSS.items()})
+            frame = align(frame.where(F.col("symbol") == self.primary), {n: frame.where(F.col("symbol") == s) for n, s in CROSS.items()})
         return self.apply(frame)
 
     def sql(self) -> str:
-        inner = f"({self.source.sql() if self.source is not None else cross_sql(self.minutes) if self.cross else bars_sql(self.minutes)}) b"
+        inner = f"({self.source.sql() if self.source is not None else cross_sql(self.minutes, self.primary) if self.cross else bars_sql(self.minutes, self.pool)}) b"
         for k, step in enumerate(self.steps):
             cols = ", ".join(f"{duck_text(e)} AS {a}" for a, e in step.items())
             inner = f"(SELECT *, {cols} FROM {inner}) s{k}"
@@ -76,9 +89,9 @@ class Plan:
         return f"SELECT {cols} FROM {inner}{where}" + (f" GROUP BY {', '.join(self.keys)}" if self.group else "")
 
 
-def cross_sql(minutes: int, limit: int = 5) -> str:
+def cross_sql(minutes: int, primary: str = "click", limit: int = 5) -> str:
     one = bars_sql(minutes)
     last = lambda n, c: f"last_value({n}.{c} IGNORE NULLS) OVER (ORDER BY p.ts ROWS BETWEEN {limit} PRECEDING AND CURRENT ROW) AS {n}_{c}"
     cols = ", ".join([last(n, c) for n in CROSS for c in ("open", "high", "low", "close")] + [f"coalesce({n}.volume, 0) AS {n}_volume" for n in CROSS])
     joins = " ".join(f"LEFT JOIN (SELECT * FROM bb WHERE symbol = '{s}') {n} ON {n}.ts = p.ts" for n, s in CROSS.items())
-    return f"WITH bb AS ({one}) SELECT p.*, {cols} FROM (SELECT * FROM bb WHERE symbol = 'click') p {joins}"
+    return f"WITH bb AS ({one}) SELECT p.*, {cols} FROM (SELECT * FROM bb WHERE symbol = '{primary}') p {joins}"

@@ -1,10 +1,14 @@
 """All queries over bars and their SQL."""
 
+from dataclasses import replace
+
 from barwright.operators import audit, evaluation, execution, families, kernels, labels, setups, structure
 from barwright.plans import Plan
 from barwright.sources import bars_sql
 
 PLANS: dict[str, Plan] = families.PRIMITIVES | {f"fam_{k}": p for k, p in (families.FAMILIES | setups.SETUPS).items()} | evaluation.PLANS | {"sim_candidates": execution.CANDIDATES}
+#: Opening ranges break only where a session has many bars: minute bars of all events together.
+PLANS["fam_orb_minutes"] = replace(setups.SETUPS["orb"], minutes=1, pool=True)
 QUERIES = {k: p.run for k, p in PLANS.items()} | labels.QUERIES | kernels.QUERIES | structure.QUERIES | execution.QUERIES | audit.QUERIES
 ORACLES = {k: p.sql() for k, p in PLANS.items()} | labels.ORACLES | audit.ORACLES
 ORACLES["ema_trend"] = f"""
@@ -12,4 +16,8 @@ WITH RECURSIVE b AS (SELECT symbol, ts, close, row_number() OVER (PARTITION BY s
 e AS (SELECT symbol, ts, rn, CAST(close AS DOUBLE) AS ema8, CAST(close AS DOUBLE) AS ema32 FROM b WHERE rn = 1
  UNION ALL SELECT b.symbol, b.ts, b.rn, e.ema8 + 2e0 / 9 * (b.close - e.ema8), e.ema32 + 2e0 / 33 * (b.close - e.ema32) FROM e JOIN b ON b.symbol = e.symbol AND b.rn = e.rn + 1)
 SELECT symbol, ts, round(ema8, 6) AS ema8, round(ema32, 6) AS ema32 FROM e"""
-ORACLES["embedding_cache_join"] = "SELECT g.symbol, g.ts, " + ", ".join(f"coalesce(round(CAST(e.embedding[{i + 1}] AS DOUBLE), 6), 0) AS simmtm_{i:03d}" for i in range(4)) + f" FROM (SELECT symbol, ts, row_number() OVER (ORDER BY ts) - 1 AS vec_id FROM ({bars_sql(15)}) x WHERE symbol = 'click') g LEFT JOIN embeddings e ON e.vec_id = g.vec_id"
+ORACLES["embedding_cache_join"] = (
+    "SELECT g.symbol, g.ts, "
+    + ", ".join(f"coalesce(round(CAST(e.embedding[{i + 1}] AS DOUBLE), 6), 0) AS simmtm_{i:03d}" for i in range(kernels.CACHED))
+    + f" FROM (SELECT symbol, ts, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS vec_id FROM ({bars_sql(15)}) x) g LEFT JOIN embeddings e ON e.vec_id = g.vec_id"
+)

@@ -27,9 +27,14 @@ def bars(events: DataFrame, minutes: int) -> DataFrame:
     ).withColumnRenamed("bin", "ts")
 
 
-def bars_sql(minutes: int) -> str:
+def pooled(events: DataFrame) -> DataFrame:
+    """All events as those of one instrument."""
+    return events.withColumn("event_type", F.lit("all"))
+
+
+def bars_sql(minutes: int, pool: bool = False) -> str:
     order = "(epoch_us(ts)::HUGEINT * 1000000000 + event_id)"
-    return f"SELECT event_type AS symbol, time_bucket(INTERVAL '{minutes} minutes', ts) AS ts, arg_min(value, {order}) AS open, max(value) AS high, min(value) AS low, arg_max(value, {order}) AS close, count(*) AS volume FROM events GROUP BY 1, 2"
+    return f"SELECT {"'all'" if pool else 'event_type'} AS symbol, time_bucket(INTERVAL '{minutes} minutes', ts) AS ts, arg_min(value, {order}) AS open, max(value) AS high, min(value) AS low, arg_max(value, {order}) AS close, count(*) AS volume FROM events GROUP BY 1, 2"
 
 
 def resample(frame: DataFrame, minutes: int) -> DataFrame:
