@@ -1,14 +1,19 @@
 """Metrics, simulations and routing of predictions, by symbol, as plans.
 
-Ranks break ties by time, so results do not depend on partitioning. The demo
-predictions are arithmetic on row numbers; a table with the same columns takes
-their place in use.
+Ranks break ties by time, so results do not depend on partitioning. By default a
+plan runs on demo predictions, arithmetic on row numbers; ``evaluate`` runs it on a
+given table, such as ``outcomes`` makes of predictions and barrier labels.
 """
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
 from barwright.functions import clip, flag, lag, lead, over
+from barwright.operators import families, labels
 from barwright.plans import Plan
+from barwright.sources import bars
 
 # Costs of a trade in points, and dollars a point.
 COST = 0.5 + 3.5 / 2.0
@@ -18,8 +23,10 @@ BREAKEVEN = 0.512
 
 PREDS = [
     {"rn": "row_number() OVER (PARTITION BY symbol ORDER BY ts)", "y": flag("close > open"), "y2": flag("close < open")},
-    {"pl": "((rn * 7919) % 1000) / 1000.0", "ps": "((rn * 104729) % 997) / 997.0", "mfe_l": "high - open", "mae_l": "open - low", "mfe_s": "open - low", "mae_s": "high - open"},
+    {"pl": "((rn * 7919) % 1000) / 1000.0", "ps": "((rn * 104729) % 997) / 997.0", "mfe_l": "high - open", "mae_l": "open - low", "mfe_s": "open - low", "mae_s": "high - open", "target_return": "close", "win_points": "30.0", "loss_points": "30.0"},
 ]
+#: What a table of predictions and outcomes must have beside symbol and ts.
+NEEDED = ["y", "y2", "pl", "ps", "mfe_l", "mae_l", "mfe_s", "mae_s", "target_return", "win_points", "loss_points"]
 ALL = "(PARTITION BY symbol)"
 _rank = lambda x: f"rank() OVER (PARTITION BY symbol ORDER BY {x}) + (count(*) OVER (PARTITION BY symbol, {x}) - 1) / 2.0"
 
@@ -29,14 +36,14 @@ PLANS["auc_rank"] = Plan([*PREDS, {"r": _rank("pl")}], {"auc": "(sum(r * y) - su
 PLANS["average_precision"] = Plan([*PREDS, {"tp": "sum(y) OVER (PARTITION BY symbol ORDER BY pl DESC)", "k": "count(*) OVER (PARTITION BY symbol ORDER BY pl DESC)"}], {"ap": "sum(y * tp / (k * 1.0)) / NULLIF(sum(y), 0)"}, keys=SYM, group=True)
 PLANS["brier_improvement"] = Plan([*PREDS, {"e": "(pl - y) * (pl - y)"}], {"base_rate": "avg(y)", "brier": "avg(e)", "improvement": "1.0 - avg(e) / NULLIF(avg(y) * (1.0 - avg(y)), 0)"}, keys=SYM, group=True)
 PLANS["spearman_ic"] = Plan(
-    [*PREDS, {"a": _rank("pl"), "b": _rank("close")}],
+    [*PREDS, {"a": _rank("pl"), "b": _rank("target_return")}],
     {"ic": "CASE WHEN count(*) >= 30 THEN (count(*) * sum(a * b) - sum(a) * sum(b)) / NULLIF(sqrt((count(*) * sum(a * a) - sum(a) * sum(a)) * (count(*) * sum(b * b) - sum(b) * sum(b))), 0) END"},
     keys=SYM, group=True,
 )
 PLANS["topk_winrate"] = Plan([*PREDS, {"k": "row_number() OVER (PARTITION BY symbol ORDER BY pl DESC, ts)", "n": f"count(*) OVER {ALL}"}], {"win_rate": "avg(y)", "taken": "count(*)"}, keys=SYM, group=True, where="k <= greatest(1, ceil(0.1 * n))")
 PLANS["reliability_bins"] = Plan([*PREDS, {"bin": "CAST(least(floor(pl * 10), 9) AS INT)"}], {"predicted": "avg(pl)", "observed": "avg(y)", "n": "count(*)"}, keys=("symbol", "bin"), group=True)
 
-_pnl = lambda y, mfe, mae: f"(CASE WHEN {y} = 1 THEN 30.0 WHEN {mae} >= 30.0 THEN -30.0 ELSE {mfe} - {mae} END - {COST})"
+_pnl = lambda y, mfe, mae: f"(CASE WHEN {y} = 1 THEN win_points WHEN {mae} >= loss_points THEN -loss_points ELSE {mfe} - {mae} END - {COST})"
 PNL = {"pnl_l": _pnl("y", "mfe_l", "mae_l"), "pnl_s": _pnl("y2", "mfe_s", "mae_s")}
 TAKEN = {"usd": f"CASE WHEN tl THEN pnl_l WHEN tsh THEN pnl_s END * {POINT}"}
 TOTALS = {"n_trades": "count(usd)", "n_long": "sum(CASE WHEN tl THEN 1 ELSE 0 END)", "n_short": "sum(CASE WHEN tsh THEN 1 ELSE 0 END)", "win_rate": "avg(CASE WHEN usd > 0 THEN 1.0 WHEN usd <= 0 THEN 0.0 END)", "total_usd": "coalesce(sum(usd), 0.0)", "profit_factor": "sum(CASE WHEN usd > 0 THEN usd ELSE 0.0 END) / NULLIF(-sum(CASE WHEN usd < 0 THEN usd ELSE 0.0 END), 0)"}
@@ -112,3 +119,69 @@ PLANS["cascade_percentile"] = Plan([*PREDS, {"k": "row_number() OVER (PARTITION
 
 SHAPE = [{"up": "greatest(close - open, 0.0)", "r15": f"{lead('close', 15)} - close", "gap": f"{lead('ts', 15)}", "rn": "row_number() OVER (PARTITION BY symbol ORDER BY ts)", "n": f"count(*) OVER {ALL}", "past": f"close - {lag('close', 10)}"}]
 PLANS["label_returns"] = Plan([*SHAPE, {"tr": f"greatest(high - low, abs(high - {lag('close')}), abs(low - {lag('close')}))"}, {"atr": f"CASE WHEN {over('count', 'tr', -60, -1)} >= 15 THEN greatest({over('avg', 'tr', -60, -1)}, 0.5) END"}], {"return_h15": clip("r15 / atr", -10.0, 10.0)}, where="rn <= n - 15")
+
+
+def outcomes(predictions: DataFrame, truths: DataFrame) -> DataFrame:
+    """Predictions (symbol, ts, long_tp_prob, short_tp_prob) beside what ``labels.barrier_labels`` says of the same bars."""
+    took = ["long_tp AS y", "short_tp AS y2", "mfe_long AS mfe_l", "mae_long AS mae_l", "mfe_short AS mfe_s", "mae_short AS mae_s", "return_h60 AS target_return", "tp_points AS win_points", "sl_points AS loss_points"]
+    given = predictions.selectExpr("symbol", "ts", "CAST(long_tp_prob AS DOUBLE) AS pl", "CAST(short_tp_prob AS DOUBLE) AS ps")
+    return given.join(truths.selectExpr("symbol", "ts", *took), ["symbol", "ts"])
+
+
+def evaluate(name: str, table: DataFrame) -> DataFrame:
+    """The plan ``name`` on a table with symbol, ts and the columns NEEDED, one row a prediction."""
+    return _on(PLANS[name], table)
+
+
+def _on(plan: Plan, table: DataFrame) -> DataFrame:
+    if plan.source is not None:
+        return plan.apply(_on(plan.source, table))
+    if missing := set(NEEDED) - set(table.columns):
+        raise ValueError(f"the table lacks {sorted(missing)}")
+    rows = table.select("symbol", "ts", *NEEDED, F.expr(PREDS[0]["rn"]).alias("rn"))
+    return _bare(plan).apply(rows)
+
+
+def _bare(plan: Plan) -> Plan:
+    """The plan without the steps that make demo predictions."""
+    return Plan(plan.steps[len(PREDS) :], plan.out, keys=plan.keys, where=plan.where, group=plan.group, raw=plan.raw)
+
+
+#: Plans that only need a table's columns; they also run on the momentum baseline against its own labels.
+ON_TABLES = [n for n, p in PLANS.items() if p.source is None and p.steps[: len(PREDS)] == PREDS and not any(w in str(p.steps[len(PREDS) :]) + str(p.out) for w in ("close", "open", "% 7"))]
+
+
+def baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The momentum baseline's predictions of 15-minute bars and their outcomes."""
+    given = families.PRIMITIVES["momentum_baseline"].run(spark, sf_dir).withColumnsRenamed({"long_tp_pred": "long_tp_prob", "short_tp_pred": "short_tp_prob"})
+    return outcomes(given, labels.barrier_labels(bars(spark.read.parquet(f"{sf_dir}/events.parquet"), 15), 60, None, 15))
+
+
+BASELINE_SQL = f"""SELECT symbol, ts, p.long_tp_pred AS pl, p.short_tp_pred AS ps, l.long_tp AS y, l.short_tp AS y2, l.mfe_long AS mfe_l, l.mae_long AS mae_l, l.mfe_short AS mfe_s, l.mae_short AS mae_s,
+ l.return_h60 AS target_return, l.tp_points AS win_points, l.sl_points AS loss_points, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS rn
+FROM ({families.PRIMITIVES["momentum_baseline"].sql()}) p JOIN ({labels.labels_sql(60, None, 15)}) l USING (symbol, ts)"""
+
+
+def _baseline_query(name: str):
+    return lambda spark, sf_dir: evaluate(name, baseline(spark, sf_dir))
+
+
+def calendar_sums(daily: DataFrame, period: str = "day") -> DataFrame:
+    """(symbol, period, usd): sums of (symbol, day, usd) by day or month, empty ones included as 0."""
+    each = daily.groupBy("symbol", F.date_trunc(period, "day").cast("date").alias("at")).agg(F.sum("usd").alias("usd"))
+    spine = each.groupBy("symbol").agg(F.min("at").alias("lo"), F.max("at").alias("hi")).select("symbol", F.explode(F.sequence("lo", "hi", F.expr(f"INTERVAL 1 {period}"))).alias("at"))
+    return spine.join(each, ["symbol", "at"], "left").select("symbol", F.col("at").alias("day"), F.coalesce(F.round("usd", 6), F.lit(0.0)).alias("usd"))
+
+
+def _calendar_sql(period: str) -> str:
+    return f"""WITH d AS (SELECT symbol, CAST(date_trunc('{period}', day) AS DATE) AS d0, sum(usd) AS usd FROM ({DAILY.sql()}) x WHERE CAST(day AS DATE) <> DATE '2024-01-10' GROUP BY 1, 2)
+SELECT s.symbol, s.d0 AS day, coalesce(round(d.usd, 6), 0) AS usd FROM (SELECT symbol, CAST(unnest(generate_series(min(d0)::TIMESTAMP, max(d0)::TIMESTAMP, INTERVAL 1 {period})) AS DATE) AS d0 FROM d GROUP BY symbol) s LEFT JOIN d USING (symbol, d0)"""
+
+
+def _calendar(period: str):
+    """The demo's days but one, so that a gap is filled."""
+    return lambda spark, sf_dir: calendar_sums(DAILY.run(spark, sf_dir).where("day <> DATE '2024-01-10'"), period)
+
+
+QUERIES = {f"baseline_{n}": _baseline_query(n) for n in ON_TABLES} | {"daily_calendar": _calendar("day"), "monthly_calendar": _calendar("month")}
+ORACLES = {f"baseline_{n}": _bare(PLANS[n]).sql(BASELINE_SQL) for n in ON_TABLES} | {"daily_calendar": _calendar_sql("day"), "monthly_calendar": _calendar_sql("month")}

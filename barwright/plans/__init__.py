@@ -79,8 +79,9 @@ class Plan:
             frame = align(frame.where(F.col("symbol") == self.primary), {n: frame.where(F.col("symbol") == s) for n, s in CROSS.items()})
         return self.apply(frame)
 
-    def sql(self) -> str:
-        inner = f"({self.source.sql() if self.source is not None else cross_sql(self.minutes, self.primary) if self.cross else bars_sql(self.minutes, self.pool)}) b"
+    def sql(self, table: str | None = None) -> str:
+        """The plan as SQL, over its own input or the query ``table``."""
+        inner = f"({table}) b" if table else f"({self.source.sql() if self.source is not None else cross_sql(self.minutes, self.primary) if self.cross else bars_sql(self.minutes, self.pool)}) b"
         for k, step in enumerate(self.steps):
             cols = ", ".join(f"{duck_text(e)} AS {a}" for a, e in step.items())
             inner = f"(SELECT *, {cols} FROM {inner}) s{k}"

@@ -2,15 +2,15 @@
 
 from dataclasses import replace
 
-from barwright.operators import audit, evaluation, execution, families, kernels, labels, setups, structure
+from barwright.operators import audit, evaluation, execution, families, features, kernels, labels, router, setups, structure
 from barwright.plans import Plan
 from barwright.sources import bars_sql
 
 PLANS: dict[str, Plan] = families.PRIMITIVES | {f"fam_{k}": p for k, p in (families.FAMILIES | setups.SETUPS).items()} | evaluation.PLANS | {"sim_candidates": execution.CANDIDATES}
 #: Opening ranges break only where a session has many bars: minute bars of all events together.
 PLANS["fam_orb_minutes"] = replace(setups.SETUPS["orb"], minutes=1, pool=True)
-QUERIES = {k: p.run for k, p in PLANS.items()} | labels.QUERIES | kernels.QUERIES | structure.QUERIES | execution.QUERIES | audit.QUERIES
-ORACLES = {k: p.sql() for k, p in PLANS.items()} | labels.ORACLES | audit.ORACLES
+QUERIES = {k: p.run for k, p in PLANS.items()} | labels.QUERIES | kernels.QUERIES | structure.QUERIES | execution.QUERIES | audit.QUERIES | features.QUERIES | evaluation.QUERIES | router.QUERIES
+ORACLES = {k: p.sql() for k, p in PLANS.items()} | labels.ORACLES | audit.ORACLES | features.ORACLES | evaluation.ORACLES | router.ORACLES
 ORACLES["ema_trend"] = f"""
 WITH RECURSIVE b AS (SELECT symbol, ts, close, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS rn FROM ({bars_sql(15)}) x),
 e AS (SELECT symbol, ts, rn, CAST(close AS DOUBLE) AS ema8, CAST(close AS DOUBLE) AS ema32 FROM b WHERE rn = 1
