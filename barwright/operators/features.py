@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from barwright.functions import HAS_PREV, LOG_RETURN, atr, lag, roll, rsi
 from barwright.operators import families, kernels, setups, structure
-from barwright.plans import Plan
+from barwright.plans import Plan, extend
 from barwright.sources import OHLCV, bars, bars_sql, resample
 
 # Minutes of the blocks, rows of the rolling primary bar, spans of the averages.
@@ -37,6 +37,7 @@ def price_block(minutes: int) -> Plan:
             "rangepct": "rp", "rangez": z("rp"), "rsi14": "(rsi14 - 50.0) / 50.0", "rsi5": "(rsi5 - 50.0) / 50.0",
             "distfast": "(close - ema_fast) / (size + 1e-9)", "distslow": "(close - ema_slow) / (size + 1e-9)", "trend": "(ema_fast - ema_slow) / (size + 1e-9)", "volz": z("volume"),
         },
+        raw=True,
     )
 
 
@@ -157,10 +158,10 @@ def structural_features(frame: DataFrame, spec: Spec = Spec(), caches: dict[str,
 
         schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema] + [f"{c} double" for c in columns])
         out = out.groupBy("symbol").applyInPandas(run, schema)
-    for n in sorted(base & set(PLANS)):
-        if PLANS[n].cross and "es_close" not in frame.columns:
-            raise ValueError(f"family {n} needs other instruments beside the bars")
-        out = PLANS[n].extend(out, n)
+    plans = {n: PLANS[n] for n in sorted(base & set(PLANS))}
+    if (beside := [n for n in plans if plans[n].cross]) and "es_close" not in frame.columns:
+        raise ValueError(f"families {beside} need other instruments beside the bars")
+    out = extend(out, plans)
     for n in wanted:
         if n in AGGREGATORS:
             out = out.select("*", *AGGREGATORS[n](out, columns_only=True))

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
 import re
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,14 +62,12 @@ class Plan:
         cols = [F.expr(spark_text(self._final(e))).alias(a) for a, e in self.out.items()]
         return df.groupBy(*self.keys).agg(*cols) if self.group else df.select(*self.keys, *cols)
 
-    def extend(self, df: DataFrame, prefix: str) -> DataFrame:
-        """``df`` with the results beside its own columns; the steps' names get a prefix, so that plans can follow each other."""
+    def prefixed(self, prefix: str) -> tuple[list[dict[str, str]], dict[str, str]]:
+        """The steps and results with a prefix to the steps' names, so that plans can share one table."""
         names = {a: f"{prefix}__{a}" for step in self.steps for a in step}
         pattern = re.compile(r"(?<![\w.])(" + "|".join(sorted(names, key=len, reverse=True)) + r")(?![\w(])") if names else None
         own = lambda e: pattern.sub(lambda m: names[m[1]], e) if pattern else e
-        steps = [{names[a]: own(e) for a, e in step.items()} for step in self.steps]
-        out = {a: own(e) for a, e in self.out.items()}
-        return replace(self, steps=steps, out={c: c for c in df.columns if c not in self.keys} | {a: self._final(e) for a, e in out.items()}, raw=True, source=None).apply(df)
+        return [{names[a]: own(e) for a, e in step.items()} for step in self.steps], {a: own(e) for a, e in self.out.items()}
 
     def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         if self.source is not None:
@@ -90,6 +89,19 @@ class Plan:
         return f"SELECT {cols} FROM {inner}{where}" + (f" GROUP BY {', '.join(self.keys)}" if self.group else "")
 
 
+def extend(df: DataFrame, plans: dict[str, Plan]) -> DataFrame:
+    """``df`` with the results of all plans, not rounded, beside its own columns.
+
+    The plans' first steps make one projection, their second ones the next: the
+    depth is that of the longest plan, and windows alike share an exchange and a sort.
+    """
+    each = [p.prefixed(n) for n, p in plans.items()]
+    for level in itertools.zip_longest(*[steps for steps, _ in each], fillvalue={}):
+        df = df.select("*", *[F.expr(spark_text(e)).alias(a) for step in level for a, e in step.items()])
+    made = {a for steps, _ in each for step in steps for a in step}
+    return df.select(*[c for c in df.columns if c not in made], *[F.expr(spark_text(e)).alias(a) for _, out in each for a, e in out.items()])
+
+
 def cross_sql(minutes: int, primary: str = "click", limit: int = 5) -> str:
     one = bars_sql(minutes)
     last = lambda n, c: f"last_value({n}.{c} IGNORE NULLS) OVER (ORDER BY p.ts ROWS BETWEEN {limit} PRECEDING AND CURRENT ROW) AS {n}_{c}"

@@ -85,8 +85,6 @@ def test_hurst_of_noise_and_short_series():
 
 def test_kernels_are_causal(walk):
     for kernel, columns in kernels.KERNELS.values():
-        if "vpin" in columns:
-            continue  # its bucket is a share of the whole history
         pdf = walk.where("symbol = 'a'").toPandas()
         full, part = kernel(pdf), kernel(pdf.iloc[:500])
         for c in columns:
