@@ -933,7 +933,17 @@ HEADER = """#!/usr/bin/env python
 # the Free Software Foundation, either version 3 of the License, or
 # (at your option) any later version.
 import os
-print(os.name)
+
+
+def names(folder):
+    found = []
+    for entry in sorted(os.listdir(folder)):
+        path = os.path.join(folder, entry)
+        if os.path.isdir(path):
+            found.extend(names(path))
+        elif entry.endswith(".py"):
+            found.append(path)
+    return found
 """
 APACHE = """                                 Apache License
                            Version 2.0, January 2004
