@@ -39,7 +39,7 @@ def rounded_sql(sql: str, columns: list[str], digits: int = 6) -> str:
     return f"SELECT symbol, ts, {', '.join(f'round({c}, {digits}) + 0.0 AS {c}' for c in columns)} FROM ({sql}) r"
 
 
-_setups = {n: structure.KERNELS[n][1] for n in ("mtf", "spb", "sfa", "sld")}
+_setups = {n: structure.KERNELS[n][1] for n in ("mtf", "spb", "sfa", "sld", "trend", "liquidity", "lasym", "tstruct")}
 for _name, _sql, _cols in (
     ("kern_facc", kernels_sql.facc(), kernels.KERNELS["kern_facc"][1]),
     *((f"fam_{n}", getattr(kernels_sql, n)(), c) for n, c in _setups.items()),

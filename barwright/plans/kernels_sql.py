@@ -98,3 +98,60 @@ def shtf() -> str:
     count = lambda op: " + ".join(f"CAST({n}_active >= 0.5 AND {agree[n]} {op} 0 AS INT)" for n in structure.PRIORITY)
     each = ", ".join(f"CASE WHEN {n}_active >= 0.5 THEN {agree[n]} ELSE 0 END AS {n}_htf_agree" for n in structure.PRIORITY)
     return f"SELECT symbol, ts, {each}, {first(agree)} AS shtf_primary_agree, {first(mid)} AS shtf_primary_60m, {count('>')} AS shtf_aligned_count, {count('<')} AS shtf_opposed_count FROM ({_setup_table()}) x"
+
+
+FRAMES = {"4h": 240, "1d": 1440, "1w": 10_080}
+
+
+def _coarse(minutes: int) -> str:
+    """Coarser bars; their bins start on a symbol's first day."""
+    return f"SELECT symbol, time_bucket(INTERVAL '{minutes} minutes', ts, day0) AS ts, max(high) AS high, min(low) AS low, arg_max(close, ts) AS close FROM (SELECT *, date_trunc('day', min(ts) OVER (PARTITION BY symbol)) AS day0 FROM ({bars_sql(15)}) x) y GROUP BY 1, 2"
+
+
+def trend() -> str:
+    parts, cols, names = [], [], []
+    for n, m in FRAMES.items():
+        tr = f"SELECT *, greatest(high, lag(close) OVER w) - least(low, lag(close) OVER w) AS tr, count(*) OVER (PARTITION BY symbol) AS bars FROM ({_coarse(m)}) c WINDOW w AS (PARTITION BY symbol ORDER BY ts)"
+        value = f"SELECT symbol, ts + INTERVAL '{m} minutes' AS ts, coalesce((e50 - lag(e50) OVER o) / nullif(CASE WHEN count(*) OVER f >= 2 THEN avg(tr) OVER f END, 0), 0) AS v FROM ({averages_sql(_coarse(m), (50,))}) a JOIN ({tr}) t USING (symbol, ts) WHERE bars >= 2 WINDOW o AS (PARTITION BY symbol ORDER BY ts), f AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 49 PRECEDING AND CURRENT ROW)"
+        short = f"symbol NOT IN (SELECT symbol FROM ({value}) k)"
+        parts.append(f"ASOF LEFT JOIN ({value}) t{n} ON t{n}.symbol = g.symbol AND g.ts >= t{n}.ts")
+        cols.append(f"CASE WHEN g.{short} THEN 0 ELSE t{n}.v END AS trend_{n}_slope, CASE WHEN g.{short} THEN 0.5 WHEN t{n}.v IS NOT NULL THEN 0.5 END AS trend_{n}_hurst")
+        names.append(f"trend_{n}_slope")
+    return f"SELECT *, ({' + '.join(f'sign({c})' for c in names)}) / 3e0 AS trend_alignment, ({' + '.join(f'abs({c}) * 0.5' for c in names)}) / 3e0 AS trend_strength FROM (SELECT g.symbol, g.ts, {', '.join(cols)} FROM (SELECT symbol, ts FROM ({bars_sql(15)}) z) g {' '.join(parts)}) q"
+
+
+def liquidity(reach: int = 3) -> str:
+    """Each extreme of coarser bars from its confirmation to its first touch, joined with the bars in between."""
+    tables = []
+    for n, m in FRAMES.items():
+        for side, c, f, op in (("above", "high", "max", ">"), ("below", "low", "min", "<")):
+            sign = "" if side == "above" else "-"
+            peaks = f"SELECT symbol, {c} AS level, lead(ts, {reach}) OVER o + INTERVAL '{m} minutes' AS born FROM (SELECT *, count(*) OVER (PARTITION BY symbol) AS bars FROM ({_coarse(m)}) c) d WINDOW o AS (PARTITION BY symbol ORDER BY ts) QUALIFY bars >= {4 * reach} AND {c} {op} {f}({c}) OVER (o ROWS BETWEEN {reach} PRECEDING AND 1 PRECEDING) AND {c} {op} {f}({c}) OVER (o ROWS BETWEEN 1 FOLLOWING AND {reach} FOLLOWING) AND lag(ts, {reach}) OVER o IS NOT NULL"
+            open_ = f"SELECT p.symbol, p.level, p.born, min(b.ts) FILTER (b.{c} {op}= p.level) AS touched FROM ({peaks}) p JOIN ({bars_sql(15)}) b ON b.symbol = p.symbol AND b.ts >= p.born WHERE p.born IS NOT NULL GROUP BY 1, 2, 3"
+            tables.append(f"SELECT b.symbol, b.ts, '{side}_{n}' AS kind, min({sign}(p.level - b.close)) AS d FROM ({bars_sql(15)}) b JOIN ({open_}) p ON p.symbol = b.symbol AND b.ts >= p.born AND (p.touched IS NULL OR b.ts < p.touched) GROUP BY 1, 2")
+    names = [f"{s}_{n}" for n in FRAMES for s in ("above", "below")]
+    safe = Plan(atr_safe(14, 2, 0.0), {"atr": "safe14"}, raw=True).sql()
+    cols = [f"least(coalesce(max(d) FILTER (kind = '{k}') / any_value(atr), 6), 6)" for k in names]
+    each = ", ".join(f"{c} AS lz_dist_{k}_atr" for c, k in zip(cols, names))
+    return f"SELECT s.symbol, s.ts, {each}, least({', '.join(cols)}) AS lz_closest_zone_atr FROM ({safe}) s LEFT JOIN ({' UNION ALL '.join(tables)}) z USING (symbol, ts) GROUP BY 1, 2"
+
+
+def lasym() -> str:
+    col = lambda s: [f"lz_dist_{s}_{n}_atr" for n in FRAMES]
+    count = lambda s: " + ".join(f"CAST({c} < 5.5 AS INT)" for c in col(s))
+    return f"""SELECT symbol, ts, (nu - nd) / (nu + nd + 1e0) AS la_count_asymmetry, greatest(least(b - a, 6), -6) AS la_dist_asymmetry, (1 / (b + 0.5) - 1 / (a + 0.5)) / (1 / (b + 0.5) + 1 / (a + 0.5) + 1e-6) AS la_strength_imbalance
+FROM (SELECT symbol, ts, {count("above")} AS nu, {count("below")} AS nd, least({", ".join(col("above"))}) AS a, least({", ".join(col("below"))}) AS b FROM ({liquidity()}) x) y"""
+
+
+def tstruct(reach: int = 5, confirm: int = 5) -> str:
+    """Swings as rows; a bar sees the last one that is confirmed."""
+    span = f"(PARTITION BY symbol ORDER BY ts ROWS BETWEEN {reach} PRECEDING AND {reach} FOLLOWING)"
+    safe = Plan(atr_safe(14, 2, 1e-9), {"atr": "safe14"}, raw=True).sql()
+    high, low = (f"[x FOR x IN four IF {t}]" for t in ("x.top", "NOT x.top"))
+    way = lambda q: f"sign({q}[2].price - {q}[1].price)"
+    return f"""WITH b AS (SELECT x.*, atr, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS rn, count(*) OVER (PARTITION BY symbol) AS n, count(*) OVER {span} AS around, high >= max(high) OVER {span} AS hi, low <= min(low) OVER {span} AS lo FROM ({bars_sql(15)}) x JOIN ({safe}) s USING (symbol, ts)),
+s AS (SELECT symbol, rn, rn + {confirm} AS seen, hi AS top, CASE WHEN hi THEN high ELSE low END AS price FROM b WHERE around = {2 * reach + 1} AND (hi OR lo)),
+f AS (SELECT *, array_agg(struct_pack(top := top, price := price)) OVER (PARTITION BY symbol ORDER BY rn ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS four FROM s),
+g AS (SELECT symbol, rn AS at, seen, price, CASE WHEN len(four) < 4 OR len({high}) <> 2 THEN -1 WHEN {way(high)} = 1 AND {way(low)} = 1 THEN 0 WHEN {way(high)} = -1 AND {way(low)} = -1 THEN 1 WHEN {way(high)} = -1 AND {way(low)} = 1 THEN 2 ELSE 3 END AS state FROM f)
+SELECT b.symbol, b.ts, {", ".join(f"CAST(coalesce(state, -1) = {k} AS INT) AS ts_state_{c}" for k, c in enumerate(("bull", "bear", "range", "transition")))}, least(coalesce(b.rn - g.at, b.n), 1440) AS ts_last_swing_age_bars, greatest(least(coalesce((g.price - b.close) / b.atr, 0), 10), -10) AS ts_last_swing_dist_atr
+FROM b ASOF LEFT JOIN g ON g.symbol = b.symbol AND b.rn >= g.seen"""
