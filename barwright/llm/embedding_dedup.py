@@ -324,3 +324,15 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col:
 
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_vectors(table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
+#: The same by comparing all vectors of a label; only for tables as small as the tests'.
+ORACLE = """
+WITH RECURSIVE x AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE label IS NOT NULL AND len(embedding) > 0 AND len([c FOR c IN embedding IF c IS NULL OR NOT isfinite(c)]) = 0 AND len([c FOR c IN embedding IF c <> 0]) > 0),
+e AS (SELECT a.vec_id AS u, b.vec_id AS v FROM x a JOIN x b ON a.label = b.label AND a.vec_id < b.vec_id AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= 0.98),
+b AS (SELECT u, v FROM e UNION ALL SELECT v, u FROM e),
+r AS (SELECT u AS vec_id, v AS seen FROM b UNION SELECT r.vec_id, b.v FROM r JOIN b ON b.u = r.seen),
+c AS (SELECT vec_id, min(seen) AS low FROM r GROUP BY vec_id),
+n AS (SELECT u AS vec_id, count(*) AS n FROM b GROUP BY u)
+SELECT d.vec_id, coalesce(n.n, 0) AS n_links, least(d.vec_id, coalesce(c.low, d.vec_id)) AS component_id, d.vec_id <= coalesce(c.low, d.vec_id) AS kept
+FROM embeddings d LEFT JOIN n USING (vec_id) LEFT JOIN c USING (vec_id)"""

@@ -1,6 +1,6 @@
 """The queries of this folder's operators, by name, and the SQL for those that SQL can express."""
 
-from barwright.llm import exact_dedup
+from barwright.llm import embedding_dedup, exact_dedup, minhash_dedup, warc
 from barwright.llm.embedding_dedup import op9_embedding_dedup
 from barwright.llm.exact_dedup import op8_exact_dedup
 from barwright.llm.license_scan import op2_license_scan
@@ -25,4 +25,4 @@ QUERIES = {
     "op10_mixing": op10_mixing,
 }
 
-ORACLES = {"op8_exact_dedup": exact_dedup.ORACLE}
+ORACLES = {"op5_minhash_dedup": minhash_dedup.ORACLE, "op6_warc": warc.ORACLE, "op8_exact_dedup": exact_dedup.ORACLE, "op9_embedding_dedup": embedding_dedup.ORACLE}

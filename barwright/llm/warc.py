@@ -251,3 +251,12 @@ def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "pages"))
+
+
+_BITS = "[" + ", ".join(f"'{k:04b}'" for k in range(16)) + "]"
+#: What the archives must tell of the pages; the digest's hexadecimal digits are bits, five of which make a base32 sign.
+ORACLE = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+h AS (SELECT page_id, strlen(body) AS payload_bytes, array_to_string([{_BITS}[instr('0123456789abcdef', d)] FOR d IN string_split(sha1(body), '')], '') AS bits, max(page_id) OVER (PARTITION BY body) AS last FROM p)
+SELECT page_id, payload_bytes, array_to_string(['ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + CAST(('0b' || bits[5 * k + 1 : 5 * k + 5]) AS INT)] FOR k IN range(0, 32)], '') AS payload_digest,
+ CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to, true AS digest_verified FROM h"""

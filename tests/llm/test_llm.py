@@ -16,7 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barwright.llm import common, embedding_dedup, exact_dedup, license_scan, minhash_dedup, mixing, packing, sharding, substring_dedup, toxicity, warc
-from barwright.llm.queries import QUERIES
+from barwright.llm.queries import ORACLES, QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -1021,3 +1021,17 @@ def test_pipeline_drops_near_copies_from_80_percent(spark, sf_dir):
 def test_queries_return_whole_tables(spark, sf_dir, name, documents):
     got = QUERIES[name](spark, sf_dir).toPandas()
     assert len(got) == (len(documents) if "license" in name else common.table(spark, sf_dir, "pages").count())
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_queries_equal_their_sql(spark, sf_dir, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "pages", "embeddings"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet')")
+    want = con.sql(ORACLES[name])
+    columns = sorted(want.columns)
+    got = QUERIES[name](spark, sf_dir)
+    assert sorted(got.columns) == columns
+    assert sorted(map(str, got.select(columns).collect())) == sorted(map(str, spark.createDataFrame(want.select(*columns).fetchall(), got.select(columns).schema).collect()))
