@@ -109,14 +109,15 @@ def same(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
     return functools.reduce(Column.__and__, [a[k].eqNullSafe(b[k]) for k in keys])
 
 
-def keep_rows(rows: DataFrame, names: list[str], gone: DataFrame, once: DataFrame) -> DataFrame:
+def keep_rows(rows: DataFrame, names: list[str], gone: DataFrame, once: DataFrame | None = None) -> DataFrame:
     """The packed rows without those whose keys are in ``gone``, and with one row for each of the keys in ``once``.
 
-    Both tables have the key columns, each key once. Of the rows with a key in
+    Both tables have the key columns, each key once. Both grow with the rows, so the
+    join with ``gone`` is a sorted one at every size. Of the rows with a key in
     ``once`` the one with the lowest hash stays: a minimum combined map-side.
     """
-    rows = rows.join(gone, same(rows, gone, names), "left_anti")
-    if not once.limit(1).count():
+    rows = rows.join(gone.hint("merge"), same(rows, gone, names), "left_anti")
+    if once is None or not once.limit(1).count():
         return rows.select("row.*")
     several = rows.join(once, same(rows, once, names), "left_semi").groupBy(*names).agg(F.min_by("row", F.xxhash64("row")).alias("row"))
     return rows.join(once, same(rows, once, names), "left_anti").select("row").unionByName(several.select("row")).select("row.*")
