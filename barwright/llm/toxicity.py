@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barwright.llm.common import TEXT_ROWS, give_back, materialize, slices, table
+from barwright.llm.common import TEXT_ROWS, give_back, keep_rows, materialize, packed, slices, table
 
 ORDER = 5
 DISCOUNT = 0.75
@@ -284,19 +284,23 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows predicted toxic, each judged by its own text where it is read; columns unchanged."""
+    """``docs`` without the rows predicted toxic, each judged by its own text; columns unchanged."""
     model = train(docs, labels, id_col, text_col)
     shared, weights = model["tables"], model["weights"]
-    at = docs.columns.index(text_col)
+    kinds = pa.schema([("k1", pa.int64()), ("k2", pa.int64())])
+    i, t = F.col(id_col), F.col(text_col)
+    keys = {"k1": F.xxhash64(i, t), "k2": F.xxhash64(t, i, F.lit(1))}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = WordScorer.of(shared.value)
         for batch in batches:
-            yield batch.filter(pa.array(predict(scorer, batch.column(at), weights) < 0.5))
+            bad = pa.array(predict(scorer, batch.column(2), weights) >= 0.5)
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(bad) for k in (0, 1)], schema=kinds)
         del scorer
         give_back()
 
-    return materialize(docs.mapInArrow(run, docs.schema), "clean", TEXT_ROWS)
+    found = docs.select(*[c.alias(k) for k, c in keys.items()], t.alias("text")).mapInArrow(run, "k1 long, k2 long").distinct()
+    return keep_rows(packed(docs, **keys), list(keys), materialize(found, "toxic", TEXT_ROWS))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
