@@ -173,16 +173,17 @@ def test_spec():
 def test_every_family_is_causal(spark):
     """All families at once, beside other instruments: cutting later bars changes nothing earlier."""
     names = {"es": 3, "nq": 4, "zb": 5}
-    own = spark.createDataFrame(history(700, minutes=15), SCHEMA)
-    frame = align(own, {n: spark.createDataFrame(history(700, s, n, 15), SCHEMA) for n, s in names.items()}).cache()
+    own = spark.createDataFrame(history(1100, minutes=15), SCHEMA)
+    frame = align(own, {n: spark.createDataFrame(history(1100, s, n, 15), SCHEMA) for n, s in names.items()}).cache()
+    # trends are 0 for a history of fewer than two coarse bars: both of these have two weeks begun
     # surprise compares with its first 5000 rows, by definition: no history here is long enough
-    spec, cut = features.Spec(frozenset(features.REGISTRY) - set(features.CACHED) - {"surprise"}), T0 + dt.timedelta(minutes=15 * 500)
+    spec, cut = features.Spec(frozenset(features.REGISTRY) - set(features.CACHED) - {"surprise"}), T0 + dt.timedelta(minutes=15 * 900)
     full = local(features.structural_features(frame, spec))
     part = local(features.structural_features(frame.where(F.col("ts") < F.lit(cut)), spec))
-    assert len(full) == 700 and len(part) == 500
+    assert len(full) == 1100 and len(part) == 900
     # before the first swing its age is the number of rows, as defined
     for c in part.columns[2:]:
-        np.testing.assert_allclose(full[c][60:500].astype(float), part[c][60:].astype(float), rtol=1e-8, atol=1e-8, equal_nan=True, err_msg=c)
+        np.testing.assert_allclose(full[c][60:900].astype(float), part[c][60:].astype(float), rtol=1e-8, atol=1e-8, equal_nan=True, err_msg=c)
     dead = features.degenerate(features.structural_features(frame, features.Spec.parse("session, vwap, kronos"), shift=False))
     assert {c for c, w in dead.items() if w == "null"} == set(features.family_columns("kronos"))
 
