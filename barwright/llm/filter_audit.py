@@ -25,7 +25,7 @@ from __future__ import annotations
 from itertools import permutations
 from math import factorial
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barwright.llm.common import materialize, table
@@ -72,34 +72,27 @@ def audit(failed: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> DataF
     """(part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, shapley) from failure_sets and labels."""
     said = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max((F.col("quality") == 1).cast("int")).alias("good"), F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
     known = failed.join(said, "id", "left")
-    kinds = {"all": F.lit(True), "good": F.col("good") == 1, "toxic": F.col("toxic") == 1}
-    counts = known.groupBy("part").agg(*[F.count(F.when((F.col("failed") == m) & c, 1)).alias(f"{k}_{m}") for k, c in kinds.items() for m in range(SETS)])
-    counts = counts.select("part", *[F.array(*[F.col(f"{k}_{m}") for m in range(SETS)]).alias(k) for k in kinds])
-    at = [(o, s, FILTERS.index(o[s]), sum(1 << FILTERS.index(x) for x in o[:s])) for o in permutations(FILTERS) for s in range(len(FILTERS))]
-    step = F.explode(F.array(*[F.struct(F.lit("".join(o)).alias("filter_order"), F.lit(s + 1).alias("step"), F.lit(1 << k).alias("own"), F.lit(before).alias("before")) for o, s, k, before in at]))
-    out = counts.select("part", *kinds, step.alias("at")).select("part", *kinds, "at.*")
-
-    def total(kind: str, wanted) -> Column:
-        terms = [F.when(wanted(F.lit(m)), F.get(kind, F.lit(m))).otherwise(F.lit(0)) for m in range(SETS)]
-        return sum(terms[1:], terms[0])
-
-    has = lambda m: m.bitwiseAND(F.col("own")) != 0
-    untouched = lambda m: m.bitwiseAND(F.col("before")) == 0
-    here = lambda m: has(m) & untouched(m)
-    first = [factorial(len(FILTERS)) // max(1, bin(m).count("1")) for m in range(SETS)]  # orders in which one filter of a set comes before the others
-    shares = [F.when(has(F.lit(m)), F.get("all", F.lit(m)) * first[m]).otherwise(F.lit(0)) for m in range(SETS)]
-    return out.select(
-        "part",
-        "filter_order",
-        "step",
-        total("all", lambda m: untouched(m) & ~has(m)).alias("kept"),
-        total("all", here).alias("removed"),
-        total("all", lambda m: has(m) & ~untouched(m)).alias("redundant"),
-        total("all", lambda m: m == F.col("own")).alias("unique_fails"),
-        total("good", here).alias("good_lost"),
-        total("toxic", here).alias("toxic_lost"),
-        sum(shares[1:], shares[0]).alias("shapley"),
-    )
+    kinds = {"all": "", "good": "AND good = 1", "toxic": "AND toxic = 1"}
+    counts = known.groupBy("part").agg(*[F.expr(f"count_if(failed = {m} {c}) AS {k}_{m}") for k, c in kinds.items() for m in range(SETS)])
+    counts = counts.select("part", *[F.array(*[f"{k}_{m}" for m in range(SETS)]).alias(k) for k in kinds])
+    orders = ", ".join(f"'{''.join(o)}'" for o in permutations(FILTERS))
+    at = counts.select("*", F.expr(f"explode(array({orders}))").alias("filter_order"))
+    at = at.select("*", F.expr(f"explode(sequence(1, {len(FILTERS)}))").alias("step"))
+    bit = f"shiftleft(1, instr('{FILTERS}', substring(filter_order, {{}}, 1)) - 1)"
+    at = at.withColumn("own", F.expr(bit.format("step")))
+    at = at.withColumn("before", F.expr(f"aggregate(sequence(1, {len(FILTERS)}), 0, (a, k) -> a + if(k < step, {bit.format('k')}, 0))"))
+    # a filter comes first among the b filters of a set in 1/b of all orders
+    total = "aggregate(sequence(0, {sets}), 0L, (a, m) -> a + if({wanted}, {kind}[m]{times}, 0L)) AS {name}"
+    sums = [
+        ("kept", "all", "(m & (before | own)) = 0", ""),
+        ("removed", "all", "(m & before) = 0 AND (m & own) <> 0", ""),
+        ("redundant", "all", "(m & before) <> 0 AND (m & own) <> 0", ""),
+        ("unique_fails", "all", "m = own", ""),
+        ("good_lost", "good", "(m & before) = 0 AND (m & own) <> 0", ""),
+        ("toxic_lost", "toxic", "(m & before) = 0 AND (m & own) <> 0", ""),
+        ("shapley", "all", "(m & own) <> 0", f" * ({factorial(len(FILTERS))} DIV bit_count(m))"),
+    ]
+    return at.select("part", "filter_order", "step", *[F.expr(total.format(sets=SETS - 1, wanted=w, kind=k, times=t, name=n)) for n, k, w, t in sums])
 
 
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
