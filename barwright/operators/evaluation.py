@@ -96,6 +96,7 @@ PLANS["l2_derived_features"] = Plan(
     [*PREDS, {"a": clip("pl * 0.5", 1e-9, 1.0), "b": clip("ps * 0.5", 1e-9, 1.0)}, {"c": clip("1.0 - a - b", 1e-9, 1.0)}],
     {"direction": "CASE WHEN a >= b THEN 1 ELSE -1 END", "strength": "greatest(a, b)", "margin": "abs(a - b)", "entropy": "-(a * ln(a) + b * ln(b) + c * ln(c))", "expected_r": "CASE WHEN a >= b THEN mfe_l / (mae_l + 1e-9) ELSE mfe_s / (mae_s + 1e-9) END"},
     where="mae_l > 0 AND mae_s > 0",
+    digits=9,  # probabilities have six digits, so their halves end in the seventh
 )
 PLANS["candidate_selection"] = Plan([*PREDS, {"m": "round(abs(pl - ps), 9)"}, {"k": "row_number() OVER (PARTITION BY symbol ORDER BY m DESC, ts)", "n": f"count(*) OVER {ALL}"}], {"margin": "m", "rank": "k", "side": "CASE WHEN pl >= ps THEN 1 ELSE -1 END", "meta_label": "CASE WHEN pl >= ps THEN y ELSE y2 END"}, where="k <= greatest(1, ceil(0.1 * n))")
 PLANS["conformal_interval"] = Plan(
@@ -144,7 +145,7 @@ def _on(plan: Plan, table: DataFrame) -> DataFrame:
 
 def _bare(plan: Plan) -> Plan:
     """The plan without the steps that make demo predictions."""
-    return Plan(plan.steps[len(PREDS) :], plan.out, keys=plan.keys, where=plan.where, group=plan.group, raw=plan.raw)
+    return Plan(plan.steps[len(PREDS) :], plan.out, keys=plan.keys, where=plan.where, group=plan.group, raw=plan.raw, digits=plan.digits)
 
 
 #: Plans that only need a table's columns; they also run on the momentum baseline against its own labels.

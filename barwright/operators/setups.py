@@ -90,6 +90,7 @@ SETUPS["surprise"] = Plan(
         {f"s_{k}": clip(f"{x} / greatest(e_{k}, 1e-9) - 1.0", -3.0, 3.0) for k, x in _surprise.items()},
     ],
     {**{f"es_{k}_surprise": f"s_{k}" for k in _surprise}, "es_combined_surprise": "(s_vol + s_move + s_volume) / 3.0"},
+    digits=9,  # ratios of small whole numbers lie on the edges of six digits
 )
 
 SETUPS["seod"] = Plan(

@@ -32,7 +32,7 @@ def duck_text(expr: str) -> str:
 
 @dataclass
 class Plan:
-    """``out`` maps result names to expressions, rounded to 6 digits unless ``raw``.
+    """``out`` maps result names to expressions, rounded to ``digits`` unless ``raw``.
 
     The input is bars of all symbols, ``cross`` bars of the primary symbol beside
     the others', with ``pool`` bars of all events together, or another plan's
@@ -50,9 +50,10 @@ class Plan:
     raw: bool = False
     pool: bool = False
     primary: str = "click"
+    digits: int = 6
 
     def _final(self, expr: str) -> str:
-        return expr if self.raw else f"round(CAST({expr} AS DOUBLE), 6) + 0.0"
+        return expr if self.raw else f"round(CAST({expr} AS DOUBLE), {self.digits}) + 0.0"
 
     def apply(self, df: DataFrame) -> DataFrame:
         for step in self.steps:

@@ -37,7 +37,7 @@ def test_query_equals_sql(spark, sf_dir, duck, name):
     got = tidy(catalogue.QUERIES[name](spark, sf_dir).toPandas())
     want = tidy(duck.sql(catalogue.ORACLES[name]).df())
     assert len(got)
-    pd.testing.assert_frame_equal(got, want, check_dtype=False, rtol=1e-9, atol=2e-6)
+    pd.testing.assert_frame_equal(got, want, check_dtype=False, rtol=1e-9, atol=2e-9)
 
 
 def test_queries_without_sql_have_rows(spark, sf_dir):
