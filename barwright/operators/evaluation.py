@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from barwright.functions import clip, flag, lag, lead, over
 from barwright.operators import families, labels
-from barwright.plans import Plan
+from barwright.plans import Plan, spark_text
 from barwright.sources import bars
 
 # Costs of a trade in points, and dollars a point.
@@ -122,6 +122,13 @@ SHAPE = [{"up": "greatest(close - open, 0.0)", "r15": f"{lead('close', 15)} - cl
 PLANS["label_returns"] = Plan([*SHAPE, {"tr": f"greatest(high - low, abs(high - {lag('close')}), abs(low - {lag('close')}))"}, {"atr": f"CASE WHEN {over('count', 'tr', -60, -1)} >= 15 THEN greatest({over('avg', 'tr', -60, -1)}, 0.5) END"}], {"return_h15": clip("r15 / atr", -10.0, 10.0)}, where="rn <= n - 15")
 
 
+def with_demo(frame: DataFrame) -> DataFrame:
+    """Bars with the demo's predictions and outcomes."""
+    for step in PREDS:
+        frame = frame.select("*", *[F.expr(spark_text(e)).alias(a) for a, e in step.items()])
+    return frame
+
+
 def outcomes(predictions: DataFrame, truths: DataFrame) -> DataFrame:
     """Predictions (symbol, ts, long_tp_prob, short_tp_prob) beside what ``labels.barrier_labels`` says of the same bars."""
     took = ["long_tp AS y", "short_tp AS y2", "mfe_long AS mfe_l", "mae_long AS mae_l", "mfe_short AS mfe_s", "mae_short AS mae_s", "return_h60 AS target_return", "tp_points AS win_points", "sl_points AS loss_points"]
