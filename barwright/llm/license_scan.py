@@ -29,7 +29,7 @@ import math
 import re
 from collections import Counter
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barwright.llm.common import materialize, table
@@ -77,29 +77,27 @@ def _tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
-def _candidates(hit: DataFrame, base: DataFrame) -> DataFrame:
-    """(file, kind, tokens): hit lines (file, row, pos, tokens), and windows, blocks and whole texts of their files. Kind is -1 for whole texts, else 0."""
-    at = materialize(hit.groupBy("file", "row").agg(F.collect_set("pos").alias("at")), "hits")
-    text = base.join(at, ["file", "row"]).select("file", "at", F.split("text", "\n").alias("lines"))
-    said = F.transform("lines", _tokens)
-    text = materialize(text.select("file", "at", said.alias("said")), "candidates")
-    # places of the lines with terms; a window takes the next ones, whatever stands between
-    filled = F.filter(F.sequence(F.lit(0), F.size("said") - 1), lambda k: F.size(F.get("said", k)) > 0)
-    text = text.withColumn("filled", filled).withColumn("rank", F.explode("at")).withColumn("rank", F.array_position("filled", F.col("rank")).cast("int"))
-    text = text.where("rank > 0")
-    spans = [F.struct(F.greatest(F.lit(1), F.col("rank") + lo).alias("lo"), F.lit(n).alias("n")) for n in WINDOWS for lo in (0, 1 - n)]
-    window = text.select("file", "said", "filled", F.explode(F.array_distinct(F.array(*spans))).alias("w"))
-    window = window.select("file", F.flatten(F.transform(F.slice("filled", F.col("w.lo"), F.col("w.n")), lambda k: F.get("said", k))).alias("tokens"))
-    # a block: the lines with terms around a hit, up to empty ones
-    place = F.get("filled", F.col("rank") - 1)
-    before = F.filter("empty", lambda k: k < place)
-    after = F.filter("empty", lambda k: k > place)
-    block = text.withColumn("empty", F.filter(F.sequence(F.lit(-1), F.size("said")), lambda k: (k < 0) | (k >= F.size("said")) | (F.size(F.get("said", k)) == 0)))
-    block = block.select("file", "said", F.array_max(before).alias("lo"), F.array_min(after).alias("hi")).dropDuplicates(["file", "lo", "hi", "said"])
-    block = block.select("file", F.flatten(F.slice("said", F.col("lo") + 2, F.col("hi") - F.col("lo") - 1)).alias("tokens"))
-    whole = text.select("file", F.flatten("said").alias("tokens")).distinct()
+def _candidates(files: DataFrame, must: Column) -> DataFrame:
+    """(file, kind, tokens) of files (file, row, text) that have a line with a term of ``must``: those lines, and the windows, blocks and whole texts around them.
+
+    Kind is -1 for whole texts, else 0. Each line is a row with its own terms only; a window reads the next lines, whatever the
+    file's length, and a block is an aggregate of its lines, so work grows with the lines.
+    """
+    line = files.select("file", "row", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    line = line.select("file", "row", "pos", _tokens(F.col("line")).alias("tokens")).withColumn("hit", F.arrays_overlap("tokens", must))
+    along = Window.partitionBy("file", "row").orderBy("pos")
+    line = line.withColumn("block", F.sum((F.size("tokens") == 0).cast("long")).over(along)).where(F.size("tokens") > 0)
+    # windows take the next lines with terms, whatever stands between
+    ahead = along.rowsBetween(0, max(WINDOWS) - 1)
+    window = line.select("file", "row", "pos", "block", "tokens", "hit", F.row_number().over(along).alias("rank"), F.collect_list("tokens").over(ahead).alias("next"), F.collect_list("hit").over(ahead).alias("hits"))
+    meets = lambda n: F.col("hit") | F.coalesce(F.get("hits", F.lit(n - 1)), F.lit(False)) | ((F.col("rank") == 1) & F.array_contains(F.slice("hits", 1, n), True))
+    wide = F.filter(F.array(*[F.when(meets(n), F.lit(n)) for n in WINDOWS]), lambda n: n.isNotNull())
+    window = window.where(F.array_contains("hits", True)).select("file", "next", F.explode(wide).alias("n")).select("file", F.flatten(F.slice("next", F.lit(1), F.col("n"))).alias("tokens"))
+    block = line.groupBy("file", "row", "block").agg(F.max("hit").alias("hit"), F.array_sort(F.collect_list(F.struct("pos", "tokens"))).alias("said")).where("hit")
+    block = block.select("file", F.flatten("said.tokens").alias("tokens"))
+    whole = files.select("file", _tokens(F.col("text")).alias("tokens"))
     kind = lambda df, k: df.select("file", F.lit(k).alias("kind"), "tokens")
-    return kind(hit, 0).unionByName(kind(window, 0)).unionByName(kind(block, 0)).unionByName(kind(whole, -1))
+    return kind(line.where("hit"), 0).unionByName(kind(window, 0)).unionByName(kind(block, 0)).unionByName(kind(whole, -1))
 
 
 def license_scan(files: DataFrame, path_col: str = "path", text_col: str = "text", threshold: float = THRESHOLD, templates: dict[str, list[str]] | None = None) -> DataFrame:
@@ -120,9 +118,11 @@ def license_scan(files: DataFrame, path_col: str = "path", text_col: str = "text
     weights = template_weights(df, lines, templates)
     wanted = spark.createDataFrame([(t, n, k, w) for (n, k), ws in weights.items() for t, w in ws.items()], "term string, name string, k int, w double")
     must = F.array(*[F.lit(t) for t in sorted(anchors(weights, df, threshold))])
-    hit = materialize(line.where(F.arrays_overlap("tokens", must)), "lines")
+    hit = materialize(line.where(F.arrays_overlap("tokens", must)).groupBy("file", "row").agg(F.count(F.lit(1)).alias("hits")), "hits")
+    held = base.join(hit.select("file", "row"), ["file", "row"], "left_semi")
+    held = materialize(held.groupBy("file", "row").agg(F.any_value("text").alias("text")), "files")
     # repeated rows of a file: candidates are told apart by content, not by place
-    unit = _candidates(hit, base).select("file", "kind", F.xxhash64("tokens").alias("unit"), "tokens").where(F.size("tokens") > 0).dropDuplicates(["file", "kind", "unit"])
+    unit = _candidates(held, must).select("file", "kind", F.xxhash64("tokens").alias("unit"), "tokens").where(F.size("tokens") > 0).dropDuplicates(["file", "kind", "unit"])
     tf = unit.select("file", "kind", "unit", F.explode("tokens").alias("term")).groupBy("file", "kind", "unit", "term").agg(F.count(F.lit(1)).alias("tf"))
     tf = materialize(tf, "terms")  # so that the join can split a common term
     weight = F.col("tf") * (F.log(F.lit(float(1 + lines)) / (F.col("df") + 1)) + 1)
