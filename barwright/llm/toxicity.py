@@ -47,6 +47,7 @@ from barwright.llm.common import TEXT_ROWS, give_back, keep_rows, materialize, p
 ORDER = 5
 DISCOUNT = 0.75
 TRAINING = 200_000
+GRAMS = 2_000_000  # n-grams of the model at most; the sample of labelled rows is halved until it has no more
 CALIBRATION = 20_000
 WORD_CACHE = 300_000
 WORD_PATTERN = r"[^\W_]+"
@@ -224,15 +225,18 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int =
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> dict:
     """The model: the broadcast tables (seen and unseen, flat, and the order) and the curve's weights."""
-    truth = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & (fold_of(id_col) > 0)).withColumn("__k", F.xxhash64(id_col))
-    truth = truth.where(_lowest("__k", truth.count(), TRAINING))
-    truth = truth.groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col)).cast("int").alias("y"))
+    said = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & (fold_of(id_col) > 0)).withColumn("__k", F.xxhash64(id_col))
     known = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), fold_of(id_col).alias("fold"))
-    rows = known.where("fold > 0").join(F.broadcast(truth), "id")  # about TRAINING rows at most
-    words = materialize(_word_counts(rows.where("fold < 4")), "words", TEXT_ROWS)
-    order = ORDER
-    grams = materialize(_ngram_counts(words, order), "grams")
-    local = grams.toPandas()  # the n-grams of about TRAINING rows at most
+    size, most, order = said.count(), TRAINING, ORDER
+    while True:
+        truth = said.where(_lowest("__k", size, most)).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col)).cast("int").alias("y"))
+        rows = known.where("fold > 0").join(F.broadcast(truth), "id")  # about TRAINING rows at most
+        words = materialize(_word_counts(rows.where("fold < 4")), "words", TEXT_ROWS)
+        grams = materialize(_ngram_counts(words, order), "grams")
+        if grams.count() <= GRAMS or most <= 1:
+            break
+        most = min(most, size) // 2
+    local = grams.toPandas()  # at most GRAMS n-grams
     seen, unseen = log_ratios(local, order) if len(local) else ({}, {})
     tables = docs.sparkSession.sparkContext.broadcast((flat(seen), flat(unseen), order))
     del local, seen, unseen
