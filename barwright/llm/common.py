@@ -19,6 +19,9 @@ from pyspark.sql import functions as F
 
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 TEXT_ROWS = 1000  # rows of an Arrow batch that carries whole texts
+FILTER_BITS = 1 << 26  # of a broadcast bitmap at most
+HUBS = 1000  # nodes at most whose minima are broadcast
+HUB_EDGES = 10_000  # edges of a hub at least
 PART_ROWS = 100_000  # rows that one task of a rank sorts, about
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -109,18 +112,41 @@ def same(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
     return functools.reduce(Column.__and__, [a[k].eqNullSafe(b[k]) for k in keys])
 
 
+def flagged(rows: DataFrame, names: list[str], keys: DataFrame, seed: int = 0) -> DataFrame:
+    """``rows`` with ``hit``: whether a bitmap of the hashes of ``keys`` may hold theirs. False for no row whose key is there.
+
+    The bitmap is a broadcast table of 64-bit words, of at most FILTER_BITS / 64 rows.
+    """
+    bits = min(FILTER_BITS, 1 << max(16, (64 * keys.count()).bit_length()))
+    place = F.pmod(F.xxhash64(F.lit(seed), *names), F.lit(bits))
+    words = keys.select(place.alias("at")).selectExpr("at div 64 AS w", "shiftleft(1L, int(at % 64)) AS b").groupBy("w").agg(F.bit_or("b").alias("b"))
+    placed = rows.withColumn("at", place).withColumn("w", F.expr("at div 64"))
+    held = placed.join(F.broadcast(words), "w", "left").withColumn("hit", F.expr("coalesce((b & shiftleft(1L, int(at % 64))) <> 0, false)"))
+    return held.select(*rows.columns, "hit")
+
+
 def keep_rows(rows: DataFrame, names: list[str], gone: DataFrame, once: DataFrame | None = None) -> DataFrame:
     """The packed rows without those whose keys are in ``gone``, and with one row for each of the keys in ``once``.
 
-    Both tables have the key columns, each key once. Both grow with the rows, so the
-    join with ``gone`` is a sorted one at every size. Of the rows with a key in
-    ``once`` the one with the lowest hash stays: a minimum combined map-side.
+    Both tables have the key columns, each key once, and grow with the rows. Rows are
+    judged where they are read: a bitmap of the keys to go passes most of the others,
+    and the keys (not the rows) that it holds wrongly are found by a join. Only rows
+    that a bitmap of those holds are moved, so what is shuffled of whole rows is a
+    share of them that the bitmaps' sizes set, whether few rows go or most.
+    Of the rows with a key in ``once`` the one with the lowest hash stays: a minimum combined map-side.
     """
-    rows = rows.join(gone.hint("merge"), same(rows, gone, names), "left_anti")
+    first = flagged(rows, names, gone)
+    suspect = first.where("hit").select(*names).distinct()
+    wrong = materialize(suspect.join(gone, same(suspect, gone, names), "left_anti"), "wrong")
+    back = flagged(first.where("hit").drop("hit"), names, wrong, 1).where("hit").drop("hit")
+    rows = first.where("NOT hit").drop("hit").unionByName(back.join(wrong, same(back, wrong, names), "left_semi"))
     if once is None or not once.limit(1).count():
         return rows.select("row.*")
-    several = rows.join(once, same(rows, once, names), "left_semi").groupBy(*names).agg(F.min_by("row", F.xxhash64("row")).alias("row"))
-    return rows.join(once, same(rows, once, names), "left_anti").select("row").unionByName(several.select("row")).select("row.*")
+    held = flagged(rows, names, once, 2)
+    maybe = held.where("hit").drop("hit")
+    several = maybe.join(once, same(maybe, once, names), "left_semi").groupBy(*names).agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    other = maybe.join(once, same(maybe, once, names), "left_anti").select("row")
+    return held.where("NOT hit").select("row").unionByName(other).unionByName(several.select("row")).select("row.*")
 
 
 def _edge_state(edges: DataFrame) -> tuple:
@@ -128,13 +154,22 @@ def _edge_state(edges: DataFrame) -> tuple:
     return r[0], r[1]
 
 
+def _with_least(edges: DataFrame, most: int) -> DataFrame:
+    """``edges`` (u, v) with ``m``, the least v of their u. Nodes with more than ``most`` edges get it by a broadcast: their edges stay where they are."""
+    low = materialize(edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), "cc")
+    hubs = F.broadcast(low.where(F.col("n") > most).select("u", "m"))
+    rest = edges.join(hubs.select("u"), "u", "left_anti").join(low.where(F.col("n") <= most).select("u", "m"), "u")
+    return edges.join(hubs, "u").unionByName(rest)
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) of all nodes with an edge; component is the smallest node reachable.
 
     ``edges`` has long columns u and v. Alternates the large-star and small-star
     steps on distributed edge lists until nothing changes. Each step is a minimum
-    by node (combined map-side) joined back to the edges, so a hub's edges are
-    never gathered in one place; each round ends in a scratch table.
+    by node (combined map-side) joined back to the edges. No task gathers a hub's
+    edges: nodes with more than a thousandth of the edges (or HUB_EDGES) are at most
+    2 * HUBS, and their minima are broadcast. Each round ends in a scratch table.
     """
     cur = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     cur = materialize(cur, "cc")
@@ -142,12 +177,11 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if not state[0]:
             break
+        most = max(HUB_EDGES, state[0] // HUBS)
         both = cur.union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(low, "u")
+        large = _with_least(both, most).withColumn("m", F.least("m", "u")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = materialize(large.where("u <> v").distinct(), "cc")
+        joined = _with_least(large, most)
         small = joined.select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
         small = small.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).where("u <> v").distinct()
         nxt = materialize(small, "cc")

@@ -67,6 +67,33 @@ def test_components_match_union_find(spark):
     assert common.connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_hubs_and_stars(spark, monkeypatch):
+    monkeypatch.setattr(common, "HUB_EDGES", 50)
+    monkeypatch.setattr(common, "HUBS", 5)
+    rng = random.Random(8)
+    edges = [(7, k) for k in range(1000, 1400)] + [(k, 9000 + k) for k in range(300)] + [(5000, k) for k in range(1300, 1700)] + [(rng.randrange(60000, 60040), rng.randrange(60000, 60300)) for _ in range(400)]
+    got = {r["node"]: r["component"] for r in common.connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == components([e for e in edges if e[0] != e[1]], {n for e in edges if e[0] != e[1] for n in e})
+    # a hub's edges keep the places that they are read at
+    star = common.materialize(spark.range(0, 4000, 1, 8).select((F.col("id") + 1).alias("u"), F.lit(0).cast("long").alias("v")), "star")
+    both = star.union(star.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    rows = common._with_least(both, 400).groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert sum(r["count"] for r in rows) == 8000 and max(r["count"] for r in rows) <= 2 * 8000 / 8
+
+
+@pytest.mark.parametrize("bits", [1 << 6, 1 << 26])
+def test_keep_rows_with_full_bitmaps(spark, monkeypatch, bits):
+    """However many keys a bitmap holds wrongly, exactly the rows to go are gone."""
+    monkeypatch.setattr(common, "FILTER_BITS", bits)
+    docs = clashing(spark, [(k if k % 5 else None, f"t{k % 90}", "s") for k in range(600)])
+    rows = common.packed(docs, k1=F.col("doc_id"), k2=F.col("text"))
+    gone = rows.where("k1 % 3 = 0 OR k2 = 't5'").select("k1", "k2").distinct()
+    once = rows.groupBy("k1", "k2").count().where("count > 1 AND NOT (coalesce(k1, 1) % 3 = 0 OR k2 = 't5')").select("k1", "k2")
+    got = common.keep_rows(rows, ["k1", "k2"], gone, once)
+    want = {(k if k % 5 else None, f"t{k % 90}") for k in range(600) if not ((k % 5 and k % 3 == 0) or k % 90 == 5)}
+    assert got.columns == docs.columns and Counter((r["doc_id"], r["text"]) for r in got.collect()) == Counter(want)
+
+
 def test_dense_rank_has_no_gaps(spark):
     df = spark.range(1000).withColumn("k", (F.col("id") % 3 == 0).cast("int"))
     got = common.dense_rank(df, ["k"], ["id"], "r", salts=7).toPandas()
@@ -331,8 +358,8 @@ def test_pairs_within_groups():
 def brute_spans(rows):
     first, later = {}, defaultdict(set)
     for i, t in sorted((r for r in rows if r[0] is not None and r[1]), key=lambda r: r[0]):
-        for a, b, h in substring_dedup.runs(substring_dedup.sentences(t)):
-            if first.setdefault(h, (i, a)) != (i, a):
+        for a, b, *h in substring_dedup.runs(substring_dedup.sentences(t)):
+            if first.setdefault(tuple(h), (i, a)) != (i, a):
                 later[i].update(range(a, b + 1))
     return later
 
@@ -358,13 +385,13 @@ def test_passage_inside_sentences_is_found(spark):
 
 
 def brute_repeats(rows):
-    """(id, place) of sentences in any sequence of two or more sentences, weight 3 and 12 words, of any length, of which an earlier copy exists; rows of (id, sentences)."""
+    """(id, place) of sentences in any sequence of two or more sentences with MIN_WORDS words, of any length, of which an earlier copy exists; rows of (id, sentences)."""
     first, later = {}, set()
     for i, said in sorted(rows):
         for a in range(len(said)):
             for b in range(a + 1, len(said)):  # several sentences
                 n = [len(x.split()) for x in said[a : b + 1]]
-                if sum(1 + k // 12 for k in n) >= 3 and sum(n) >= 12 and first.setdefault(tuple(said[a : b + 1]), (i, a)) != (i, a):
+                if sum(n) >= substring_dedup.MIN_WORDS and first.setdefault(tuple(said[a : b + 1]), (i, a)) != (i, a):
                     later |= {(i, k) for k in range(a, b + 1)}
     return later
 
@@ -393,6 +420,16 @@ def test_one_long_sentence_is_no_run(spark):
     assert got["n_removed"].tolist() == [0, 0]
 
 
+def test_two_short_sentences_are_a_run(spark):
+    said = "One two three four five six. Seven eight nine ten eleven twelve. "
+    rows = [(1, f"Some start. {said}Some end."), (2, f"Other start. {said}Other end."), (3, "Yes. No. Maybe so."), (4, "Yes. No. Or not.")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in substring_dedup.substring_dedup(df).collect()}
+    assert got == {**dict(rows), 2: "Other start. Other end."}
+    got = {r["doc_id"]: r["text"] for r in substring_dedup.substring_dedup(df, min_words=1).collect()}
+    assert got == {**dict(rows), 2: "Other start. Other end.", 4: "Or not."}
+
+
 def test_substring_decides_by_row(spark):
     """An id with two texts: the copy loses its sentences, the other text nothing; null ids come last."""
     passage = "One two three four five six. Seven eight nine ten eleven twelve. Thirteen fourteen fifteen sixteen."
@@ -521,6 +558,18 @@ def test_drop_toxic_decides_by_row(spark):
     assert toxicity.drop_toxic(df.limit(0), labels).count() == 0
 
 
+def test_toxicity_model_is_bounded(spark, monkeypatch):
+    """The sample of labelled rows is halved until its n-grams fit."""
+    rng = random.Random(2)
+    rows = [(k, " ".join("".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(12))) for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(300)], "doc_id long, toxic int")
+    usual = len(toxicity.unflat(toxicity.train(docs, labels)["tables"].value[0]))
+    monkeypatch.setattr(toxicity, "GRAMS", usual // 3)
+    few = len(toxicity.unflat(toxicity.train(docs, labels)["tables"].value[0]))
+    assert 0 < few <= usual // 3 and toxicity.toxicity(docs, labels).count() == 300
+
+
 def test_kneser_ney_probabilities_sum_to_one():
     """Over all characters after a context, both classes' probabilities sum to 1: checked through the ratio tables."""
     grams = pd.DataFrame([("^a", 5, 1), ("^b", 3, 3), ("^ab", 4, 0), ("^aa", 1, 1), ("ab$", 4, 1)], columns=["gram", "o", "t"])
@@ -894,6 +943,19 @@ def test_license_weighs_common_words_by_their_frequency(spark):
     assert [(r["path"], r["license"], r["score"]) for r in got] == [("c/x.c", "MIT", pytest.approx(want, abs=1e-8))]
 
 
+def test_license_of_long_files(spark):
+    """A file of 10,000 lines with a notice in every tenth, and one of 3,000 lines of notices without an empty one, against brute force."""
+    rng = random.Random(4)
+    notice = ["SPDX-License-Identifier: MIT", "// Licensed under the Apache License, Version 2.0 (the License);", "released under the terms of the GNU General Public License"]
+    line = lambda: " ".join(rng.choice(["int", "x", "return", "value", "the", "for", "under"]) for _ in range(rng.randrange(6)))
+    long = "\n".join(rng.choice(notice) if k % 10 == 3 else line() for k in range(10_000))
+    dense = "\n".join(rng.choice(notice) for _ in range(3000))
+    rows = [("a/long.c", long), ("b/dense.c", dense), ("b/other.c", "nothing here")]
+    got = license_scan.license_scan(spark.createDataFrame(rows, "path string, text string")).toPandas()
+    own = got[got["origin"].isin(["header", "file"])]
+    assert {r.path: (r.license, r.score) for r in own.itertuples()} == brute_license(rows)
+
+
 def test_license_inheritance_and_edges(spark):
     t = license_scan.TEMPLATES
     rows = [("LICENSE", t["MIT"][0]), ("a/x.c", "int x;"), ("a/b/COPYING", t["GPL-3.0"][0] + ".\nmore of it"), ("a/b/c/y.c", "int y;"), ("a/b/z.c", "# " + t["Apache-2.0"][0]), ("n/empty", ""), ("n/null", None), (None, "x"), ("a/x.c", "int x;"), ("d/long", "word " * 50000)]
