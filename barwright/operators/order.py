@@ -163,6 +163,44 @@ def expanding_quantile(table: DataFrame, column: str, share: float = 0.5, least:
     return out.select(*table.columns, (F.col("lo") + (F.col("hi") - F.col("lo")) * part).alias("quantile"))
 
 
+def rolling_rank(table: DataFrame, column: str, rows: int, least: int = 1, by: str = "symbol", order: str = "ts") -> DataFrame:
+    """``table`` with ``rank``: the share of the last ``rows`` rows' values that lie below the row's own, ties as their mean rank; null below ``least`` values or for null.
+
+    The same descent as ``expanding_quantile``: at each digit of its own value's code a row
+    counts the smaller next digits up to itself, and up to the row before its window; the
+    difference is what the window holds. A row costs as many steps as codes have digits.
+    """
+    keyed = table.select(by, order, F.col(column).cast("double").alias("x"))
+    keyed = keyed.withColumn("rn", F.row_number().over(Window.partitionBy(by).orderBy(order)).cast("long"))
+    codes = keyed.where("x IS NOT NULL").select(by, "x").distinct()
+    codes = codes.withColumn("code", (F.row_number().over(Window.partitionBy(by).orderBy("x")) - 1).cast("long"))
+    largest = codes.agg(F.max("code")).first()[0]
+    digits = 1
+    while largest is not None and RADIX**digits <= largest:
+        digits += 1
+    frame = Window.partitionBy(by).orderBy(order).rowsBetween(1 - rows, 0)
+    coded = keyed.join(codes, [by, "x"], "left").withColumn("n", F.count("code").over(frame))
+    have = coded.where("code IS NOT NULL").select(by, "rn", "code")
+    # each row asks twice: up to itself (+1), and up to the row before its window (-1)
+    asks = have.select(by, F.col("rn").alias("own"), "code", F.explode(F.array(F.struct(F.col("rn").alias("upto"), F.lit(1).alias("sign")), F.struct((F.col("rn") - rows).alias("upto"), F.lit(-1).alias("sign")))).alias("q")).select(by, "own", "code", "q.*").where("upto > 0")
+    parts = []
+    for d in range(digits):
+        unit = RADIX**d
+        at, digit = F.expr(f"code DIV {unit * RADIX}"), F.expr(f"(code DIV {unit}) % {RADIX}")
+        values = have.select(by, at.alias("at"), F.col("rn").alias("upto"), digit.alias("digit"), F.lit(None).cast("long").alias("own"), F.lit(0).alias("sign"))
+        both = values.unionByName(asks.select(by, at.alias("at"), "upto", digit.alias("digit"), "own", "sign"))
+        upto = Window.partitionBy(by, "at").orderBy("upto").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        count = lambda c, more=None: F.count(F.when((F.col("sign") == 0) & (F.col("digit") == c), 1)).over(upto)  # noqa: B023, E731
+        below = sum((F.when(F.col("digit") > c, count(c)).otherwise(0) for c in range(RADIX - 1)), F.lit(0))
+        same = sum((F.when(F.col("digit") == c, count(c)).otherwise(0) for c in range(RADIX)), F.lit(0)) if d == 0 else F.lit(0)
+        seen = both.select(by, "own", "sign", below.alias("below"), same.alias("same")).where("sign <> 0")
+        parts.append(seen)
+    sums = functools.reduce(DataFrame.unionByName, parts).groupBy(by, F.col("own").alias("rn")).agg(F.sum(F.col("sign") * F.col("below")).alias("below"), F.sum(F.col("sign") * F.col("same")).alias("same"))
+    share = (F.col("below") + (F.col("same") + 1) / 2) / F.col("n")
+    found = coded.join(sums, [by, "rn"], "left").select(by, order, F.when((F.col("n") >= max(1, least)) & F.col("code").isNotNull(), share).alias("rank"))
+    return table.join(found, [by, order])
+
+
 def _demo(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The demo's predictions of all symbols."""
     return evaluation.with_demo(bars(spark.read.parquet(f"{sf_dir}/events.parquet"), 15))
@@ -197,5 +235,18 @@ def median_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 MEDIAN_SQL = f"""SELECT symbol, ts, CASE WHEN count(close) OVER w >= 200 THEN round(median(close) OVER w, 9) END AS median_close FROM ({bars_sql(1)}) b WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""
 
-QUERIES = {"global_rank_metrics": global_ranks, "expanding_median_close": median_volume}
-ORACLES = {"global_rank_metrics": GLOBAL_SQL, "expanding_median_close": MEDIAN_SQL}
+RANK_ROWS, RANK_LEAST = 480, 60
+
+
+def rank_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each bar's range lies among those of the symbol's last bars."""
+    frame = bars(spark.read.parquet(f"{sf_dir}/events.parquet"), 15).select("symbol", "ts", F.floor((F.col("high") - F.col("low")) * 8).alias("range"))
+    return rolling_rank(frame, "range", RANK_ROWS, RANK_LEAST).select("symbol", "ts", F.round("rank", 9).alias("rank"))
+
+
+RANK_SQL = f"""WITH b AS (SELECT symbol, ts, floor((high - low) * 8) AS x, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS rn FROM ({bars_sql(15)}) b)
+SELECT a.symbol, a.ts, CASE WHEN count(c.x) >= {RANK_LEAST} THEN round((count(*) FILTER (WHERE c.x < a.x) + (count(*) FILTER (WHERE c.x = a.x) + 1) / 2e0) / count(c.x), 9) END AS rank
+FROM b a JOIN b c ON c.symbol = a.symbol AND c.rn BETWEEN a.rn - {RANK_ROWS - 1} AND a.rn GROUP BY ALL"""
+
+QUERIES = {"rolling_rank_range": rank_volume, "global_rank_metrics": global_ranks, "expanding_median_close": median_volume}
+ORACLES = {"rolling_rank_range": RANK_SQL, "global_rank_metrics": GLOBAL_SQL, "expanding_median_close": MEDIAN_SQL}

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barwright.functions import clip, flag
-from barwright.operators import evaluation, features, structure
+from barwright.operators import evaluation, features, labels, structure
 from barwright.plans import Plan, duck_text, spark_text
 from barwright.sources import bars
 
@@ -63,6 +63,56 @@ def route(table: DataFrame, names: list[str] | None = None, base_wr: dict[str, s
     return route_plan(names, base_wr).apply(given)
 
 
+# Clearance of an open road in mean ranges, what a wall takes off, the least quality of a trade, and the size of a trade without a setup.
+OPEN_ROAD, WALL, ROAD_FLOOR, WAVE = 1.5, 0.6, 0.25, 0.5
+#: Gates and sizes of decisions beside the clearance columns (null where they were not built).
+GATES = Plan(
+    [
+        {"room": "CASE WHEN direction > 0 THEN pc_clearance_above_atr WHEN direction < 0 THEN pc_clearance_below_atr END", "wall": "CASE WHEN direction > 0 THEN pc_obstacle_above_strength WHEN direction < 0 THEN pc_obstacle_below_strength END"},
+        {"road": f"CASE WHEN room IS NULL AND wall IS NULL THEN 1.0 ELSE {clip(clip(f'coalesce(room, 0.0) / {OPEN_ROAD}', 0.0, 1.0) + f' * (1.0 - {WALL} * ' + clip('coalesce(wall, 0.0)', 0.0, 1.0) + ')', 0.0, 1.0)} END"},
+        {"taken": f"trade = 1 AND direction <> 0 AND road >= {ROAD_FLOOR}"},
+    ],
+    {
+        "gate": flag("taken"), "side": "CASE WHEN taken THEN direction ELSE 0 END", "path_quality": "round(road, 9)", "executed": "CASE WHEN taken THEN setup END",
+        "size": f"CASE WHEN taken THEN round(sizing_factor * road * CASE WHEN setup IS NULL THEN {WAVE} ELSE 1.0 END, 9) ELSE 0.0 END",
+        "reason": "CASE WHEN taken THEN NULL WHEN trade = 1 AND direction <> 0 THEN 'path_walled_in' ELSE coalesce(abstain_reason, 'unknown') END",
+    },
+    raw=True,
+)
+
+
+def gates(decisions: DataFrame, clearances: DataFrame | None = None) -> DataFrame:
+    """(symbol, ts, gate, side, path_quality, executed, size, reason) of ``route``'s decisions: trades whose road to the target is walled in stay out, others are sized by it; trades without a setup are half as large."""
+    columns = features.family_columns("pclear")[:4]
+    if clearances is None:
+        beside = decisions.select("*", *[F.lit(None).cast("double").alias(c) for c in columns])
+    else:
+        beside = decisions.join(clearances.select("symbol", "ts", *columns), ["symbol", "ts"], "left")
+    return GATES.apply(beside)
+
+
+# Trades before a lift counts, and the points that tell a good or bad setup.
+LIFT_ROWS, GOOD, BAD = 30, 3.0, -1.0
+
+
+def setup_lift(table: DataFrame, names: list[str], long: str = "long_tp", short: str = "short_tp") -> DataFrame:
+    """(setup, side, n, win_rate, lift, verdict): how often either side wins where a setup is active in its direction, and by how many points of percent more than anywhere.
+
+    One aggregation of ``table`` (each setup's _active and _direction, and both outcomes), whatever the number of setups.
+    """
+    if not names:
+        raise ValueError("no setups")
+    sides = {1: long, -1: short}
+    on = lambda n, s: (F.col(f"{n}_active") >= 0.5) & (F.col(f"{n}_direction") * s > 0.5)
+    sums = [F.avg(F.col(y).cast("double")).alias(f"all{s}") for s, y in sides.items()]
+    sums += [c for n in names for s, y in sides.items() for c in (F.count_if(on(n, s)).alias(f"n_{n}{s}"), F.avg(F.when(on(n, s), F.col(y).cast("double"))).alias(f"w_{n}{s}"))]
+    one = table.agg(*sums)
+    rows = [F.struct(F.lit(n).alias("setup"), F.lit(s).alias("side"), F.col(f"n_{n}{s}").alias("n"), F.col(f"w_{n}{s}").alias("win_rate"), ((F.col(f"w_{n}{s}") - F.col(f"all{s}")) * 100).alias("lift")) for n in names for s in sides]
+    out = one.select(F.inline(F.array(*rows)))
+    told = F.when(F.col("n") < LIFT_ROWS, "few").when(F.round("lift", 9) > GOOD, "good").when(F.round("lift", 9) < BAD, "bad").otherwise("none")
+    return out.withColumn("verdict", told)
+
+
 def isotonic(fit: DataFrame, table: DataFrame, prob: str, label: str) -> DataFrame:
     """``table`` with ``prob`` replaced by a rising step function of it, fitted on ``fit`` by pooling neighbours that fall."""
     from pyspark.ml.regression import IsotonicRegression
@@ -114,5 +164,35 @@ def routed_sql() -> str:
     return route_plan(DEMO).sql(inner)
 
 
-QUERIES = {"router_route": routed}
-ORACLES = {"router_route": routed_sql()}
+def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.structural_features(bars(spark.read.parquet(f"{sf_dir}/events.parquet"), 15), features.Spec(frozenset([*DEMO, "pclear"])), shift=False)
+
+
+def gated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gates of the demo's decisions."""
+    table = _features(spark, sf_dir)
+    out = gates(routed(spark, sf_dir), table.select("symbol", "ts", *[F.round(c, 6).alias(c) for c in features.family_columns("pclear")]))
+    return out.select("symbol", "ts", "gate", "side", *[F.round(c, 6).alias(c) for c in ("path_quality", "size")], "executed", "reason")
+
+
+def gated_sql() -> str:
+    return "SELECT symbol, ts, gate, side, round(path_quality, 6) AS path_quality, round(size, 6) AS size, executed, reason FROM (" + GATES.sql(f"SELECT r.*, p.* EXCLUDE (symbol, ts) FROM ({routed_sql()}) r LEFT JOIN ({features.PLANS['pclear'].sql()}) p USING (symbol, ts)") + ") g"
+
+
+def lifts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The demo's setups against the outcomes of the same bars."""
+    truths = labels.barrier_labels(bars(spark.read.parquet(f"{sf_dir}/events.parquet"), 15), 60, None, 15).select("symbol", "ts", "long_tp", "short_tp")
+    out = setup_lift(_features(spark, sf_dir).join(truths, ["symbol", "ts"]), DEMO)
+    return out.select("setup", "side", "n", F.round("win_rate", 9).alias("win_rate"), F.round("lift", 6).alias("lift"), "verdict")
+
+
+def lifts_sql() -> str:
+    joins = " ".join(f"JOIN ({features.PLANS[n].sql()}) f_{n} USING (symbol, ts)" for n in DEMO)
+    one = lambda n, s, y: f"SELECT '{n}' AS setup, {s} AS side, count(*) FILTER (WHERE {n}_active >= 0.5 AND {n}_direction * {s} > 0.5) AS n, avg({y}) FILTER (WHERE {n}_active >= 0.5 AND {n}_direction * {s} > 0.5) AS w, avg({y}) AS a FROM t"
+    rows = " UNION ALL ".join(one(n, s, y) for n in DEMO for s, y in ((1, "long_tp"), (-1, "short_tp")))
+    return f"""WITH t AS (SELECT * FROM ({labels.labels_sql(60, None, 15)}) l {joins}), r AS ({rows})
+SELECT setup, CAST(side AS INT) AS side, n, round(w, 9) AS win_rate, round((w - a) * 100, 6) AS lift, CASE WHEN n < {LIFT_ROWS} THEN 'few' WHEN round((w - a) * 100, 9) > {GOOD} THEN 'good' WHEN round((w - a) * 100, 9) < {BAD} THEN 'bad' ELSE 'none' END AS verdict FROM r"""
+
+
+QUERIES = {"router_route": routed, "router_gates": gated, "setup_lift": lifts}
+ORACLES = {"router_route": routed_sql(), "router_gates": gated_sql(), "setup_lift": lifts_sql()}

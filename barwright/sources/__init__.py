@@ -71,8 +71,23 @@ def load_bars(spark: SparkSession, path: str, symbols: list[str] | None = None,
     return keep_first(frame, ["symbol", "ts"], ["ts"])
 
 
-def align(primary: DataFrame, others: dict[str, DataFrame], limit: int = 5) -> DataFrame:
-    """Other symbols' bars on the primary's grid: prices carried on for at most ``limit`` rows, missing volume 0."""
+def overlap(frames: list[DataFrame]) -> list[DataFrame]:
+    """The frames cut to the times that all of them span; frames without rows leave none."""
+    ends = [f.agg(F.min("ts"), F.max("ts")).first() for f in frames]  # one row a frame
+    if any(lo is None for lo, _ in ends):
+        return [f.limit(0) for f in frames]
+    lo, hi = max(e[0] for e in ends), min(e[1] for e in ends)
+    return [f.where(F.col("ts").between(F.lit(lo), F.lit(hi))) for f in frames]
+
+
+def align(primary: DataFrame, others: dict[str, DataFrame], limit: int = 5, require_overlap: bool = False) -> DataFrame:
+    """Other symbols' bars on the primary's grid: prices carried on for at most ``limit`` rows, missing volume 0.
+
+    With ``require_overlap`` only times that all symbols span are kept, before anything is carried on.
+    """
+    if require_overlap:
+        primary, *cut = overlap([primary, *others.values()])
+        others = dict(zip(others, cut))
     out = primary
     for name, other in others.items():
         out = out.join(other.select("ts", *[F.col(c).alias(f"{name}_{c}") for c in OHLCV]), "ts", "left")
@@ -100,6 +115,47 @@ def join_cache(frame: DataFrame, cache: DataFrame | None, columns: list[str], fi
     return out if fill is None else out.na.fill(fill, columns)
 
 
+def interval_join(points: DataFrame, intervals: DataFrame, by: list[str], at: str = "ts", lo: str = "lo", hi: str = "hi", width: int = 86_400) -> DataFrame:
+    """Each row of ``points`` with every interval [lo, hi) of its ``by`` keys that holds its time, as an equi-join.
+
+    Time is cut into bins of ``width`` seconds; an interval is repeated for each bin that it
+    meets, a point has one bin, and the bounds are compared within a bin. Take a width near
+    the usual length of an interval, so that each is repeated a few times only. Intervals
+    that are null or empty hold nothing. Columns of both sides must differ but for ``by``.
+    """
+    bin_ = lambda c: F.floor(F.unix_micros(c.cast("timestamp")) / (width * 1_000_000))
+    some = intervals.where(F.col(lo) < F.col(hi))
+    last = bin_(F.col(hi)) - (F.pmod(F.unix_micros(F.col(hi).cast("timestamp")), F.lit(width * 1_000_000)) == 0).cast("int")
+    some = some.withColumn("__bin", F.explode(F.sequence(bin_(F.col(lo)), last)))
+    out = points.withColumn("__bin", bin_(F.col(at))).join(some, [*by, "__bin"])
+    return out.where((F.col(at) >= F.col(lo)) & (F.col(at) < F.col(hi))).drop("__bin")
+
+
+def back_adjust(frame: DataFrame, rolls: DataFrame, width: int = 90 * 86_400) -> DataFrame:
+    """``frame`` with prices on the level of the last contract: from bars up to a roll (instrument, t_roll, gap_points) its gap, the old price less the new one, is taken off.
+
+    A bar loses the gaps of all rolls at or after it. The sums hold between two rolls, so a bar meets one interval.
+    Symbols without rolls stay as they are; rolls of the same time count together.
+    """
+    each = rolls.groupBy(F.col("instrument").alias("symbol"), F.col("t_roll").alias("end")).agg(F.sum("gap_points").alias("gap"))
+    along = Window.partitionBy("symbol").orderBy("end")  # the rolls of one instrument: a few a year
+    step = each.select("symbol", F.lag("end").over(along).alias("start"), "end", F.sum("gap").over(along.rowsBetween(0, Window.unboundedFollowing)).alias("__gap"))
+    first = frame.groupBy("symbol").agg(F.min("ts").alias("__first"))
+    tick = F.expr("INTERVAL 0.000001 SECOND")  # a bar at the time of a roll still belongs to the old contract
+    spans = step.join(first, "symbol").select("symbol", F.coalesce(F.col("start") + tick, F.least("__first", "end")).alias("__lo"), (F.col("end") + tick).alias("__hi"), "__gap")
+    found = interval_join(frame.select("symbol", "ts"), spans, ["symbol"], "ts", "__lo", "__hi", width).select("symbol", "ts", "__gap")
+    out = frame.join(found, ["symbol", "ts"], "left")
+    return out.select(*[(F.col(c) - F.coalesce("__gap", F.lit(0.0))).alias(c) if c in OHLCV[:4] else F.col(c) for c in frame.columns])
+
+
+def subsample(frame: DataFrame, rows: int, keys: list[str], seed: int = 42) -> DataFrame:
+    """About ``rows`` of the rows, the same for any partitioning: those whose keys hash lowest. Fewer rows are all kept."""
+    n = frame.count()
+    if n <= rows:
+        return frame
+    return frame.where(F.xxhash64(F.lit(seed), *keys) < F.lit(int(-(2**63) + 2**64 * rows / n)))
+
+
 def read_roll_log(spark: SparkSession, path: str) -> DataFrame:
     schema = "instrument string, t_roll string, from_contract string, to_contract string, gap_points double, gap_pct double, n_prior_bars_adjusted long"
     return spark.read.schema(schema).option("header", True).option("comment", "#").csv(path)
