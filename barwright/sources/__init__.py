@@ -56,9 +56,14 @@ def keep_first(frame: DataFrame, keys: list[str], order: list[str]) -> DataFrame
     return frame.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
-def load_bars(spark: SparkSession, path: str, symbols: list[str] | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
-    """Stored bars of the symbols in the closed range; filters and columns reach the scan. Unknown symbols are an error."""
-    frame = spark.read.parquet(path).select("symbol", "ts", *OHLCV)
+def load_bars(spark: SparkSession, path: str, symbols: list[str] | None = None, start: str | None = None, end: str | None = None, first_by: list[str] | None = None) -> DataFrame:
+    """Stored bars of the symbols in the closed range; filters and columns reach the scan. Unknown symbols are an error.
+
+    Of bars of one time the first by the stored columns ``first_by`` counts (by default by their own values, so that the choice never depends on files).
+    """
+    first_by = first_by or OHLCV
+    frame = spark.read.parquet(path)
+    frame = frame.select("symbol", "ts", *OHLCV, *[c for c in first_by if c not in OHLCV])
     if symbols is not None:
         have = {r[0] for r in frame.where(F.col("symbol").isin(symbols)).select("symbol").distinct().collect()}  # at most len(symbols) rows
         if missing := set(symbols) - have:
@@ -68,7 +73,7 @@ def load_bars(spark: SparkSession, path: str, symbols: list[str] | None = None,
         frame = frame.where(F.col("ts") >= F.lit(start).cast("timestamp_ntz"))
     if end is not None:
         frame = frame.where(F.col("ts") <= F.lit(end).cast("timestamp_ntz"))
-    return keep_first(frame, ["symbol", "ts"], ["ts"])
+    return keep_first(frame, ["symbol", "ts"], first_by).select("symbol", "ts", *OHLCV)
 
 
 def overlap(frames: list[DataFrame]) -> list[DataFrame]:
