@@ -79,10 +79,89 @@ def mutual_information(frame: DataFrame, columns: list[str], label: str) -> Data
     return out.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("mi"), "feature")))  # one row a column
 
 
+# Shares of a column's values.
+SHARES = {"p05": 0.05, "median": 0.5, "p95": 0.95}
+
+
+def column_quantiles(frame: DataFrame, columns: list[str]) -> DataFrame:
+    """(feature, n, n_distinct, p05, median, p95) of known values, linear between neighbours.
+
+    Values fold into counts first, so a task orders the distinct values of one column.
+    """
+    each = _long(frame, columns).where("x IS NOT NULL").groupBy("feature", "x").agg(F.count(F.lit(1)).alias("c"))
+    along = Window.partitionBy("feature").orderBy("x")
+    each = each.select("feature", "x", "c", F.sum("c").over(along).alias("upto"), F.sum("c").over(Window.partitionBy("feature")).alias("n"))
+    pos = lambda q: (F.col("n") - 1) * q
+    at = lambda k: F.max(F.when((F.col("upto") > k) & (F.col("upto") - F.col("c") <= k), F.col("x")))
+    ends = [e.alias(f"{n}_{s}") for n, q in SHARES.items() for s, e in (("lo", at(F.floor(pos(q)))), ("hi", at(F.ceil(pos(q)))))]
+    out = each.groupBy("feature").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("n_distinct"), *ends)
+    return out.select("feature", "n", "n_distinct", *[(F.col(f"{n}_lo") + (F.col(f"{n}_hi") - F.col(f"{n}_lo")) * (pos(q) - F.floor(pos(q)))).alias(n) for n, q in SHARES.items()])
+
+
+def group_scores(scores: DataFrame, groups: dict[str, str]) -> DataFrame:
+    """(group, n_cols, mean_mi, median_mi, max_mi, sum_mi, share, top_feature) of ``mutual_information`` by a column's time frame or family; other columns are a group of their own."""
+    known = F.coalesce(*[F.when(F.col("feature") == c, F.lit(g)) for c, g in groups.items()], F.lit("other"))
+    all_ = F.sum("sum_mi").over(Window.partitionBy())  # one row a group
+    out = scores.withColumn("group", known).groupBy("group").agg(
+        F.count(F.lit(1)).alias("n_cols"), F.avg("mi").alias("mean_mi"), F.median("mi").alias("median_mi"), F.max("mi").alias("max_mi"), F.sum("mi").alias("sum_mi"), F.min_by("feature", "rank").alias("top_feature")
+    )
+    return out.withColumn("share", F.try_divide("sum_mi", all_))
+
+
+def timeframe_groups(columns: list[str]) -> dict[str, str]:
+    """The time frame of each column of ``features.price_features``."""
+    return {c: c.split("_")[0] for c in columns if c.startswith("tf") and c[2 : c.find("_")].isdigit()}
+
+
+def probes(table: DataFrame, ordered: list[str], labels: list[str], drop: int = 50, tops: tuple[int, ...] = (50, 30, 20), trials: int = 5, holdout: float = 0.2, seed: int = 0) -> DataFrame:
+    """(probe, label, n_cols, auc): how well linear models on parts of the columns, best first, tell the labels of the last ``holdout`` of the rows.
+
+    Parts: all columns, all but the worst ``drop``, the best few, and ``trials`` times nine tenths drawn at random. Columns are
+    scaled by the earlier rows. The fits run over partitions; the driver sees coefficients and areas.
+    """
+    import random
+
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import StandardScaler, VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    from barwright.operators import order, training
+
+    rng = random.Random(seed)
+    parts = {"all": ordered} | ({f"without_last_{drop}": ordered[:-drop]} if len(ordered) > drop else {}) | {f"best_{k}": ordered[:k] for k in tops if k < len(ordered)}
+    parts |= {f"dropout_{t}": sorted(rng.sample(ordered, max(1, int(len(ordered) * 0.9))), key=ordered.index) for t in range(trials)}
+    known = table.select("ts", *ordered, *labels).na.drop("any")
+    cut = training.tail_start(known, holdout)
+    out = []
+    if cut is not None:
+        scaled = VectorAssembler(inputCols=ordered, outputCol="v").transform(known)
+        early = scaled.where(F.col("ts") < F.lit(cut))
+        if early.limit(1).count():
+            scaled = StandardScaler(inputCol="v", outputCol="x", withMean=True).fit(early).transform(scaled).withColumn("x", vector_to_array("x")).select("ts", "x", *labels).persist()
+            try:
+                for name, columns in parts.items():
+                    at = VectorAssembler(inputCols=[f"c{ordered.index(c)}" for c in columns], outputCol="given")
+                    own = at.transform(scaled.select("ts", *labels, *[F.col("x")[ordered.index(c)].alias(f"c{ordered.index(c)}") for c in columns]))
+                    for y in labels:
+                        model = LogisticRegression(featuresCol="given", labelCol=y, regParam=1e-3, standardization=False, maxIter=100).fit(own.where(F.col("ts") < F.lit(cut)))
+                        late = model.transform(own.where(F.col("ts") >= F.lit(cut))).select(vector_to_array("probability")[1].alias("p"), y)
+                        out.append((name, y, len(columns), order.rank_metrics(late, "p", y).first()["auc"]))
+            finally:
+                scaled.unpersist()
+    return table.sparkSession.createDataFrame(out, "probe string, label string, n_cols int, auc double")
+
+
 def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return FEATURES.run(spark, sf_dir)
 
 
+def _rounded(out: DataFrame, digits: int = 9) -> DataFrame:
+    return out.select(*[(F.round(c, digits) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
+
+
+GROUPS = {"logret": "returns", "vnret": "returns", "body": "shape", "uwick": "shape", "lwick": "shape", "rangepct": "range", "rangez": "range", "rsi14": "rsi", "rsi5": "rsi"}
+
+
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _features(spark, sf_dir).join(LABELS["triple_barrier_vol"](spark, sf_dir).select("symbol", "ts", "long_tp"), ["symbol", "ts"])
 
@@ -90,6 +169,9 @@ def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "audit_columns": lambda spark, sf_dir: column_audit(_features(spark, sf_dir), COLUMNS),
     "audit_redundancy": lambda spark, sf_dir: redundancy(_features(spark, sf_dir), COLUMNS),
+    "audit_quantiles": lambda spark, sf_dir: _rounded(column_quantiles(_features(spark, sf_dir), COLUMNS)),
+    "audit_groups": lambda spark, sf_dir: _rounded(group_scores(mutual_information(_labelled(spark, sf_dir), COLUMNS, "long_tp"), GROUPS)),
+    "audit_probes": lambda spark, sf_dir: probes(_labelled(spark, sf_dir), COLUMNS, ["long_tp"], drop=5, tops=(3,), trials=2),
     "audit_mutual_information": lambda spark, sf_dir: mutual_information(_labelled(spark, sf_dir), COLUMNS, "long_tp"),
 }
 
@@ -111,3 +193,10 @@ w AS (SELECT feature, c, sum(c) OVER (PARTITION BY feature) AS n, sum(c) OVER (P
 g AS (SELECT feature, round(sum(c / n * ln(c * n / (nb * ny))), 6) AS mi FROM w GROUP BY feature)
 SELECT *, row_number() OVER (ORDER BY mi DESC, feature) AS rank FROM g""",
 }
+_group = "CASE feature " + " ".join(f"WHEN '{c}' THEN '{g}'" for c, g in GROUPS.items()) + " ELSE 'other' END"
+ORACLES |= {
+    "audit_quantiles": f"""WITH f AS ({FEATURES.sql()}), l AS ({_each("f")})
+SELECT feature, count(x) AS n, count(DISTINCT x) AS n_distinct, {", ".join(f"round(quantile_cont(x, {q}), 9) + 0.0 AS {n}" for n, q in SHARES.items())} FROM l WHERE x IS NOT NULL AND NOT isnan(x) GROUP BY feature""",
+    "audit_groups": f"""WITH m AS ({ORACLES["audit_mutual_information"]}), g AS (SELECT {_group} AS "group", count(*) AS n_cols, avg(mi) AS mean_mi, median(mi) AS median_mi, max(mi) AS max_mi, sum(mi) AS sum_mi, arg_min(feature, rank) AS top_feature FROM m GROUP BY 1)
+SELECT "group", n_cols, round(mean_mi, 9) AS mean_mi, round(median_mi, 9) AS median_mi, round(max_mi, 9) AS max_mi, round(sum_mi, 9) AS sum_mi, top_feature, round(sum_mi / sum(sum_mi) OVER (), 9) AS share FROM g""",
+}

@@ -111,7 +111,7 @@ def tracker(trades: DataFrame, priors: dict[str, float], last: int = 30, pooled:
     )
 
 
-_TRADES = Plan([{"rn": "row_number() OVER (PARTITION BY symbol ORDER BY ts)"}], {"setup": "CASE rn % 9 WHEN 0 THEN 'sfs' WHEN 1 THEN 'orb' WHEN 2 THEN 'new' ELSE 'spb' END", "regime": "CASE WHEN rn % 97 = 3 THEN 7 ELSE rn % 3 END", "r_multiple": "(close - open) / 100.0"}, keys=("symbol", "ts"), where="symbol = 'click' AND rn <= 700", raw=True)
+_TRADES = Plan([{"rn": "row_number() OVER (PARTITION BY symbol ORDER BY ts)"}], {"setup": "CASE (rn + length(symbol)) % 9 WHEN 0 THEN 'sfs' WHEN 1 THEN 'orb' WHEN 2 THEN 'new' ELSE 'spb' END", "regime": "CASE WHEN rn % 1499 = 3 THEN 7 ELSE rn % 3 END", "r_multiple": "(close - open) / 100.0"}, keys=("symbol", "ts"), raw=True)
 _PRIORS = {"sfs": 0.62, "orb": 0.57, "spb": 0.57}
 
 
@@ -119,9 +119,10 @@ def tracked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tracker(_TRADES.run(spark, sf_dir), _PRIORS)
 
 
-def tracked_sql() -> str:
-    prior = "CASE setup " + " ".join(f"WHEN '{k}' THEN {v}e0" for k, v in _PRIORS.items()) + " ELSE 5e-1 END"
-    return f"""WITH t AS (SELECT * FROM ({_TRADES.sql()}) x QUALIFY row_number() OVER (PARTITION BY setup, regime ORDER BY ts DESC, r_multiple DESC) <= {KEPT}),
+def tracker_sql(trades: str, priors: dict[str, float]) -> str:
+    """``tracker`` over the query ``trades``."""
+    prior = "CASE setup " + " ".join(f"WHEN '{k}' THEN {v}e0" for k, v in priors.items()) + " ELSE 5e-1 END"
+    return f"""WITH t AS (SELECT * FROM ({trades}) x QUALIFY row_number() OVER (PARTITION BY setup, regime ORDER BY ts DESC, r_multiple DESC) <= {KEPT}),
 k AS (SELECT *, row_number() OVER (PARTITION BY setup, regime ORDER BY ts DESC, r_multiple DESC) AS k, row_number() OVER (PARTITION BY setup ORDER BY ts DESC, r_multiple DESC) AS p FROM t),
 c AS (SELECT setup, regime, count(*) AS n, avg(CASE WHEN k <= 30 THEN CAST(r_multiple > 0 AS DOUBLE) END) AS wr, avg(CASE WHEN k <= 30 THEN r_multiple END) AS r FROM k GROUP BY ALL),
 q AS (SELECT setup, count(*) AS total, avg(CASE WHEN p <= 60 THEN CAST(r_multiple > 0 AS DOUBLE) END) AS pool FROM k GROUP BY setup),
@@ -129,6 +130,10 @@ j AS (SELECT c.*, total, pool, {prior} AS prior, CASE WHEN n >= {COLD} THEN wr E
 SELECT setup, regime, n, round(recent, 6) AS recent_wr, round(CASE WHEN n >= {COLD} THEN r ELSE 0 END, 6) AS recent_r, round(least(greatest(prior - recent, 0) / greatest(prior, 0.01) * {DRIFT_SCALE}, 1), 6) AS drift, round(CASE WHEN total >= {COLD} THEN pool ELSE prior END, 6) AS pooled_wr FROM j"""
 
 
+def tracked_sql() -> str:
+    return tracker_sql(_TRADES.sql(), _PRIORS)
+
+
 # A setup's target and stop in mean ranges, and the bars it is held.
 EXECUTION = {"sfs": (1.5, 0.6, 45), "sfa": (1.3, 0.8, 60), "sld": (1.2, 0.5, 40), "orb": (1.5, 1.0, 60), "svwap": (1.0, 0.5, 40), "spb": (1.2, 0.6, 45), "scomp": (1.5, 0.7, 30), "seod": (0.4, 0.5, 20)}
 

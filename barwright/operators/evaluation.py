@@ -191,5 +191,25 @@ def _calendar(period: str):
     return lambda spark, sf_dir: calendar_sums(DAILY.run(spark, sf_dir).where("day <> DATE '2024-01-10'"), period)
 
 
-QUERIES = {f"baseline_{n}": _baseline_query(n) for n in ON_TABLES} | {"daily_calendar": _calendar("day"), "monthly_calendar": _calendar("month")}
-ORACLES = {f"baseline_{n}": _bare(PLANS[n]).sql(BASELINE_SQL) for n in ON_TABLES} | {"daily_calendar": _calendar_sql("day"), "monthly_calendar": _calendar_sql("month")}
+def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The baseline's diagnostics by symbol and what they say: the sides' correlation, the rank correlation with the hour's return, the area of the long side."""
+    from barwright.operators import dataset
+
+    table = baseline(spark, sf_dir)
+    corr = table.groupBy("symbol").agg(F.round(F.corr("pl", "ps"), 9).alias("side_corr"))
+    ic = evaluate("spearman_ic", table).select("symbol", F.col("ic").alias("ic_60"))
+    auc = evaluate("auc_rank", table).select("symbol", F.col("auc").alias("clear_auc"))
+    none = F.lit(None).cast("double")
+    out = corr.join(ic, "symbol").join(auc, "symbol").withColumns({"ic_15": none, "shape_accuracy": none})
+    return dataset.verdict(out).drop("ic_15", "shape_accuracy")
+
+
+def verdicts_sql() -> str:
+    tell = lambda k: f"CAST(coalesce(side_corr < {(-0.3, -0.5)[k]}, false) AS INT) + CAST(coalesce(ic_60 > {(0.03, 0.06)[k]}, false) AS INT) + CAST(coalesce(clear_auc > {(0.53, 0.56)[k]}, false) AS INT)"
+    parts = {"c": f"SELECT symbol, round(corr(pl, ps), 9) AS side_corr FROM ({BASELINE_SQL}) t GROUP BY symbol", "i": _bare(PLANS["spearman_ic"]).sql(BASELINE_SQL), "a": _bare(PLANS["auc_rank"]).sql(BASELINE_SQL)}
+    return f"""WITH j AS (SELECT symbol, side_corr, ic AS ic_60, auc AS clear_auc FROM ({parts["c"]}) c JOIN ({parts["i"]}) i USING (symbol) JOIN ({parts["a"]}) a USING (symbol)), p AS (SELECT *, {tell(0)} AS weak, {tell(1)} AS strong FROM j)
+SELECT symbol, side_corr, ic_60, clear_auc, CASE WHEN coalesce(side_corr, ic_60, clear_auc) IS NULL THEN 'INCONCLUSIVE' WHEN side_corr > 0.5 THEN 'PACING' WHEN strong >= 3 THEN 'STRONG-PREDICTIVE' WHEN weak >= 3 THEN 'PREDICTIVE' WHEN weak >= 1 THEN 'WEAK' ELSE 'PACING-LIKE' END AS verdict FROM p"""
+
+
+QUERIES = {f"baseline_{n}": _baseline_query(n) for n in ON_TABLES} | {"daily_calendar": _calendar("day"), "monthly_calendar": _calendar("month"), "prediction_verdict": verdicts}
+ORACLES = {f"baseline_{n}": _bare(PLANS[n]).sql(BASELINE_SQL) for n in ON_TABLES} | {"daily_calendar": _calendar_sql("day"), "monthly_calendar": _calendar_sql("month"), "prediction_verdict": verdicts_sql()}

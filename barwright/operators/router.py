@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from barwright.functions import clip, flag
 from barwright.operators import evaluation, features, labels, structure
 from barwright.plans import Plan, duck_text, spark_text
-from barwright.sources import bars
+from barwright.sources import bars, bars_sql
 
 # Prior win rates by setup; least strength and gap; bonus, penalty and veto of a second opinion.
 PRIOR = {"sfs": 0.62, "sfa": 0.62, "sld": 0.60, "orb": 0.57, "svwap": 0.57, "spb": 0.57, "seod": 0.56, "scomp": 0.55}
@@ -194,5 +194,21 @@ def lifts_sql() -> str:
 SELECT setup, CAST(side AS INT) AS side, n, round(w, 9) AS win_rate, round((w - a) * 100, 6) AS lift, CASE WHEN n < {LIFT_ROWS} THEN 'few' WHEN round((w - a) * 100, 9) > {GOOD} THEN 'good' WHEN round((w - a) * 100, 9) < {BAD} THEN 'bad' ELSE 'none' END AS verdict FROM r"""
 
 
-QUERIES = {"router_route": routed, "router_gates": gated, "setup_lift": lifts}
-ORACLES = {"router_route": routed_sql(), "router_gates": gated_sql(), "setup_lift": lifts_sql()}
+def calibrated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(prob, fitted): the demo's probabilities of two digits and their isotonic values."""
+    table = evaluation.with_demo(bars(spark.read.parquet(f"{sf_dir}/events.parquet"), 15)).select((F.floor(F.col("pl") * 100) / 100).alias("prob"), "y")
+    return isotonic(table.withColumnRenamed("prob", "fitted"), table.select("prob", F.col("prob").alias("fitted")).distinct(), "fitted", "y").select("prob", F.round("fitted", 9).alias("fitted"))
+
+
+def calibrated_sql() -> str:
+    """Pooled neighbours in closed form: the largest, over starts up to a value, of the least mean over ends from it on."""
+    y = f"SELECT row_number() OVER (PARTITION BY symbol ORDER BY ts) AS rn, CASE WHEN close > open THEN 1 ELSE 0 END AS y FROM ({bars_sql(15)}) b"
+    return f"""WITH v AS (SELECT floor(((rn * 7919) % 1000) / 1000e0 * 100) / 100 AS prob, count(*) AS n, sum(y) AS s FROM ({y}) r GROUP BY 1),
+c AS (SELECT prob, n, s, sum(n) OVER w AS cn, sum(s) OVER w AS cs FROM v WINDOW w AS (ORDER BY prob)),
+m AS (SELECT a.prob AS lo, b.prob AS hi, (b.cs - a.cs + a.s) * 1e0 / (b.cn - a.cn + a.n) AS mean FROM c a JOIN c b ON b.prob >= a.prob),
+l AS (SELECT lo, hi AS z, min(mean) OVER (PARTITION BY lo ORDER BY hi DESC) AS low FROM m)
+SELECT z AS prob, round(least(greatest(max(low), 0.0001), 0.9999), 9) AS fitted FROM l GROUP BY z"""
+
+
+QUERIES = {"calibration_isotonic": calibrated, "router_route": routed, "router_gates": gated, "setup_lift": lifts}
+ORACLES = {"calibration_isotonic": calibrated_sql(), "router_route": routed_sql(), "router_gates": gated_sql(), "setup_lift": lifts_sql()}

@@ -1,7 +1,11 @@
 """Audits on small frames whose answers are plain, and the sweeps' grids."""
 
+import datetime as dt
 import math
 
+import numpy as np
+import pytest
+
 from barwright.operators import audit
 from barwright.operators.evaluation import RR
 
@@ -51,3 +55,36 @@ def test_sweeps_cover_their_grids(spark, sf_dir):
     assert len(grid) == 11 * 5 and grid.n_trades.is_monotonic_increasing is False
     rr = catalogue.QUERIES["rr_sweep"](spark, sf_dir).where("symbol = 'click'").toPandas()
     assert len(rr) == 4 * len(RR) and (rr.wins + rr.losses <= rr.n_trades).all()
+
+
+def test_quantiles_of_columns(spark):
+    rng = np.random.default_rng(5)
+    rows = [(float(a), None if k % 7 == 0 else float(b), float("nan")) for k, (a, b) in enumerate(zip(rng.integers(0, 6, 500), rng.normal(size=500)))]
+    got = {r["feature"]: r for r in audit.column_quantiles(spark.createDataFrame(rows, "a double, b double, c double"), ["a", "b", "c"]).collect()}
+    assert set(got) == {"a", "b"}
+    for j, n in enumerate("ab"):
+        x = np.array([r[j] for r in rows if r[j] is not None])
+        assert (got[n]["n"], got[n]["n_distinct"]) == (len(x), len(set(x)))
+        assert [got[n][q] for q in audit.SHARES] == pytest.approx(list(np.quantile(x, list(audit.SHARES.values()))))
+
+
+def test_scores_by_group(spark):
+    scores = spark.createDataFrame([("tf5_a", 0.4, 1), ("tf5_b", 0.2, 2), ("tf15_a", 0.1, 3), ("vol", 0.1, 4)], "feature string, mi double, rank int")
+    names = ["tf5_a", "tf5_b", "tf15_a", "vol", "tfx_a"]
+    assert audit.timeframe_groups(names) == {"tf5_a": "tf5", "tf5_b": "tf5", "tf15_a": "tf15"}
+    got = {r["group"]: r for r in audit.group_scores(scores, audit.timeframe_groups(names)).collect()}
+    assert got["tf5"]["n_cols"] == 2 and got["tf5"]["mean_mi"] == pytest.approx(0.3) and got["tf5"]["top_feature"] == "tf5_a" and got["tf5"]["share"] == pytest.approx(0.75)
+    assert got["other"]["sum_mi"] == pytest.approx(0.1)
+
+
+def test_probes_tell_useful_columns(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(1500, 4))
+    y = (x[:, 0] + 0.5 * x[:, 1] + 0.5 * rng.normal(size=1500) > 0).astype(int)
+    rows = [(dt.datetime(2024, 1, 1) + dt.timedelta(minutes=k), *map(float, v), int(t), int(1 - t)) for k, (v, t) in enumerate(zip(x, y))]
+    table = spark.createDataFrame(rows, "ts timestamp_ntz, a double, b double, c double, d double, y int, z int")
+    got = {(r["probe"], r["label"]): r for r in audit.probes(table, ["a", "b", "c", "d"], ["y", "z"], drop=2, tops=(1,), trials=1).collect()}
+    assert {p for p, _ in got} == {"all", "without_last_2", "best_1", "dropout_0"}
+    assert got["all", "y"]["auc"] > 0.9 and got["without_last_2", "y"]["auc"] > 0.9 and got["all", "z"]["auc"] == pytest.approx(got["all", "y"]["auc"], abs=0.01)
+    assert 0.8 < got["best_1", "y"]["auc"] < got["without_last_2", "y"]["auc"] and got["dropout_0", "y"]["n_cols"] == 3
+    assert audit.probes(table.limit(0), ["a"], ["y"]).count() == 0
