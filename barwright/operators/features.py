@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barwright.functions import HAS_PREV, LOG_RETURN, atr, lag, roll, rsi
-from barwright.operators import families, kernels, scan, setups, structure
+from barwright.operators import families, kernels, paths, scan, setups, structure
 from barwright.plans import Plan, extend
 from barwright.sources import OHLCV, bars, bars_sql, resample
 
@@ -91,7 +91,7 @@ PARTS = {"flow": ["flow", "leadlag"], "vol": ["vol", "volrank"]}
 AGGREGATORS = {"scnf": structure.confluence, "shtf": structure.htf_context}
 #: Families that only read a cache by time, with their columns and what fills gaps; without a cache the second is an error.
 CACHED: dict[str, tuple[list[str], float | None]] = {
-    "kronos": ([f"kronos_{k}_{h}" for h in ("5m", "30m", "60m") for k in ("mean", "spread", "up", "path")], None),
+    "kronos": (paths.COLUMNS, None),
     "simmtm": ([f"simmtm_{i:03d}" for i in range(96)], 0.0),
 }
 REGISTRY = sorted((set(PLANS) | set(KERNELS) | set(AGGREGATORS) | set(CACHED)) - {"leadlag", "volrank"})
