@@ -343,6 +343,46 @@ def out_of_fold(matrix: DataFrame, truths: DataFrame, folds: DataFrame, heads: l
     return functools.reduce(DataFrame.unionByName, out)
 
 
+def diagnostics(predictions: DataFrame, truths: DataFrame) -> DataFrame:
+    """(metric, value) of out-of-fold predictions over all rows: what tells forecasts from mere pacing.
+
+    The sides' correlation, root mean square errors, rank correlations of returns, accuracy and recall of path shapes, the
+    area of clearance; a metric whose outputs are not there, or that too few rows or one class leave open, is null or absent.
+    """
+    have, taken = set(predictions.columns), [c for _, c in HEADS.values()]
+    both = predictions.join(truths.select("symbol", "ts", *[F.col(c).cast("double").alias(f"y_{c}") for c in taken if c in truths.columns]), ["symbol", "ts"]).persist()
+    try:
+        parts = {}
+        if {"long_tp_prob", "short_tp_prob"} <= have:
+            parts["side_corr"] = F.corr("long_tp_prob", "short_tp_prob")
+        for h, (kind, y) in HEADS.items():
+            if kind == "number" and h in have:
+                parts[f"rmse_{h}"] = F.sqrt(F.avg((F.col(h) - F.col(f"y_{y}")) ** 2))
+        if "path_shape_p0" in have:
+            best = F.array_position(F.array(*[f"path_shape_p{c}" for c in range(SHAPES)]), F.greatest(*[f"path_shape_p{c}" for c in range(SHAPES)])) - 1
+            right = (best == F.col("y_path_shape_class")).cast("double")
+            parts["shape_accuracy"] = F.avg(right)
+            parts |= {f"shape_recall_{c}": F.avg(F.when(F.col("y_path_shape_class") == c, right)) for c in range(SHAPES)}
+        values = dict(both.agg(*[v.alias(k) for k, v in parts.items()]).first().asDict()) if parts else {}
+        for h, name in (("return_h15_pred", "ic_15"), ("return_h60_pred", "ic_60")):
+            if h in have:
+                values[name] = order.spearman(both, h, f"y_{HEADS[h][1]}").first()["ic"]
+        for h, (kind, y) in HEADS.items():
+            if kind == "binary" and h in have:
+                values["clear_auc" if h == "clears_level_prob" else f"auc_{y}"] = order.rank_metrics(both, h, f"y_{y}").first()["auc"]
+    finally:
+        both.unpersist()
+    finite = [(k, float(v) if v is not None and np.isfinite(v) else None) for k, v in sorted(values.items())]
+    return predictions.sparkSession.createDataFrame(finite, "metric string, value double")
+
+
+def told(metrics: DataFrame) -> str:
+    """The verdict of ``diagnostics``."""
+    found = {r["metric"]: r["value"] for r in metrics.collect()}  # a few rows
+    row = metrics.sparkSession.createDataFrame([tuple(found.get(c) for c in dataset.TIERS)], ", ".join(f"{c} double" for c in dataset.TIERS))
+    return dataset.verdict(row).first()["verdict"]
+
+
 # the encoder's substitute
 
 

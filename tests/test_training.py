@@ -129,6 +129,26 @@ def test_out_of_fold_sees_no_future(spark):
     assert np.allclose(got.drop(columns=["symbol", "ts"]), other.drop(columns=["symbol", "ts"]))
 
 
+def test_diagnostics_of_forecasts(spark):
+    rng = np.random.default_rng(9)
+    n = 500
+    y = rng.normal(size=n)
+    up = (y > 0).astype(int)
+    shape = rng.integers(0, 3, n)
+    p = 1 / (1 + np.exp(-y - rng.normal(size=n)))
+    rows = [("s", t, float(a), float(1 - a), float(v + 0.5), float(v * 2), *[0.8 if s == k else 0.1 for k in range(3)], float(a)) for t, a, v, s in zip(times(n), p, y, np.where(rng.random(n) < 0.6, shape, 0))]
+    oof = spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, long_tp_prob double, short_tp_prob double, mfe_long double, return_h60_pred double, path_shape_p0 double, path_shape_p1 double, path_shape_p2 double, clears_level_prob double")
+    truths = spark.createDataFrame([("s", t, int(u), 1 - int(u), float(v), float(v), int(s), int(u)) for t, u, v, s in zip(times(n), up, y, shape)], "symbol string, ts timestamp_ntz, long_tp int, short_tp int, mfe_long double, return_h60 double, path_shape_class int, clears_up_first int")
+    found = training.diagnostics(oof, truths)
+    got = {r["metric"]: r["value"] for r in found.collect()}
+    assert got["side_corr"] == pytest.approx(-1) and got["rmse_mfe_long"] == pytest.approx(0.5) and got["ic_60"] == pytest.approx(1)
+    assert got["shape_accuracy"] == pytest.approx(np.mean([(r[6:9].index(0.8)) == s for r, s in zip(rows, shape)])) and got["shape_recall_0"] == 1
+    area = (p[up == 1][:, None] > p[up == 0]).mean()
+    assert got["clear_auc"] == got["auc_long_tp"] == pytest.approx(area) and "ic_15" not in got
+    assert training.told(found) == "STRONG-PREDICTIVE"
+    assert training.told(training.diagnostics(oof.limit(0), truths)) == "INCONCLUSIVE"
+
+
 def test_one_class_gives_its_rate(spark):
     at = times(40)
     matrix = spark.createDataFrame([("s", t, float(k)) for k, t in enumerate(at)], "symbol string, ts timestamp_ntz, a double")
