@@ -1068,6 +1068,32 @@ def test_pipeline_against_its_stages_brute_force(spark, sf_dir):
         docs = out
 
 
+def test_pipeline_of_odd_rows(spark, sf_dir, tmp_path):
+    """Null and repeated ids, repeated rows, empty texts, other columns with helpers' names; and no rows at all."""
+    import corpus_pipeline as cp
+
+    long = [(None, " ".join(f"w{k}" for k in range(30))), (40, " ".join(f"w{k}" for k in range(29))), (41, " ".join(f"w{k}" for k in range(30)))]
+    df = clashing(spark, [(*r, "s") for r in ODD + long])
+    common.table(spark, sf_dir, "labels").write.parquet(f"{tmp_path}/labels.parquet")
+    for k, only in enumerate((df, df.limit(0))):
+        docs = only
+        for name, stage in cp.STAGES:
+            out = common.materialize(stage(spark, docs, str(tmp_path)), f"odd-{name}")
+            if name != "packing":
+                assert out.columns == df.columns
+                assert all(r["nr"] == r[c] for r in out.collect() for c in CLASH)
+            if name == "exact_dedup":
+                assert sorted((r["text"] or "").lower() for r in out.collect()) == sorted({(r["text"] or "").lower() for r in docs.collect()})
+            if name == "near_dedup":
+                left = Counter(r["text"] for r in out.collect())
+                assert max(left.values(), default=1) == 1 and sum(left[t] for _, t in long) == (1 if not k else 0)
+            docs = out
+        only.write.parquet(f"{tmp_path}/{k}/documents.parquet")
+        common.table(spark, sf_dir, "labels").write.parquet(f"{tmp_path}/{k}/labels.parquet")
+        whole = cp.run(spark, f"{tmp_path}/{k}")
+        assert whole.columns == docs.columns and whole.count() == docs.count() and (docs.count() > 0) == (k == 0)
+
+
 def test_pipeline_drops_near_copies_from_80_percent(spark, sf_dir):
     import corpus_pipeline as cp
 
@@ -1090,7 +1116,7 @@ def test_queries_equal_their_sql(spark, sf_dir, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "pages", "embeddings"):
+    for t in ("documents", "pages", "embeddings", "benchmark", "labels"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet')")
     want = con.sql(ORACLES[name])
     columns = sorted(want.columns)
