@@ -15,12 +15,18 @@ TURN_BARS, TURN_POINTS, RETURN_BOUND = 10, 2.0, 10.0
 MOVED, AGAINST, WIDE, BACK, CALM = 0.5, 0.7, 0.7, 0.3, 1.0
 
 
-def past_range(frame: DataFrame, bars_: int = RANGE_BARS, least: float = LEAST_RANGE) -> DataFrame:
-    """``frame`` with ``atr``: the mean true range of the bars before each one; a symbol's median (1 without any) where a quarter of them is missing."""
+def past_range(frame: DataFrame, bars_: int = RANGE_BARS, least: float = LEAST_RANGE, causal: bool = False) -> DataFrame:
+    """``frame`` with ``atr``: the mean true range of the bars before each one; a symbol's median (1 without any) where a quarter of them is missing.
+
+    That median is of the whole history, so it looks ahead. With ``causal`` such rows take the mean range of what bars there were before them (1 without any).
+    """
     w = Window.partitionBy("symbol").orderBy("ts")
     before = w.rowsBetween(-bars_, -1)
     rows = frame.withColumn("__tr", F.expr(TRUE_RANGE))
     rows = rows.withColumn("__atr", F.when(F.count("__tr").over(before) >= max(2, bars_ // 4), F.avg("__tr").over(before)))
+    if causal:
+        so_far = F.avg("__tr").over(w.rowsBetween(Window.unboundedPreceding, -1))
+        return rows.withColumn("atr", F.greatest(F.coalesce("__atr", so_far, F.lit(1.0)), F.lit(least))).drop("__tr", "__atr")
     usual = F.broadcast(rows.groupBy("symbol").agg(F.median("__atr").alias("__usual")))  # one row per symbol
     usual = usual.withColumn("__usual", F.when(F.col("__usual") > 0, F.col("__usual")).otherwise(1.0))
     return rows.join(usual, "symbol").withColumn("atr", F.greatest(F.coalesce("__atr", "__usual"), F.lit(least))).drop("__tr", "__atr", "__usual")

@@ -350,3 +350,13 @@ def test_calendar_fills_gaps(spark):
     assert len(days) == 61 and days["a", dt.date(2024, 1, 3)] == 0 and days["a", dt.date(2024, 1, 4)] == -1
     months = {(r["symbol"], r["day"]): r["usd"] for r in evaluation.calendar_sums(df, "month").collect()}
     assert months == {("a", dt.date(2024, 1, 1)): 4.0, ("a", dt.date(2024, 2, 1)): 0.0, ("a", dt.date(2024, 3, 1)): 2.0, ("b", dt.date(2024, 1, 1)): 1.0}
+
+
+def test_causal_ranges_know_only_the_past(spark):
+    rng = np.random.default_rng(3)
+    rows = [("a", dt.datetime(2024, 1, 1) + dt.timedelta(minutes=k), *sorted(map(float, 100 + rng.normal(size=2))), 100.0) for k in range(100)]
+    frame = spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, low double, high double, close double")
+    full, part = (labels.past_range(frame.where(f"ts < TIMESTAMP_NTZ '2024-01-01 {t}'"), causal=True).orderBy("ts").toPandas()["atr"].to_numpy() for t in ("01:40:00", "00:10:00"))
+    assert np.allclose(full[:10], part) and full[0] == 1.0
+    usual = labels.past_range(frame).orderBy("ts").toPandas()["atr"].to_numpy()
+    assert np.allclose(full[20:], usual[20:]) and not np.allclose(full[1:10], usual[1:10])
