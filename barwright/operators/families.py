@@ -172,7 +172,7 @@ PRIMITIVES: dict[str, Plan] = {
     "flagship_causal_bars": Plan([HAS_PREV, RET, *atr(), *rsi(14), {"a": lag("atr14"), "b": lag("rsi14"), "c": lag("lr")}], {"atr14": "a", "rsi14": "b", "logret": "c"}),
     "rolling_ohlcv_3": Plan([{"o3": lag("open", 2)}], {"open": "o3", "high": roll("max", "high", 3, 3), "low": roll("min", "low", 3, 3), "close": f"CASE WHEN o3 IS NOT NULL THEN close END", "volume": roll("sum", "volume", 3, 3)}),  # noqa: F541
     "causal_shift_matrix": Plan([], {c: lag(c) for c in ("open", "high", "low", "close", "volume")}),
-    "atr_true_range": Plan([*atr_safe(14), {"atr60": roll("avg", "tr", 60, 15)}], {"tr": "tr", "atr14": "atr14", "atr14_safe": "safe14", "atr60": "atr60"}),
+    "atr_true_range": Plan([*atr_safe(14), {"atr60": roll("avg", "tr", 60, 15)}], {"tr": "tr", "atr14": "atr14", "atr14_safe": "safe14", "atr60": "atr60"}, digits=9),
     "rsi_100": Plan([HAS_PREV, *rsi(14), *rsi(5)], {"rsi14": "rsi14", "rsi5": "rsi5"}),
     "rsi_pm1": Plan([HAS_PREV, *rsi(14)], {"rsi14": "(rsi14 - 50.0) / 50.0"}),
     "zscore_volume": Plan([], {"volz": f"(volume - ({roll('avg', 'volume', 16, 4)})) / (({roll('stddev_samp', 'volume', 16, 4)}) + 1e-9)"}),
@@ -180,7 +180,7 @@ PRIMITIVES: dict[str, Plan] = {
     "lagged_corr_5": Plan([RET, {"l5": lag("lr", 5)}, *corr("lr", "l5", 60, 10)], {"corr60": "corr60"}),
     "expanding_median_volume": Plan([], {"median_volume": f"CASE WHEN {over('count', 'volume', None, -1)} >= 200 THEN @median(volume){frame(None, -1)}@ END"}),
     "session_ids": Plan(SESSION, {"session_id": "sid", "in_rth": flag("rth")}),
-    "session_vwap_sigma": Plan(VWAP, {"vwap": "vwap", "sigma": "sigma"}),
+    "session_vwap_sigma": Plan(VWAP, {"vwap": "vwap", "sigma": "sigma"}, digits=9),
     "signed_run_length": Plan(
         [{"d": f"coalesce(sign(close - {lag('close')}), 0.0)"}, {"cut": f"CASE WHEN d = coalesce({lag('d')}, 9.0) THEN 0 ELSE 1 END"}, {"isle": over("sum", "cut", None)}],
         {"run": "d * row_number() OVER (PARTITION BY symbol, isle ORDER BY ts)"},

@@ -238,14 +238,16 @@ DEMO = Spec.parse("session, sanat, tof, round, vreg, vss, rhythm, absorp, pvd, s
 
 def structural_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The families that are plans, on the demo's 15-minute bars, moved one row on."""
-    return _rounded(structural_features(bars(spark.read.parquet(f"{sf_dir}/events.parquet"), 15), DEMO))
+    out = structural_features(bars(spark.read.parquet(f"{sf_dir}/events.parquet"), 15), DEMO)
+    digits = {c: PLANS[n].digits for n in DEMO.enabled for c in family_columns(n)}
+    return out.select("symbol", "ts", *[(F.round(c, d) + 0.0).alias(c) for c, d in ((c, digits[c]) for c in out.columns[2:])])
 
 
 def structural_sql() -> str:
     names = sorted(DEMO.enabled)
     cols = [(n, c) for n in names for c in family_columns(n)]
     joins = " ".join(f"JOIN ({PLANS[n].sql()}) f{k} ON f{k}.symbol = g.symbol AND f{k}.ts = g.ts" for k, n in enumerate(names))
-    return f"SELECT g.symbol, g.ts, {', '.join(f'round(CAST(lag(f{names.index(n)}.{c}) OVER (PARTITION BY g.symbol ORDER BY g.ts) AS DOUBLE), 6) + 0.0 AS {c}' for n, c in cols)} FROM (SELECT symbol, ts FROM ({bars_sql(15)}) b) g {joins}"
+    return f"SELECT g.symbol, g.ts, {', '.join(f'round(CAST(lag(f{names.index(n)}.{c}) OVER (PARTITION BY g.symbol ORDER BY g.ts) AS DOUBLE), {PLANS[n].digits}) + 0.0 AS {c}' for n, c in cols)} FROM (SELECT symbol, ts FROM ({bars_sql(15)}) b) g {joins}"
 
 
 def every_family(spark: SparkSession, sf_dir: str) -> DataFrame:

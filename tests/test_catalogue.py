@@ -28,7 +28,7 @@ def tidy(df: pd.DataFrame) -> pd.DataFrame:
             df[c] = pd.to_datetime(df[c]).astype("datetime64[us]")
         else:
             df[c] = df[c].astype(object)
-    keys = [c for c in ("symbol", "event_type", "ts", "minute", "day", "bin", "setup", "regime", "fold", "role", "enter", "avoid", "target", "stop", "share", "feature", "other") if c in df.columns]
+    keys = [c for c in ("symbol", "event_type", "ts", "minute", "day", "bin", "setup", "regime", "fold", "role", "enter", "avoid", "target", "stop", "share", "feature", "other", "prob", "metric", "i", "j", "mode") if c in df.columns]
     return df.sort_values(keys).reset_index(drop=True)
 
 
