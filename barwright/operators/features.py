@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barwright.functions import HAS_PREV, LOG_RETURN, atr, lag, roll, rsi
-from barwright.operators import families, kernels, paths, scan, setups, structure
+from barwright.operators import families, kernels, paths, setups, structure
 from barwright.plans import Plan, extend
 from barwright.sources import OHLCV, bars, bars_sql, resample
 
@@ -42,8 +42,16 @@ def price_block(minutes: int) -> Plan:
 
 
 def with_averages(frame: DataFrame) -> DataFrame:
-    """Bars with the exponential averages of their closes, which no frame expresses: a scan over blocks."""
-    return scan.ewm(frame.select("symbol", "ts", *OHLCV), {"ema_fast": ("close", FAST), "ema_slow": ("close", SLOW)})
+    """Bars with the exponential averages of their closes: a grouped map, which costs five blocks less than five scans over blocks (``scan.ewm``) where a symbol's history fits a task."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("ts", kind="stable")
+        c = pdf["close"].to_numpy(float)
+        return pdf.assign(ema_fast=kernels.ema(c, FAST), ema_slow=kernels.ema(c, SLOW))
+
+    kinds = {f.name: f.dataType.simpleString() for f in frame.schema}
+    schema = ", ".join(f"{c} {kinds[c]}" for c in ["symbol", "ts", *OHLCV]) + ", ema_fast double, ema_slow double"
+    return frame.select("symbol", "ts", *OHLCV).groupBy("symbol").applyInPandas(run, schema)
 
 
 def rolling_bars(frame: DataFrame, rows: int) -> DataFrame:
