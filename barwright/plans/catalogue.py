@@ -4,7 +4,7 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
-from barwright.operators import anomaly, audit, dataset, evaluation, execution, families, features, intervals, kernels, labels, order, paths, router, setups, structure, training
+from barwright.operators import anomaly, audit, dataset, evaluation, execution, families, features, intervals, kernels, labels, neighbours, order, paths, router, setups, structure, training
 from barwright.plans import Plan, kernels_sql
 from barwright.sources import bars_sql
 from barwright.streaming import queries as streams
@@ -12,8 +12,8 @@ from barwright.streaming import queries as streams
 PLANS: dict[str, Plan] = families.PRIMITIVES | {f"fam_{k}": p for k, p in (families.FAMILIES | setups.SETUPS).items()} | evaluation.PLANS | {"sim_candidates": execution.CANDIDATES}
 #: Opening ranges break only where a session has many bars: minute bars of all events together.
 PLANS["fam_orb_minutes"] = replace(setups.SETUPS["orb"], minutes=1, pool=True)
-QUERIES = {k: p.run for k, p in PLANS.items()} | labels.QUERIES | kernels.QUERIES | structure.QUERIES | execution.QUERIES | audit.QUERIES | features.QUERIES | evaluation.QUERIES | router.QUERIES | dataset.QUERIES | order.QUERIES | training.QUERIES | intervals.QUERIES | streams.QUERIES | anomaly.QUERIES | paths.QUERIES
-ORACLES = {k: p.sql() for k, p in PLANS.items()} | labels.ORACLES | audit.ORACLES | features.ORACLES | evaluation.ORACLES | router.ORACLES | dataset.ORACLES | order.ORACLES | training.ORACLES | intervals.ORACLES | streams.ORACLES | anomaly.ORACLES | paths.ORACLES
+QUERIES = {k: p.run for k, p in PLANS.items()} | labels.QUERIES | kernels.QUERIES | structure.QUERIES | execution.QUERIES | audit.QUERIES | features.QUERIES | evaluation.QUERIES | router.QUERIES | dataset.QUERIES | order.QUERIES | training.QUERIES | intervals.QUERIES | streams.QUERIES | anomaly.QUERIES | paths.QUERIES | neighbours.QUERIES
+ORACLES = {k: p.sql() for k, p in PLANS.items()} | labels.ORACLES | audit.ORACLES | features.ORACLES | evaluation.ORACLES | router.ORACLES | dataset.ORACLES | order.ORACLES | training.ORACLES | intervals.ORACLES | streams.ORACLES | anomaly.ORACLES | paths.ORACLES | neighbours.ORACLES
 ORACLES["ema_trend"] = f"""
 WITH RECURSIVE b AS (SELECT symbol, ts, close, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS rn FROM ({bars_sql(15)}) x),
 e AS (SELECT symbol, ts, rn, CAST(close AS DOUBLE) AS ema8, CAST(close AS DOUBLE) AS ema32 FROM b WHERE rn = 1
