@@ -51,8 +51,8 @@ def _pick(values: list, index) -> F.Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), index + 1)
 
 
-def _starts(df: DataFrame, keys: list[str], order: list[str], weight: str, parts: int = 64) -> DataFrame:
-    """``df`` with ``start``: the weights of a key's rows before this one. The order is drawn by hash of ``order``, the same for all keys."""
+def _starts(df: DataFrame, keys: list[str], order: list[str], weight: str, parts: int) -> DataFrame:
+    """``df`` with ``start``: the weights of a key's rows before this one, summed in ``parts`` hash parts. The order is drawn by hash of ``order``, the same for all keys."""
     parted = df.withColumn("__draw", F.xxhash64(*order)).withColumn("__part", F.pmod("__draw", F.lit(parts)).cast("int"))
     before = lambda w: F.coalesce(F.sum(weight).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sizes = parted.groupBy(*keys, "__part").agg(F.sum(weight).alias(weight))
@@ -104,7 +104,7 @@ def start_apart(hubs: DataFrame, total: int, room: list[int]) -> DataFrame:
     while math.gcd(step, total) > 1:
         step += 1
     ends = [sum(take[: s + 1]) for s in range(len(take))]
-    one = _starts(hubs.withColumn("one", F.lit(0)), ["one"], ["h", "p"], "n", 1024)
+    one = _starts(hubs.withColumn("one", F.lit(0)), ["one"], ["h", "p"], "n", rank_parts(total))
     at = one.select("h", "p", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)).alias("at"))
     # a step that has no factor in common with the total permutes the places
     at = at.withColumn("at", ((F.col("at").cast("decimal(19,0)") * F.lit(step)) % F.lit(total)).cast("long"))
@@ -130,7 +130,7 @@ def propagate(state: DataFrame, quotas: list[int], rounds: int = ROUNDS) -> Data
             break
         granted = flows(moves, counts, quotas)
         pairs = spark.createDataFrame([(i, j, granted[i][j]) for i in range(shards) for j in range(shards) if moves[i][j]], "shard int, home int, most long")
-        ask = _starts(voted.where("shard <> home").withColumn("turn", F.lit(r)), ["shard", "home"], ["turn", "h", "p"], "n")
+        ask = _starts(voted.where("shard <> home").withColumn("turn", F.lit(r)), ["shard", "home"], ["turn", "h", "p"], "n", rank_parts(sum(quotas)))
         ask = ask.join(F.broadcast(pairs), ["shard", "home"]).withColumn("go", F.greatest(F.lit(0), F.least("n", F.col("most") - F.col("start"))))
         ask = ask.select("h", "p", F.explode(F.array(F.struct("shard", (F.col("n") - F.col("go")).alias("n")), F.struct(F.col("home").alias("shard"), F.col("go").alias("n")))).alias("e"))
         moved = voted.where("shard = home").select(*STATE).unionByName(ask.select("h", "p", "e.shard", "e.n"))
