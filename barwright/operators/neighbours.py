@@ -86,6 +86,8 @@ def neighbour_information(frame: DataFrame, columns: list[str], label: str, k: i
     folded = rows.groupBy("feature", F.round(F.col("x") / unit).cast("long").alias("q"), "y").agg(F.count(F.lit(1)).alias("c"))
     shares = F.array(*[F.lit(j / parts) for j in range(1, parts)]) if parts > 1 else F.array(F.lit(1.0))
     cuts = rows.groupBy("feature").agg(F.array_distinct(F.percentile_approx(F.round(F.col("x") / unit).cast("long"), shares)).alias("cuts"))
+    # approximate shares may differ when they are computed again: all steps take the same ones, at most ``parts`` a column
+    cuts = frame.sparkSession.createDataFrame(cuts.collect(), "feature string, cuts array<long>")
     each = _counts(_radii(folded, cuts, k), cuts)
     each = each.withColumn("own", F.when(F.col("r") == 0, F.col("c")).otherwise(F.col("k")))
     gain = digamma("own") - digamma("m") - digamma("label_n")

@@ -53,6 +53,18 @@ def test_equals_brute_force(spark, name, parts):
         assert abs(got["mi"] - brute(pairs, k)) < 1e-6 and got["n"] == sum([b for _, b in pairs].count(y) > 1 for _, y in pairs)
 
 
+def test_any_partitions_give_the_same(spark):
+    """Columns so long that the ranges' ends are approximate, over many tasks."""
+    table = spark.range(0, 60_000, 1, 40).selectExpr("CAST(hash(id) AS DOUBLE) / 1000 + id % 2 * 500000 AS a", "floor(sqrt(id * 7919 % 60000)) AS b", "CAST(id % 2 AS INT) AS y")
+    usual = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 40)
+    try:
+        got = [neighbour_information(table, ["a", "b"], "y", unit=1e-3, parts=parts).orderBy("feature").collect() for parts in (1, 64)]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", usual)
+    assert got[0] == got[1] and got[0][0]["n"] == 60_000 and got[0][0]["mi"] > 0.01
+
+
 def test_known_information(spark):
     rng = random.Random(6)
     rows = [(float(i % 2), rng.random(), 1.0, None if i % 3 else i % 2 + rng.random() / 2, i % 2) for i in range(1200)]
