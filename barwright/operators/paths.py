@@ -32,11 +32,13 @@ def _longest_run(signs: Column) -> Column:
     return F.when(F.size(signs) == 0, 0).otherwise(F.aggregate(signs, start, step, lambda a: a.best))
 
 
-def path_statistics(paths: DataFrame, target: float = POINTS, stop: float = POINTS) -> DataFrame:
+def path_statistics(paths: DataFrame, target: float = POINTS, stop: float = POINTS, ends: int = 3) -> DataFrame:
     """(symbol, ts, COLUMNS): excursions, first touches, slopes, deviations, skew of the ends and runs, over the paths of each bar.
 
     A step that reaches both the target and the stop counts for the target. Paths of one step have no deviation and no run.
+    Steps without prices do not count: a path that has none with prices is no sample. Fewer than ``ends`` paths have a skew of 0.
     """
+    paths = paths.na.drop("any", subset=["high", "low", "close"])
     up, down = F.col("high") - F.col("entry"), F.col("entry") - F.col("low")
     first = lambda c: F.min(F.when(c, F.col("step")))
     one = paths.groupBy("symbol", "ts", "sample").agg(
@@ -54,7 +56,7 @@ def path_statistics(paths: DataFrame, target: float = POINTS, stop: float = POIN
     one = one.withColumn("mean", F.try_divide(total(lambda v: v), F.size("returns")))
     one = one.withColumn("vol", F.sqrt(F.try_divide(total(lambda v: (v - F.col("mean")) * (v - F.col("mean"))), F.size("returns"))))
     spread = (F.stddev_pop("rise") + F.stddev_pop("fall")) / 2
-    values = [F.avg("rise"), F.avg("fall"), F.avg("fall"), F.avg("rise"), F.avg(hit("ut", "ds")), F.avg(hit("dt", "us")), spread, spread, F.avg("slope"), F.avg("vol"), F.when(F.count(F.lit(1)) > 2, F.nanvl(F.skewness("last"), F.lit(None).cast("double"))).otherwise(0.0), F.avg("run")]
+    values = [F.avg("rise"), F.avg("fall"), F.avg("fall"), F.avg("rise"), F.avg(hit("ut", "ds")), F.avg(hit("dt", "us")), spread, spread, F.avg("slope"), F.avg("vol"), F.when(F.count(F.lit(1)) >= ends, F.nanvl(F.skewness("last"), F.lit(None).cast("double"))).otherwise(0.0), F.avg("run")]
     return one.groupBy("symbol", "ts").agg(*[v.cast("double").alias(c) for c, v in zip(COLUMNS, values)])
 
 
@@ -62,6 +64,7 @@ def analog_paths(frame: DataFrame, lookback: int = LOOKBACK, horizon: int = HORI
     """Paths at every ``decimation``-th bar after ``lookback``: the ``horizon`` bars from an earlier one on, all of them over before the entry, times the ratio of both opens.
 
     Which earlier bars is plain arithmetic on row numbers, so it repeats. The paths are joined by symbol and row number.
+    An earlier bar that opens at zero has no ratio: its path has no prices.
     """
     if lookback < horizon:
         raise ValueError("the history must hold a whole path")
@@ -77,10 +80,11 @@ def analog_paths(frame: DataFrame, lookback: int = LOOKBACK, horizon: int = HORI
     return steps.join(later, ["symbol", "rn"]).select("symbol", "ts", "entry", "sample", "step", *[(F.col(c) * F.col("scale")).alias(c) for c in ("high", "low", "close")])
 
 
-def path_cache(frame: DataFrame, paths: DataFrame | None = None, target: float = POINTS, stop: float = POINTS) -> DataFrame:
-    """(symbol, ts, COLUMNS) at every bar: the statistics of the last bar that has paths; null before any. A cache for the family ``kronos``."""
-    found = path_statistics(analog_paths(frame) if paths is None else paths, target, stop)
-    return as_of(frame.select("symbol", "ts"), found, COLUMNS)
+def path_cache(frame: DataFrame, paths: DataFrame | None = None, target: float = POINTS, stop: float = POINTS, ends: int = 3) -> DataFrame:
+    """(symbol, ts, COLUMNS) at every bar: the statistics of the last bar that has paths, all of them, nulls too; null before any. A cache for the family ``kronos``."""
+    found = path_statistics(analog_paths(frame) if paths is None else paths, target, stop, ends)
+    held = as_of(frame.select("symbol", "ts"), found.select("symbol", "ts", F.struct(*COLUMNS).alias("found")), ["found"])
+    return held.select("symbol", "ts", *[F.col(f"found.{c}") for c in COLUMNS])
 
 
 def before_lockbox(frame: DataFrame, months: int = 6, end=None, embargo_days: int = 1) -> DataFrame:
@@ -99,7 +103,7 @@ _DEMO = {"lookback": 240, "horizon": 60, "samples": 5, "decimation": 60}
 def cached_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cache of the demo's bars."""
     frame = bars(spark.read.parquet(f"{sf_dir}/events.parquet"), 15)
-    out = path_cache(frame, analog_paths(frame, **_DEMO))
+    out = path_cache(frame, analog_paths(frame, **_DEMO), ends=1)
     return out.select("symbol", "ts", *[F.round(c, 9).alias(c) for c in COLUMNS])
 
 

@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
@@ -90,6 +91,23 @@ def test_analogs_are_over_before_the_entry(spark):
         paths.analog_paths(frame, lookback=5, horizon=10)
 
 
+def test_paths_from_a_zero_price_are_no_samples(spark, tmp_path):
+    """Bars that open at zero have no ratio to scale by, and a flat entry has no skew: both as in SQL."""
+    rng = np.random.default_rng(2)
+    rows = []
+    for s in "ab":
+        for k in range(700):
+            price = 0.0 if k % 3 == 1 or (s == "b" and k == 300) else float(rng.integers(1, 90))
+            rows.append((len(rows), T0 + dt.timedelta(minutes=15 * k), s, price))
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    got = paths.QUERIES["path_cache"](spark, str(tmp_path)).toPandas().sort_values(["symbol", "ts"]).reset_index(drop=True)
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    want = con.sql(paths.ORACLES["path_cache"]).df().sort_values(["symbol", "ts"]).reset_index(drop=True)
+    assert len(got) == 1400 and want["kronos_pred_endpoint_skew"].isna().sum() > want["kronos_pred_max_run_length"].isna().sum()
+    pd.testing.assert_frame_equal(got[paths.COLUMNS], want[paths.COLUMNS], check_dtype=False, rtol=1e-9, atol=2e-9)
+
+
 def test_rows_before_the_lockbox(spark):
     days = spark.createDataFrame([(dt.datetime(2024, m, 15),) for m in range(1, 13)], "ts timestamp_ntz")
     assert paths.before_lockbox(days, 6).agg(F.max("ts")).first()[0] == dt.datetime(2024, 5, 15)
