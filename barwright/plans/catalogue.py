@@ -49,4 +49,3 @@ for _name, _sql, _cols in (
 ):
     QUERIES[_name] = rounded(QUERIES[_name])
     ORACLES[_name] = rounded_sql(_sql, _cols)
-QUERIES["kern_mahalanobis"] = rounded(QUERIES["kern_mahalanobis"])
