@@ -8,10 +8,15 @@ the ranges before it end. Only ranges, at most PARTS of them, are ever broadcast
 from __future__ import annotations
 
 import functools
+import math
+from array import array
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from barwright.operators import evaluation
 from barwright.plans import duck_text
@@ -119,48 +124,98 @@ def top_share(table: DataFrame, prob: str, label: str, share: float) -> DataFram
 RADIX = 16
 
 
-def expanding_quantile(table: DataFrame, column: str, share: float = 0.5, least: int = 1, by: str = "symbol", order: str = "ts") -> DataFrame:
+BLOCK_ROWS = 1 << 17  # rows of a block of one history, at least
+
+
+class Counts:
+    """How often each code was seen, as a binary indexed tree that doubles as codes grow: both steps cost as many additions as codes have bits."""
+
+    def __init__(self) -> None:
+        self.tree, self.values, self.n = array("q", [0, 0]), array("d", [0.0]), 0
+
+    def add(self, code: int, value: float, times: int = 1) -> None:
+        size = len(self.values)
+        while code >= size:
+            self.tree.frombytes(bytes(8 * size))
+            self.values.frombytes(bytes(8 * size))
+            size *= 2
+            self.tree[size] = self.n
+        self.values[code] = value
+        self.n += times
+        at = code + 1
+        while at <= size:
+            self.tree[at] += times
+            at += at & -at
+
+    def kth(self, k: int) -> float:
+        """The value at rank ``k`` (from 0)."""
+        at, step = 0, len(self.values)
+        while step:
+            if at + step < len(self.tree) and self.tree[at + step] <= k:
+                at += step
+                k -= self.tree[at]
+            step >>= 1
+        return self.values[at]
+
+
+def _beside(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """``a`` with the columns of ``b`` for equal keys, nulls included; rows without a partner stay."""
+    own = b.withColumnsRenamed({k: f"{k}_b" for k in keys})
+    return a.join(own, functools.reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"{k}_b")) for k in keys]), "left").drop(*[f"{k}_b" for k in keys])
+
+
+def expanding_quantile(table: DataFrame, column: str, share: float = 0.5, least: int = 1, by: str = "symbol", order: str = "ts", period: str = "day", block: int = BLOCK_ROWS) -> DataFrame:
     """``table`` with ``quantile`` of ``column`` over all rows of ``by`` before each one (linear between neighbours); null below ``least`` values.
 
-    A descent through the digits of the values' codes (RADIX to a digit, the largest
-    first), for all rows at once: at each digit a row asks how many earlier values with
-    its digits so far have each next digit, a running count in the group of rows and
-    values that share those digits, and goes on into the one that holds its rank. A row
-    costs as many steps as codes have digits, however long the history is.
+    A history is cut at ends of periods into blocks of about ``block`` rows, or as many as it has
+    distinct values if those are more. Each block starts with the number of times that each value
+    came before it, and is then walked in order with a tree of counts: a task
+    holds one block and its counts, and what is counted for all blocks is no more rows than the table has.
     """
-    keyed = table.select("*", F.col(column).cast("double").alias("__x"))
-    codes = keyed.where("__x IS NOT NULL").select(by, "__x").distinct()
-    codes = codes.withColumn("__code", F.row_number().over(Window.partitionBy(by).orderBy("__x")) - 1)
-    largest = codes.agg(F.max("__code")).first()[0]
-    digits = 1
-    while largest is not None and RADIX**digits <= largest:
-        digits += 1
-    coded = keyed.join(codes, [by, "__x"], "left")
-    before = F.count("__code").over(Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
-    rows = coded.select(by, order, "__code", before.alias("n"))
-    pos = (F.col("n") - 1) * F.lit(share)
-    asks = rows.where((F.col("n") >= max(1, least))).select(by, order, F.explode(F.array(F.struct(F.floor(pos).alias("k"), F.lit(0).alias("side")), F.struct(F.ceil(pos).alias("k"), F.lit(1).alias("side")))).alias("q"))
-    asks = asks.select(by, order, "q.side", "q.k", F.lit(0).cast("long").alias("at"))
-    values = rows.where("__code IS NOT NULL").select(by, order, F.col("__code").cast("long").alias("code"))
-    for d in range(digits - 1, -1, -1):
-        unit = RADIX**d
-        here = values.select(by, order, F.expr(f"code DIV {unit * RADIX}").alias("at"), F.expr(f"(code DIV {unit}) % {RADIX}").cast("int").alias("digit"), F.lit(None).cast("int").alias("side"), F.lit(None).cast("long").alias("k"))
-        both = here.unionByName(asks.select(by, order, "at", F.lit(None).cast("int").alias("digit"), "side", "k"))
-        upto = Window.partitionBy(by, "at").orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-        # a row's own value comes at the same time and must not count
-        earlier = [(F.count(F.when(F.col("digit") == c, 1)).over(upto) - F.count(F.when(F.col("digit") == c, 1)).over(Window.partitionBy(by, "at", order))).alias(f"c{c}") for c in range(RADIX)]
-        seen = both.select(by, order, "at", "side", "k", *earlier).where("side IS NOT NULL")
-        sums, step = [], F.lit(0)
-        for c in range(RADIX):
-            sums.append(step)
-            step = step + F.col(f"c{c}")
-        pick = F.coalesce(*[F.when(F.col("k") < s + F.col(f"c{c}"), F.struct(F.lit(c).alias("c"), (F.col("k") - s).alias("k"))) for c, s in enumerate(sums)])
-        asks = seen.select(by, order, "side", (F.col("at") * RADIX + pick.c).alias("at"), pick.k.alias("k"))
-    found = asks.join(codes.select(by, F.col("__code").cast("long").alias("at"), "__x"), [by, "at"])
-    ends = found.groupBy(by, order).agg(F.max(F.when(F.col("side") == 0, F.col("__x"))).alias("lo"), F.max(F.when(F.col("side") == 1, F.col("__x"))).alias("hi"))
-    part = pos - F.floor(pos)
-    out = table.join(rows.select(by, order, "n"), [by, order]).join(ends, [by, order], "left")
-    return out.select(*table.columns, (F.col("lo") + (F.col("hi") - F.col("lo")) * part).alias("quantile"))
+    keyed = table.select(F.struct("*").alias("__row"), F.col(by).alias("__by"), F.col(order).alias("__at"), F.date_trunc(period, order).alias("__period"), F.col(column).cast("double").alias("__x"))
+    codes = keyed.where("__x IS NOT NULL").select("__by", "__x").distinct()
+    codes = codes.withColumn("__code", (F.row_number().over(Window.partitionBy("__by").orderBy("__x")) - 1).cast("long"))
+    size = codes.groupBy("__by").agg(F.greatest(F.count(F.lit(1)), F.lit(block)).alias("__size"))
+    along = Window.partitionBy("__by").orderBy("__period").rowsBetween(Window.unboundedPreceding, -1)  # the periods of one history
+    spans = keyed.groupBy("__by", "__period").agg(F.count(F.lit(1)).alias("__n")).join(size, "__by", "left")
+    spans = spans.select("__by", "__period", F.floor(F.coalesce(F.sum("__n").over(along), F.lit(0)) / F.coalesce("__size", F.lit(block))).cast("int").alias("__block"))
+    coded = _beside(_beside(keyed, spans, ["__by", "__period"]), codes, ["__by", "__x"])
+    # what each block sees of the blocks before it: a row for each of its values and later blocks
+    seen = coded.where("__code IS NOT NULL").groupBy("__by", "__code", "__block").agg(F.first("__x").alias("__x"), F.count(F.lit(1)).alias("__times"))
+    later = spans.select("__by", F.col("__block").alias("__to")).distinct()
+    starts = _beside(seen, later, ["__by"]).where("__to > __block").groupBy("__by", "__code", F.col("__to").alias("__block")).agg(F.first("__x").alias("__x"), F.sum("__times").alias("__times"))
+    none = lambda c: F.lit(None).cast(keyed.schema[c].dataType).alias(c)
+    rows = coded.select("__by", "__block", "__at", "__code", "__x", F.lit(None).cast("long").alias("__times"), "__row")
+    rows = rows.unionByName(starts.select("__by", "__block", none("__at"), "__code", "__x", "__times", none("__row")))
+
+    names = [*table.columns, "quantile"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = counts = None
+        for batch in batches:
+            own, out = [], []
+            kinds = zip(*(batch.column(c).to_pylist() for c in ("__by", "__block", "__code", "__x", "__times")))
+            for k, (name, part, code, x, times) in enumerate(kinds):
+                if counts is None or (name, part) != held:
+                    held, counts = (name, part), Counts()
+                if times is not None:
+                    counts.add(code, x, times)
+                    continue
+                value = None
+                if counts.n >= max(1, least):
+                    pos = (counts.n - 1) * share
+                    lo = math.floor(pos)
+                    low = counts.kth(lo)
+                    value = low + (counts.kth(math.ceil(pos)) - low) * (pos - lo)
+                own.append(k)
+                out.append(value)
+                if code is not None:
+                    counts.add(code, x)
+            given = batch.column("__row").take(pa.array(own, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*given.flatten(), pa.array(out, pa.float64())], names=names)
+
+    dealt = rows.repartition("__by", "__block").sortWithinPartitions("__by", "__block", F.col("__times").isNull(), "__at")
+    return dealt.mapInArrow(run, StructType([*table.schema.fields, StructField("quantile", DoubleType())]))
 
 
 def rolling_rank(table: DataFrame, column: str, rows: int, least: int = 1, by: str = "symbol", order: str = "ts") -> DataFrame:

@@ -217,3 +217,22 @@ def test_expanding_quantile(spark, share):
         assert got[s, t] == (pytest.approx(np.quantile(past, share)) if len(past) >= 5 else None)
         if v is not None:
             past.append(v)
+
+
+def test_expanding_quantile_over_blocks(spark):
+    """Many blocks of one history, with nulls, a null symbol, and values that no later block has: the same as one walk."""
+    rng = random.Random(7)
+    rows, at = [], times(900)
+    for s, n in (("a", 900), (None, 200)):
+        rows += [(s, at[k], None if rng.random() < 0.1 else float(rng.choice([-1, 0, 3, k % 7, k // 100]))) for k in range(n)]
+    df = spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, x double").repartition(7)
+    got = order.expanding_quantile(df, "x", 0.4, 5, period="minute", block=30)
+    assert got.columns == ["symbol", "ts", "x", "quantile"]
+    got = {(r["symbol"], r["ts"]): r["quantile"] for r in got.collect()}
+    seen = {}
+    for s, t, v in rows:
+        past = seen.setdefault(s, [])
+        assert got[s, t] == (pytest.approx(np.quantile(past, 0.4)) if len(past) >= 5 else None)
+        if v is not None:
+            past.append(v)
+    assert len(got) == len(rows)
