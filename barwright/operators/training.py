@@ -158,11 +158,12 @@ def candidates(predictions: DataFrame, truths: DataFrame, share: float = CANDIDA
     """
     beside = evaluation.outcomes(predictions, truths)
     beside = beside.withColumn("margin", F.round(F.abs(F.col("pl") - F.col("ps")), 9)).withColumn("direction", F.when(F.col("pl") >= F.col("ps"), 1).otherwise(-1))
-    n = beside.where("margin IS NOT NULL").count()
-    if not n:
-        least = None
-    else:
-        least = order.kth_values(beside, "margin", [n - max(1, int(np.ceil(share * n))) + 1])[0]
+    margins = beside.select("margin").where("margin IS NOT NULL").persist()  # a number a row: the search reads it some five times
+    try:
+        n = margins.count()
+        least = order.kth_values(margins, "margin", [n - max(1, int(np.ceil(share * n))) + 1])[0] if n else None
+    finally:
+        margins.unpersist()
     points = lambda y, mfe, mae: F.when(F.col(y) == 1, F.col("win_points")).when(F.col(mae) >= F.col("loss_points"), -F.col("loss_points")).otherwise(F.col(mfe) - F.col(mae))
     long = F.col("direction") > 0
     best = beside.where(F.col("margin") >= F.lit(least))
@@ -458,15 +459,19 @@ SPLIT = "2024-01-20"  # the demo trains on what comes before
 
 
 def scored_candidates(spark: SparkSession, sf_dir: str, rounds: int = 30) -> DataFrame:
-    """The later candidates of the demo, scored by a second layer trained and calibrated on the earlier ones."""
+    """The later candidates of the demo, scored by a second layer trained and calibrated on the earlier ones.
+
+    Both are rows of one table, which stays persisted (in memory or on disk) for as long as the session: the result reads it, and labels and features are computed once.
+    """
     table, columns = demo_table(spark, sf_dir)
     table = table.persist()
     try:
         early, late = (table.where(f"ts {op} TIMESTAMP_NTZ '{SPLIT}'") for op in ("<", ">="))
         model = train_second_layer(early, columns, rounds)
-        return model.transform(late).select("symbol", "ts", "direction", "label", "pnl_points", "raw_prob", "prob", "lower", "upper", "trade")
-    finally:
+    except BaseException:
         table.unpersist()
+        raise
+    return model.transform(late).select("symbol", "ts", "direction", "label", "pnl_points", "raw_prob", "prob", "lower", "upper", "trade")
 
 
 def _rounded(out: DataFrame, digits: int = 9) -> DataFrame:

@@ -236,3 +236,13 @@ def test_expanding_quantile_over_blocks(spark):
         if v is not None:
             past.append(v)
     assert len(got) == len(rows)
+
+
+def test_scored_candidates_are_computed_once(spark, sf_dir):
+    """What is scored is read from the table that taught, and does not come from the events again."""
+    out = training.scored_candidates(spark, sf_dir, rounds=1)
+    try:
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "InMemoryRelation" in plan and out.count()
+    finally:
+        spark.catalog.clearCache()
