@@ -15,10 +15,12 @@
 Two rounds of leaders run, the second with members drawn by hash. Candidates pass
 two sketch tests: the odd sketch of the samples (SIGMAS standard deviations below
 the threshold), and one of the whole set, whose differing bits can never be more
-than the sets' differing shingles, so that it rejects nothing wrongly. What is
-left is confirmed on the full sets. Sets are computed again from one text of each
-class that candidates name; a bitmap of those rows, of bounded size, keeps the other
-texts out of the shuffle. Bands are chosen so that a pair at the threshold misses all of
+than the sets' differing shingles, so that it rejects nothing wrongly. Sets are computed
+again from one text of each class that candidates name, found by a bitmap of bounded
+size, and written where they are read, beside a fine sketch of two bits or more for
+each shingle. It is tested like the other sketch of the whole set, but does not fill up
+on long texts, so few pairs below the threshold are left: only sets of the others are
+shuffled, to be confirmed in full. Bands are chosen so that a pair at the threshold misses all of
 them with a probability below MISS.
 
 Rows are told apart by hashes of id and text together, so nulls and repeated ids
@@ -45,7 +47,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barwright.llm.common import TEXT_ROWS, connected_components, give_back, keep_rows, materialize, packed, slices, table
+from barwright.llm.common import TEXT_ROWS, connected_components, flagged, give_back, keep_rows, materialize, packed, slices, table
 
 WORDS = 5
 MISS = 1e-6
@@ -105,15 +107,20 @@ class Sketcher:
         return self.parity(low ^ self.salt)
 
     @staticmethod
-    def parity(values: np.ndarray) -> np.ndarray:
-        """A bitmap in which each value flips one bit."""
+    def parity(values: np.ndarray, words: int = SKETCH_WORDS) -> np.ndarray:
+        """A bitmap of 64 * ``words`` bits in which each value flips one bit. That of half the words is the XOR of its halves, where they are a power of two."""
         mixed = values * np.uint64(0xFF51AFD7ED558CCD)
         mixed ^= mixed >> np.uint64(33)
-        bit = (mixed % np.uint64(64 * SKETCH_WORDS)).astype(np.int64)
-        parity = np.bincount(bit, minlength=64 * SKETCH_WORDS) & 1
+        bit = (mixed % np.uint64(64 * words)).astype(np.int64)
+        parity = np.bincount(bit, minlength=64 * words) & 1
         return np.packbits(parity.astype(np.uint8)).view(np.int64)
 
 
+def fine_words(n: int) -> int:
+    """64-bit words of the fine sketch of a set of ``n`` shingles: a power of two with two bits or more for each."""
+    return max(SKETCH_WORDS, (1 << max(0, 2 * n - 1).bit_length()) // 64)
+
+
 def sketch_limit(threshold: float, k: int) -> int:
     """The most differing sketch bits that a pair at the threshold shows, SIGMAS deviations out."""
     n = 64 * SKETCH_WORDS
@@ -145,8 +152,12 @@ def _sketches(docs: DataFrame, bands: int, rows: int) -> DataFrame:
     return docs.mapInArrow(run, ", ".join(f"{c} long" for c in own) + ", bands array<long>, odd array<long>")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(c, h) of the classes (c, k1, k2) in ``wanted``: the others' texts are not shuffled, but for the bitmap's false hits."""
+def _sets(docs: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Sets (nr, k1, k2, fine, h) of the rows of the classes (c, k1, k2, n) in ``wanted``, and (c, nr, n, fine) of each class.
+
+    Sets are not shuffled: they are written where their texts are read. Rows that the bitmap lets pass
+    wrongly, and all but one of those that repeat id and text, are among them but have no class's ``nr``.
+    """
     bits = min(FILTER_BITS, 1 << max(16, (64 * wanted.count()).bit_length()))
     place = F.pmod("k1", F.lit(bits))
     words = wanted.select(place.alias("at")).selectExpr("int(at div 64) AS w", "shiftleft(1L, int(at % 64)) AS b")
@@ -155,34 +166,65 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     bitmap[rows["w"].to_numpy("int64")] = rows["b"].to_numpy("int64")
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
-    kinds = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("h", pa.list_(pa.int64()))])
+    kinds = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("fine", pa.list_(pa.int64())), ("h", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for part in slices(batches):
             at = np.array(part["at"], np.int64)
             hits = np.flatnonzero((own[at // 64] >> (at % 64)) & 1 == 1)
-            cols = [[part["k1"][j] for j in hits], [part["k2"][j] for j in hits], [shingle_hashes(part["text"][j]).view(np.int64) for j in hits]]
+            sets = [shingle_hashes(part["text"][j]) for j in hits]
+            cols = [[part["k1"][j] for j in hits], [part["k2"][j] for j in hits], [Sketcher.parity(h, fine_words(len(h))) for h in sets], [h.view(np.int64) for h in sets]]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds.types)], schema=kinds)
         give_back()
 
-    found = docs.select("k1", "k2", "text", place.alias("at")).mapInArrow(run, "k1 long, k2 long, h array<long>")
-    return materialize(found.join(wanted, ["k1", "k2"]).groupBy("c").agg(F.first("h").alias("h")), "sets", TEXT_ROWS)
+    found = docs.select("k1", "k2", "text", place.alias("at")).mapInArrow(run, "k1 long, k2 long, fine array<long>, h array<long>")
+    sets = materialize(found.select(F.monotonically_increasing_id().alias("nr"), "*"), "sets", TEXT_ROWS)
+    known = sets.select("nr", "k1", "k2", "fine").join(wanted, ["k1", "k2"]).groupBy("c").agg(F.min(F.struct("nr", "n", "fine")).alias("row"))
+    return sets, materialize(known.select("c", "row.*"), "known")
+
+
+def _alike(percent: int) -> F.Column:
+    """Whether sets of an and bn shingles can be a pair at the threshold by their sizes."""
+    return 100 * F.least("an", "bn") >= percent * F.greatest("an", "bn")
+
+
+def _few(differ: F.Column, percent: int) -> F.Column:
+    """Whether sets of an and bn shingles of which at least ``differ`` are in one only can be a pair at the threshold."""
+    # intersection >= percent/100 * union means difference <= (100-percent)/(100+percent) * (an + bn)
+    return differ * (100 + percent) <= (100 - percent) * (F.col("an") + F.col("bn"))
 
 
 def _near(limit: int, percent: int) -> F.Column:
     """Whether the sketches ao and bo of sets of an and bn shingles may belong to a pair at the threshold."""
     differ = lambda i: F.bit_count(F.col("ao")[i].bitwiseXOR(F.col("bo")[i]))
     part = lambda lo: sum((differ(i) for i in range(lo, lo + SKETCH_WORDS)), F.lit(0))
-    # intersection >= percent/100 * union means difference <= (100-percent)/(100+percent) * (an + bn)
-    return (part(0) <= limit) & (part(SKETCH_WORDS) * (100 + percent) <= (100 - percent) * (F.col("an") + F.col("bn")))
+    return _alike(percent) & (part(0) <= limit) & _few(part(SKETCH_WORDS), percent)
+
+
+def _fine(percent: int) -> F.Column:
+    """The same of the fine sketches ao and bo. The longer is folded to the length of the other; one more than twice as long rejects nothing."""
+    words = F.least(F.size("ao"), F.size("bo"))
+    xor = lambda x, y: x.bitwiseXOR(y)
+    fold = lambda c: F.when(F.size(c) > words, F.zip_with(F.slice(c, 1, words), F.slice(c, words + 1, words), xor)).otherwise(F.col(c))
+    differ = F.aggregate(F.zip_with(fold("ao"), fold("bo"), xor), F.lit(0), lambda n, x: n + F.bit_count(x))
+    return _alike(percent) & ((F.greatest(F.size("ao"), F.size("bo")) > 2 * words) | _few(differ, percent))
+
+
+def _close(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) that pass the test of the fine sketches, with the numbers ur and vr of their sets."""
+    one = known.select(F.col("c").alias("u"), F.col("nr").alias("ur"), F.col("n").alias("an"), F.col("fine").alias("ao"))
+    two = known.select(F.col("c").alias("v"), F.col("nr").alias("vr"), F.col("n").alias("bn"), F.col("fine").alias("bo"))
+    return pairs.join(one, "u").join(two, "v").where(_fine(percent)).select("u", "v", "ur", "vr")
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) with 100 * intersection >= percent * union of the full sets."""
-    own = sets.select(F.col("c").alias("u"), F.col("h").alias("uh"))
-    other = sets.select(F.col("c").alias("v"), F.col("h").alias("vh"))
-    both = pairs.join(own, "u").join(other, "v")
+    """The pairs (u, v) with 100 * intersection >= percent * union of the full sets ur and vr."""
+    named = pairs.select(F.explode(F.array("ur", "vr")).alias("nr")).distinct()
+    sets = flagged(sets.select("nr", "h"), ["nr"], named).where("hit")
+    own = sets.select(F.col("nr").alias("ur"), F.col("h").alias("uh"))
+    other = sets.select(F.col("nr").alias("vr"), F.col("h").alias("vh"))
+    both = pairs.join(own, "ur").join(other, "vr")
     meet = F.size(F.array_intersect("uh", "vh"))
     union = F.size("uh") + F.size("vh") - F.col("meet")
     return both.withColumn("meet", meet).where(F.lit(100) * F.col("meet") >= F.lit(percent) * union).select("u", "v")
@@ -207,7 +249,8 @@ def _placed(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFr
     # buckets of at least two classes; tables that meet by bucket are written first, so that hot buckets can be split
     held = materialize(classes.select("c", F.explode("bands").alias("key")), "held")
     sizes = materialize(held.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")
-    buckets = materialize(held.join(sizes, "key"), "buckets")
+    shared = flagged(held, ["key"], sizes).where("hit").drop("hit")  # most keys are of one class: a bitmap passes them over where they are read
+    buckets = materialize(shared.join(sizes, "key"), "buckets")
 
     def sketched(pairs: DataFrame) -> DataFrame:
         """The pairs (u, v) that pass the sketch tests."""
@@ -216,18 +259,21 @@ def _placed(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFr
         return pairs.join(one, "u").join(two, "v").where(_near(limit, percent)).select("u", "v")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.explode(F.array("u", "v")).alias("c")).distinct().join(classes.select("c", "k1", "k2"), "c")
-        return _confirm(pairs, _sets(plain, materialize(wanted, "wanted")), percent)
+        wanted = pairs.select(F.explode(F.array("u", "v")).alias("c")).distinct().join(classes.select("c", "k1", "k2", "n"), "c")
+        sets, known = _sets(plain, materialize(wanted, "wanted"))
+        return _confirm(materialize(_close(pairs, known, percent), "close"), sets, percent)
 
     links = comp = tried = None
-    live = buckets
+    live = buckets.withColumn("comp", F.col("c"))
     for turn in range(2):
         if turn:
             ranked = live.withColumn("score", F.xxhash64("c", F.lit(turn)))
         else:
             ranked = live.join(materialize(live.groupBy("c").agg(F.sum("size").alias("score")), "mates"), "c")
-        leaders = ranked.groupBy("key").agg(F.max_by("c", F.struct(F.col("score"), -F.col("c"))).alias("lead"))
-        star = live.join(materialize(leaders, "leaders"), "key").where("c <> lead").select(F.least("c", "lead").alias("u"), F.greatest("c", "lead").alias("v")).distinct()
+        leaders = ranked.groupBy("key").agg(F.max_by(F.struct("c", "comp"), F.struct(F.col("score"), -F.col("c"))).alias("lead"))
+        leaders = materialize(leaders.select("key", F.col("lead.c").alias("lead"), F.col("lead.comp").alias("lead_comp")), "leaders")
+        # what hangs together already needs no further link
+        star = live.join(leaders, "key").where("comp <> lead_comp").select(F.least("c", "lead").alias("u"), F.greatest("c", "lead").alias("v")).distinct()
         if tried is not None:
             star = star.join(tried, ["u", "v"], "left_anti")
         star = materialize(sketched(star), "star")
